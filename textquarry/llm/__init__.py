@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from textquarry.llm import chat_format
+    from textquarry.llm import chat_format, language_id, quality, token_counts
 
-    return (chat_format,)
+    return (quality, language_id, token_counts, chat_format)
 
 
 def queries() -> dict:
