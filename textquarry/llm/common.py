@@ -192,3 +192,11 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
             a += words[first[d] + k: first[d] + k + 1] * _SHINGLE[k]
         out[out_off[d]] = mix64(a + U64(0xABCD) * U64(int(counts[d])))[0]
     return out, out_off
+
+
+def replacing(docs: DataFrame, **new: str) -> tuple[DataFrame, "StructType"]:
+    """(docs without columns of the new names, its schema with them appended): added columns replace clashing ones."""
+    from pyspark.sql.types import StructType
+
+    rest = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in new}])
+    return rest, StructType(list(rest.schema.fields) + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import U64, mix64, string_buffers, table
+from textquarry.llm.common import U64, mix64, replacing, string_buffers, table
 
 DEFAULTS = {"n_buckets": 1 << 16, "orders": (1, 2, 3), "alpha": 0.05, "max_languages": 512, "block_chars": 1 << 20}
 
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, col: str = "tex
     """``docs`` with lang_pred and lang_score (posterior of the predicted language, prior uniform); no shuffle."""
     p = DEFAULTS | params
     model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(logs.T).tobytes()))
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
+    docs, schema = replacing(docs, lang_pred="string", lang_score="double")
 
     def score(batches):
         names, raw = model.value

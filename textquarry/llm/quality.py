@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import (U64, mix64, runs_of_docs, span_hashes, string_buffers, table)
+from textquarry.llm.common import (U64, mix64, replacing, runs_of_docs, span_hashes, string_buffers, table)
 
 # kinds of bytes: 0 white space and controls, 1 letters, digits and everything outside ASCII, others by the character
 _KIND = np.zeros(256, np.uint8)
@@ -127,7 +127,7 @@ def score_quality(docs: DataFrame, weights: bytes, col: str = "text", **params)
     """``docs`` with a column quality_score in 0..1; no shuffle."""
     p = DEFAULTS | params
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.schema.add("quality_score", "double")
+    docs, schema = replacing(docs, quality_score="double")
 
     def score(batches):
         w = np.frombuffer(model.value, "<f8")

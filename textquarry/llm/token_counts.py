@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table
+from textquarry.llm.common import replacing, table
 
 MARK = "▁"
 UNK_PENALTY = 10.0
@@ -131,7 +131,7 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, col: str = "text", model: str | None = None) -> DataFrame:
     """``docs`` with n_tokens and viterbi_score; no shuffle. ``model``: path of a sentencepiece model on every executor."""
     path = model or default_model()
-    schema = docs.schema.add("n_tokens", "long").add("viterbi_score", "double")
+    docs, schema = replacing(docs, n_tokens="long", viterbi_score="double")
 
     def run(batches):
         c = counter(path)
