@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from textquarry.llm import chat_format, language_id, quality, token_counts, token_output
+    from textquarry.llm import chat_format, language_id, mixing, quality, token_counts, token_output
 
-    return (token_output, quality, language_id, token_counts, chat_format)
+    return (token_output, mixing, quality, language_id, token_counts, chat_format)
 
 
 def queries() -> dict:
