@@ -8,9 +8,10 @@ from __future__ import annotations
 
 
 def _modules():
-    from textquarry.llm import chat_format, fingerprint, language_id, mixing, quality, token_counts, token_output
+    from textquarry.llm import chat_format, decontaminate, fingerprint, language_id, mixing, quality, token_counts, token_output
 
-    return (token_output, mixing, quality, fingerprint, language_id, token_counts, chat_format)
+    return (token_output, mixing, decontaminate, quality, fingerprint, language_id, token_counts,
+            chat_format)
 
 
 def queries() -> dict:
