@@ -8,9 +8,10 @@ from __future__ import annotations
 
 
 def _modules():
-    from textquarry.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, mixing, quality, token_counts, token_output
+    from textquarry.llm import (chat_format, decontaminate, fingerprint, jaccard_join, language_id, mixing, quality,
+                                suffix_dedup, token_counts, token_output)
 
-    return (token_output, mixing, decontaminate, quality, fingerprint, jaccard_join, language_id, token_counts,
+    return (suffix_dedup, token_output, mixing, decontaminate, quality, fingerprint, language_id, token_counts,
             chat_format, jaccard_join)
 
 

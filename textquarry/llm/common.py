@@ -120,12 +120,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i modulo 2^64 for i < n; kept, since tasks use about the same n again."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, -(-n // (1 << 16)) << 16)
         for key, base in (("up", _R), ("down", _R_INV)):
             out = np.ones(size, np.uint64)
             done, step = 1, base
             while done < size:
-                out[done: 2 * done] = out[:done] * U64(step)
+                out[done: 2 * done] = out[: min(done, size - done)] * U64(step)
                 done, step = 2 * done, step * step % (1 << 64)
             _POWERS[key] = out
     return _POWERS["up"], _POWERS["down"]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textquarry.llm import rans
 from textquarry.llm.common import runs_of_docs, shared_dir, string_buffers, table, text_bytes
 
-DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_parts": 20_000, "block_tokens": 1 << 20, "read_block": 1 << 21}
+DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_parts": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
 
 
 def default_tokenizer() -> str:
