@@ -8,7 +8,7 @@ ordered only to that depth, most significant digit first, and leave as soon as t
 2. First digit: the 24-byte head. Suffixes are dealt to buckets by it and sorted there. A head that is in one document only is
    done. A run whose whole content is also in an earlier document is removed as a whole.
 3. Last digit: for heads with several different runs in several documents, the rest of the 50 bytes: their windows are dealt
-   and sorted as before, and equal groups are the repeated strings. Hashes of 96 bits stand for the bytes.
+   and sorted as before, and equal groups are the repeated strings. Hashes of 72 bits and the bucket's own stand for the bytes.
 
 Documents are dealt once to units of about ``unit_bytes``; a unit works in numpy, block by block. What a unit sends to a
 bucket is one packed row, combined first: each distinct (head, run) or window once, with the unit's least doc_id that has it.
@@ -139,16 +139,20 @@ def open_ids(b: bytes) -> np.ndarray:
     return uniq[_open(b[5 + n:], "<u2" if b[4] == 2 else "<u4")]
 
 
-def five_bytes(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def low_bytes(h: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
-def open_five(b: bytes) -> np.ndarray:
-    raw = np.zeros((len(b) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+def open_low_bytes(b: bytes, n: int) -> np.ndarray:
+    raw = np.zeros((len(b) // n, 8), np.uint8)
+    raw[:, :n] = np.frombuffer(b, np.uint8).reshape(-1, n)
     return raw.reshape(-1).view("<u8").astype(np.uint64)
 
 
+# bytes sent of the hashes; the bucket adds its own bits of heads and windows, and runs are compared within a head only
+HEAD_BYTES, RUN_BYTES, WINDOW_BYTES = 5, 6, 5
+
+
 class Unit:
     """The documents of a unit and its distinct (head, run) groups, in an order that all three passes share."""
 
@@ -212,7 +216,7 @@ class Unit:
         for a, b in zip(cut[:-1], cut[1:]):
             g = self.sent[a:b]
             run = np.where(self.crowded[g], U64(0), self.run[self.lead[g]] | U64(1))
-            yield int(self.sent_bucket[a]), five_bytes(self.head[self.lead[g]]), run.astype("<u8").tobytes(), pack_ids(self.least(g))
+            yield int(self.sent_bucket[a]), low_bytes(self.head[self.lead[g]], HEAD_BYTES), low_bytes(run, RUN_BYTES), pack_ids(self.least(g))
 
     def take_flags(self, flags: dict[int, bytes]) -> np.ndarray:
         """The state of each group, from the buckets' answers."""
@@ -267,7 +271,7 @@ class Unit:
         cut = np.flatnonzero(np.diff(bucket[first], prepend=-1, append=-1)) if len(first) else []
         for a, b in zip(cut[:-1], cut[1:]):
             f = first[a:b]
-            yield int(bucket[f[0]]), k[f].astype("<u8").tobytes(), k2[f].astype("<u4").tobytes(), pack_ids(self.ids[doc[a:b]])
+            yield int(bucket[f[0]]), low_bytes(k[f], WINDOW_BYTES), k2[f].astype("<u4").tobytes(), pack_ids(self.ids[doc[a:b]])
 
     def removed(self, state: np.ndarray, flags: dict[int, bytes]) -> np.ndarray:
         """Which bytes of the unit go."""
@@ -291,8 +295,8 @@ def judge_groups(t: pa.Table) -> tuple[list[int], list[bytes]]:
     units, heads, runs, ids, sizes = [], [], [], [], []
     for r in t.sort_by("unit").to_pylist():
         units.append(r["unit"])
-        heads.append(open_five(r["k1"]))
-        runs.append(np.frombuffer(r["k2"], "<u8"))
+        heads.append(open_low_bytes(r["k1"], HEAD_BYTES))
+        runs.append(open_low_bytes(r["k2"], RUN_BYTES))
         ids.append(open_ids(r["ids"]))
         sizes.append(len(runs[-1]))
     head, run, doc = np.concatenate(heads), np.concatenate(runs), np.concatenate(ids)
@@ -320,7 +324,7 @@ def judge_windows(t: pa.Table) -> tuple[list[int], list[bytes]]:
     units, k1, k2, ids = [], [], [], []
     for r in t.sort_by("unit").to_pylist():
         units.append(r["unit"])
-        k1.append(np.frombuffer(r["k1"], "<u8"))
+        k1.append(open_low_bytes(r["k1"], WINDOW_BYTES))
         k2.append(np.frombuffer(r["k2"], "<u4"))
         ids.append(open_ids(r["ids"]))
     a, b, d = np.concatenate(k1), np.concatenate(k2), np.concatenate(ids)
