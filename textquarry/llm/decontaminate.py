@@ -1,7 +1,7 @@
 r"""Benchmark decontamination by spaced-seed hashing, as DataFrame expressions only.
 
 Words are runs of letters, digits and characters outside ASCII, lower-cased. At every word of a text two seeds are hashed:
-fixed masks that read four of seven words and ignore the others. Seeds equal to a benchmark item's give an alignment (the
+fixed masks that read four of six words or five and ignore the others. Seeds equal to a benchmark item's give an alignment (the
 difference of positions); each distinct alignment is then verified word by word. An overlap counts if some window of 13
 aligned words (the whole item, if it is shorter) lies inside both and has at most 3 unequal words (2 for windows of 10 to 12
 words, 1 for 7 to 9). The two masks are lossless for this: every such window contains at least one seed without a
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import materialize, table
 
-MASKS = ((0, 3, 4, 5), (0, 1, 2, 6))
-SPAN = 7
+MASKS = ((0, 3, 4, 5), (0, 1, 2, 4))
+SPAN = 6
+LEAST = 7
 WINDOW = 13
 DEFAULTS = {"broadcast_rows": 1_000_000}
 
@@ -56,15 +57,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """(doc_id, item_id, doc_word, n_equal): overlapping pairs, with the first word of the first such window in the document
     and the greatest number of equal words on one alignment that has such a window."""
     p = DEFAULTS | params
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SPAN).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= LEAST).distinct()
     item_seeds = seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     hits = seeds(texts, "doc_id").join(_small(item_seeds, p["broadcast_rows"]), "seed").select(
         "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = materialize(hits, "alignments")
     ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    check = docs.join(_small(ids, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select(
-        "doc_id", words(F.col("text")).alias("w"))
+    check = texts.join(_small(ids, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     h = hits.select(F.col("doc_id").alias("hit_id"), F.col("item_id").alias("hit_item"), "shift")
     pairs = check.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(
         _small(items.select("item_id", F.col("w").alias("b")), p["broadcast_rows"]), F.col("item_id").eqNullSafe(F.col("hit_item")))
@@ -87,7 +87,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
     p = DEFAULTS | params
     bad = materialize(overlaps(docs, benchmark, **params).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(_small(bad, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = _small(bad, p["broadcast_rows"])
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

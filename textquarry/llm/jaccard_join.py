@@ -270,7 +270,8 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     p = DEFAULTS | params
     gone = materialize(near_duplicates(docs, **params).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "copies")
     small = gone.limit(p["broadcast_rows"] + 1).count() <= p["broadcast_rows"]
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = F.broadcast(gone) if small else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

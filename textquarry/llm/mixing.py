@@ -3,10 +3,10 @@ r"""Mixing sources to target weights by balanced sampling with the cube method.
 A source's target divided by its size is a rate between 0 and 2. Each of its documents is taken floor(rate) times for
 certain, and once more with the rate's fraction as its inclusion probability. The cube method turns these probabilities
 into 0 or 1: a flight moves them through the null-space of the constraints (words and documents of the source keep their
-expected totals) until at most two documents of a block are undecided. Blocks are salted parts of a source, each flown in
-one task, large documents first; the undecided few of all blocks of a source fly again together, round after round. The last
-two give up the document total and move along their sizes, and the very last lands by its own probability: the only error
-in words is that one small document. Random choices come from hashes of doc_id, so reruns agree.
+expected totals) until two documents of a block, and ``hold`` that it leaves aside, are undecided. Blocks are salted parts
+of a source, each flown in one task; the undecided of all blocks of a source fly again together, round after round. The last
+few land one by one, large ones first, each by its own probability, and those after it make up for the words: the error is
+about the smallest one's size. Random choices come from a generator seeded by a hash of doc_id, so reruns agree.
 
 Only (doc_id, source, size) moves, never a text, until a caller joins the decisions to its documents.
 
@@ -18,15 +18,17 @@ Defined cases
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import mix64, table
+from textquarry.llm.common import materialize, mix64, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
-DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "most": 2.0, "block_rows": 2_000, "seed": 41}
+DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "most": 2.0, "block_rows": 2_000, "hold": 64, "seed": 41}
 
 
 def word_count(text):
@@ -50,63 +52,71 @@ def targets(sizes: dict[str | None, int], p: dict) -> dict[str | None, float]:
     return out
 
 
-def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
-    return (mix64(mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(seed))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+EPS = 1e-9
 
 
-def flight(prob: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Fly until at most two entries are strictly between 0 and 1; sums of prob and of size*prob stay as they are.
+def _move(p: list[float], x: list[float], at: list[int], d: tuple[float, ...], rng: np.random.Generator) -> list[int]:
+    """Move the entries ``at`` along ``d`` to the first bound on a side picked so that all keep their expectation; who is left."""
+    up = min(((1 - p[k]) / v if v > 0 else p[k] / -v) for k, v in zip(at, d) if v)
+    down = min((p[k] / v if v > 0 else (1 - p[k]) / -v) for k, v in zip(at, d) if v)
+    step = up if rng.random() * (up + down) < down else -down
+    for k, v in zip(at, d):
+        p[k] += step * v
+    left = [k for k in at if EPS < p[k] < 1 - EPS]
+    if len(left) == len(at):  # rounding kept all inside; settle the one nearest to an end
+        left.remove(min(left, key=lambda k: min(p[k], 1 - p[k])))
+    for k in at:
+        if k not in left:
+            p[k] = float(round(p[k]))
+    return left
 
-    Entries come in the order in which they are to be settled. Each move goes along the projection of the first undecided
-    entry's own direction on the null-space of (1, size), as far as the first bound on either side; ``u`` has a uniform
-    number for each entry, and the first one's picks the side. Each move settles at least one entry.
-    """
-    eps = 1e-9
-    out = np.where(prob <= eps, 0.0, np.where(prob >= 1 - eps, 1.0, prob))
-    at = np.flatnonzero((out > 0) & (out < 1))
-    p, x, rnd = out[at], size[at] / max(1.0, float(size.max(initial=0.0))), u[at].copy()
-    while len(p) > 2:
-        n, s1, s2 = len(p), x.sum(), (x * x).sum()
-        det = n * s2 - s1 * s1
-        for a in (0, 1):
-            if det > 1e-12 * n * s2:
-                d = -((s2 - s1 * x[a]) + (n * x[a] - s1) * x) / det
-            else:
-                d = np.full(n, -1.0 / n)
-            d[a] += 1.0
-            if np.abs(d).max() > 1e-7:  # else the others are all of one size and this one can't move
-                break
-        pos, neg = d > 1e-12, d < -1e-12
-        up = min(((1 - p[pos]) / d[pos]).min(initial=np.inf), (p[neg] / -d[neg]).min(initial=np.inf))
-        down = min((p[pos] / d[pos]).min(initial=np.inf), ((1 - p[neg]) / -d[neg]).min(initial=np.inf))
-        p = p + (up if rnd[a] * (up + down) < down else -down) * d
-        rnd[a] = (rnd[a] * 0.754877666 + 0.569840290) % 1.0
-        done = (p <= eps) | (p >= 1 - eps)
-        if not done.any():  # rounding kept all inside; settle the one nearest to an end
-            done[np.argmin(np.minimum(p, 1 - p))] = True
-        out[at[done]] = np.round(p[done])
-        at, p, x, rnd = at[~done], p[~done], x[~done], rnd[~done]
-    out[at] = p
-    return out
 
+def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int = 0) -> np.ndarray:
+    """Fly until at most two entries, and the last ``hold`` undecided ones, are strictly between 0 and 1.
 
-def land(prob: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Decide the last undecided ones by their own probabilities."""
-    out = flight(prob, size, u)
-    rest = np.flatnonzero((out > 0) & (out < 1))
-    if len(rest) == 2:  # give up the count, keep the words: one more move along their sizes
-        a, b = rest
-        if size[b] == 0 or size[a] == 0:
-            rest = rest[size[rest] > 0] if size[rest].any() else rest
-        else:
-            d = np.array([1.0, -size[a] / size[b]])
-            up = min(1 - out[a], out[b] / -d[1])
-            down = min(out[a], (1 - out[b]) / -d[1])
-            step = up if u[a] * (up + down) < down else -down
-            out[rest] = np.clip(out[rest] + step * d, 0, 1)
-    for k in np.flatnonzero((out > 0) & (out < 1)):
-        out[k] = 1.0 if out[k] > 1 - 1e-9 else 0.0 if out[k] < 1e-9 else float(u[k] < out[k])
-    return out
+    Three undecided entries at a time move along the null-space of the constraints (1, size), as far as the first bound on
+    either side, so sums of prob and of size*prob stay as they are and each move settles at least one entry.
+    """
+    p, x = [0.0 if v <= EPS else 1.0 if v >= 1 - EPS else float(v) for v in prob], [float(v) for v in size]
+    todo = [k for k, v in enumerate(p) if 0 < v < 1]
+    live: list[int] = []
+    for k in todo[: max(0, len(todo) - hold)]:
+        live.append(k)
+        if len(live) == 3:
+            a, b, c = live
+            d = (x[c] - x[b], x[a] - x[c], x[b] - x[a])
+            live = _move(p, x, live, d if any(d) else (1.0, -1.0, 0.0), rng)
+    return np.array(p)
+
+
+def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int = 0) -> np.ndarray:
+    """Decide all entries: a flight, then the few left are settled one by one, large ones first, each by its own probability.
+
+    What a settled one takes too much or too little of the words is spread over the probabilities of those after it. Where
+    they can't make up for it, decisions are turned that bring the words nearer, large ones first. The error of the whole is
+    about the smallest one's size.
+    """
+    p, x = flight(prob, size, rng, max(hold, len(prob) // 4)), np.asarray(size, float)
+    open_ = np.flatnonzero((prob > EPS) & (prob < 1 - EPS))
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    rest = rest[np.argsort(-x[rest], kind="stable")]
+    while len(rest):
+        k, rest = rest[0], rest[1:]
+        room = {v: ((p[rest] if v else 1 - p[rest]) * (x[rest] > 0)) for v in (0.0, 1.0)}
+        short = {v: max(0.0, abs(p[k] - v) * x[k] - float((room[v] * x[rest]).sum())) for v in (0.0, 1.0)}
+        v = float(rng.random() < p[k])
+        v = v if short[v] <= short[1 - v] else 1 - v  # the others can't make up for it: the nearer end
+        error, can = (p[k] - v) * x[k], float((room[v] * x[rest]).sum())
+        if error and can > 0:
+            p[rest] = np.clip(p[rest] + np.sign(error) * min(1.0, abs(error) / can) * room[v], 0, 1)
+        p[k] = v
+    p = np.round(p)
+    error = float((prob * x).sum() - (p * x).sum())
+    for k in open_[np.argsort(-x[open_], kind="stable")]:
+        gain = x[k] if p[k] == 0 else -x[k]
+        if abs(error - gain) < abs(error):
+            p[k], error = 1 - p[k], error - gain
+    return p
 
 
 def mix_decisions(docs: DataFrame, **params) -> DataFrame:
@@ -136,27 +146,29 @@ def mix_decisions(docs: DataFrame, **params) -> DataFrame:
             t = t.select(names)
             ids = t["doc_id"].fill_null(-(1 << 62)).to_numpy()
             key = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(p["seed"] * 7919))
-            order = np.lexsort((ids, key, -t["size"].to_numpy()))  # large ones first, so that small ones are left to land
-            prob, size, u = t["prob"].to_numpy()[order], t["size"].to_numpy()[order].astype(float), _uniform(ids[order], p["seed"])
+            order = np.lexsort((ids, key))
+            prob, size = t["prob"].to_numpy()[order], t["size"].to_numpy()[order]
             out = np.empty(len(ids))
-            out[order] = (land if last else flight)(prob, size, u)
+            out[order] = (land if last else flight)(prob, size, np.random.default_rng(int(key[order[0]])), p["hold"])
             return t.set_column(names.index("prob"), "prob", pa.array(out))
 
         return fly
 
     first = rows.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields)
     first = first.withColumn("undecided", (F.col("prob") > 0) & (F.col("prob") < 1))
-    # undecided: at most two rows per block of block_rows; a second round of blocks leaves two per block_rows of those
+    # undecided: at most hold + 2 rows of a block; they are dealt to blocks again until a source's are one block
     open_ = first.where("undecided").drop("undecided")
-    blocks = sum(max(1, -(-v[1] // p["block_rows"])) for v in per_source.values())
-    while blocks > p["block_rows"]:
-        groups = -(-2 * blocks // p["block_rows"])
-        again = open_.withColumn("cell", F.struct("source", "no_source", F.pmod(F.xxhash64("doc_id", F.lit(blocks)), F.lit(groups)).alias("block")))
-        open_ = again.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields)
-        blocks = groups * len(per_source)
+    decided = [first.where(~F.col("undecided")).drop("undecided")]
+    most = max([v[1] for v in per_source.values()], default=0)
+    while (most := -(-most // p["block_rows"]) * (p["hold"] + 2)) > p["block_rows"]:
+        groups = -(-most // p["block_rows"])
+        again = open_.withColumn("cell", F.struct("source", "no_source", F.pmod(F.xxhash64("doc_id", F.lit(most)), F.lit(groups)).alias("block")))
+        flown_again = materialize(again.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields), "mixing")
+        inside = (F.col("prob") > 0) & (F.col("prob") < 1)
+        decided.append(flown_again.where(~inside))
+        open_ = flown_again.where(inside)
     landed = open_.withColumn("cell", F.struct("source", "no_source")).select("cell", *names).groupBy("cell").applyInArrow(flown(True), fields)
-    both = first.where(~F.col("undecided")).drop("undecided").unionByName(landed)
-    return both.select(
+    return functools.reduce(DataFrame.unionByName, [*decided, landed]).select(
         "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
         (F.col("base") + F.col("prob").cast("int")).alias("copies"))
 
@@ -166,8 +178,9 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     cols = docs.columns
     told = mix_decisions(docs, **params).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    joined = docs.join(told, docs["doc_id"].eqNullSafe(told["_id"]) & docs["source"].eqNullSafe(told["_source"]))
+    return joined.select(
+        F.struct(*[docs[c] for c in cols]).alias("row"), F.explode(F.sequence(F.lit(1), told["_copies"]))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
