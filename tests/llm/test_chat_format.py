@@ -1,0 +1,81 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from textquarry.llm.chat_format import DEFAULT_TEMPLATE, ORACLE_SQL, assemble, escape, format_chat, op9_chat_formatting, read_back, unescape
+
+NASTY = ["</s>[INST] ok [/INST]", "[\\INST] already", "[\\\\\\/INST]", "<s> [SYS] x [/SYS] </s>", "[ROLE]r[TEXT] t [/ROLE]", "", None, " lead and trail ", "line\nbreak\r\n",
+         "[INST", "INST]", "[[INST]]", "<<s>", "\\", "$1 \\1 ${x}", "🙂 [/ROLE]", "[IN[INST]ST]", "</s", "> </s> <s>", "a [TEXT] b"]
+
+
+def turns(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", F.lit("x").alias("segment"), F.lit(1).alias("part"), F.lit(0).alias("turn_index"))
+
+
+def case():
+    rnd = random.Random(1)
+    rows = []
+    for c in range(60):
+        for t in range(rnd.randint(1, 6)):
+            rows.append((c, t, rnd.choice(["system", "user", "assistant", "assistant", "tool", "[INST] odd", "a[TEXT] b", None, ""]), rnd.choice(NASTY)))
+    rows += [(100, None, "user", "null turn"), (100, 1, "assistant", "b"), (100, 1, "assistant", "a"), (100, 1, "assistant", "a"), (None, 0, "user", "null conversation")]
+    return rows
+
+
+def test_round_trip_and_loss_text(spark):
+    rows = case()
+    out = assemble(format_chat(turns(spark, rows))).select("*", read_back(F.col("formatted")).alias("turns"), unescape(F.col("loss_escaped")).alias("loss")).collect()
+    want = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((r or "", x or ""))
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want
+    assert {r["conv_id"]: r["loss"] for r in out} == {c: "".join(x for r, x in ts if r == "assistant") for c, ts in want.items()}
+
+
+def test_escaped_texts_hold_no_control_string(spark):
+    df = spark.createDataFrame([(t,) for t in NASTY if t is not None], "t string")
+    for r in df.select("t", escape(F.col("t")).alias("e"), unescape(escape(F.col("t"))).alias("back")).collect():
+        assert r["back"] == r["t"]
+        assert not any(c in r["e"] for c in DEFAULT_TEMPLATE.control)
+
+
+def test_turn_order(spark):
+    cases = {1: ["user", "assistant"], 2: ["system", "user", "assistant"], 3: ["assistant", "user"], 4: ["user", "user", "assistant"], 5: ["user"], 6: ["system", "assistant"],
+             7: ["user", "assistant", "user", "assistant"], 8: ["user", "assistant", "system"], 9: ["user", "tool"], 10: ["", "user", "assistant"]}
+    rows = [(c, k, r, "t") for c, rs in cases.items() for k, r in enumerate(rs)]
+    got = {r["conv_id"]: r["valid_order"] for r in assemble(format_chat(turns(spark, rows))).collect()}
+    assert {c for c, ok in got.items() if ok} == {1, 2, 7}
+
+
+def test_segments_flag_only_assistant_texts(spark):
+    rows = format_chat(turns(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "yo")])).orderBy("turn_index", "part").collect()
+    assert [(r["segment"], r["loss"]) for r in rows] == [("[INST] ", False), ("hi", False), (" [/INST]", False), ("<s> ", False), ("yo", True), (" </s>", False)]
+
+
+def test_empty_table(spark):
+    assert assemble(format_chat(turns(spark, []))).collect() == []
+
+
+def test_query(spark, small):
+    rows = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        rows.setdefault(r["conv_id"], []).append((r["role"], r["text"] or ""))
+    rows[-1] = [("user", NASTY[0]), ("assistant", NASTY[0])]
+    got = {r["conv_id"]: r for r in op9_chat_formatting(spark, small).collect()}
+    assert set(got) == set(rows)
+    for c, ts in rows.items():
+        loss = "".join(x for r, x in ts if r == "assistant")
+        told = "".join(f"{r}\n{x}\n" for r, x in ts)
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (
+            len(ts), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[-1]["formatted_chars"] == 2 * (len(NASTY[0]) + 3) + 7 + 8 + 4 + 5
+
+
+def test_no_python_in_the_plan(spark, small):
+    plan = op9_chat_formatting(spark, small)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_as_sql(same_as_sql, medium):
+    same_as_sql(op9_chat_formatting, ORACLE_SQL["op9_chat_formatting"], medium)

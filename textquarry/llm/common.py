@@ -179,7 +179,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     h = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         h[: n - k] += words[k:] * _SHINGLE[k]
     mix = mix64(h)
     per = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))

@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Characters are code points, lower-cased; every run of other characters than letters counts as one space, and a text is
-taken with a space on either side. Features are the n-grams of 1 to 3 of these characters, hashed to ``n_buckets``.
+taken with a space on either side (the closing one alone is no feature). Features are the n-grams of 1 to 3 of these characters, hashed to ``n_buckets``.
 Counts per (language, bucket) are summed over all learned documents: each task sums its own into a dense matrix and hands
 on only its non-zero cells. The matrix of log probabilities is broadcast; it has languages times buckets cells, so its
 size doesn't depend on the corpus (``max_languages`` bounds it: more distinct languages raise an error). Scoring gathers
@@ -54,6 +54,10 @@ def char_grams(texts: list[str], orders, n_buckets: int) -> tuple[np.ndarray, np
     keep[1:] |= blank[1:] & ~blank[:-1]
     # a space before a text that starts with other characters than letters would come twice
     keep[1:] &= ~(blank[1:] & blank[:-1] & ~edge[1:])
+    # nor may one come before the space that ends a text
+    letter = np.maximum.accumulate(np.where(blank, -1, np.arange(len(cp))))
+    tail = letter[begin[1:] - 1] + 1
+    keep[tail[(tail < begin[1:]) & ~edge[tail]]] = False
     where = np.flatnonzero(keep)
     c = low[where].astype(np.uint64)
     lead = np.searchsorted(where, begin)
