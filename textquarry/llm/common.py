@@ -67,6 +67,56 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# ---------------------------------------------------------------- memory of tasks
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: a Python worker stays for later tasks, beside whatever runs then."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(fn):
+    """``fn`` of mapInArrow (an iterator of batches) that gives freed memory back when it ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def tidy_group(fn):
+    """The same for a function of applyInArrow on a group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return fn(t)
+        finally:
+            _give_back()
+
+    return run
+
+
+def tidy_groups(fn):
+    """The same for a function of applyInArrow on two groups."""
+
+    def run(t: pa.Table, u: pa.Table) -> pa.Table:
+        try:
+            return fn(t, u)
+        finally:
+            _give_back()
+
+    return run
+
+
 # ---------------------------------------------------------------- text in tasks
 
 

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import (U64, replacing, runs_of_docs, shingle_hashes, span_hashes, splitmix, string_buffers, table,
+from textquarry.llm.common import (U64, replacing, runs_of_docs, shingle_hashes, span_hashes, splitmix, string_buffers, table, tidy,
                                    text_bytes, word_spans)
 from textquarry.llm.token_output import with_parts
 
-DEFAULTS = {"bins": 512, "bits": 4, "width": 5, "block_bytes": 1 << 21, "part_bytes": 8 << 20, "max_parts": 20_000}
+DEFAULTS = {"bins": 512, "bits": 4, "width": 5, "block_bytes": 1 << 20, "part_bytes": 8 << 20, "max_parts": 20_000}
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -93,7 +93,7 @@ def fingerprint(docs: DataFrame, col: str = "text", **params) -> DataFrame:
                 out += pack(*codes(buf[off[i]: off[j]], off[i: j + 1] - off[i], p), p["bits"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def with_next(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -155,7 +155,7 @@ def edited_likeness(docs: DataFrame, **params) -> DataFrame:
         if len(held) > 1:
             yield block(held)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import (U64, materialize, mix64, runs_of_docs, shingle_hashes, span_hashes, splitmix, string_buffers,
-                                   table, word_spans)
+                                   table, tidy, word_spans)
 from textquarry.llm.components import components
 from textquarry.llm.fingerprint import _FOLD
 
 DEFAULTS = {"threshold": 0.8, "width": 5, "rows": 5, "bands": 28, "tolerance": 1e-9, "step": 20, "block": 1024,
-            "broadcast_rows": 1_000_000, "block_bytes": 1 << 21}
+            "broadcast_rows": 1_000_000, "block_bytes": 1 << 20}
 
 
 def _words(buf, off):
@@ -100,7 +100,7 @@ def features(docs: DataFrame, p: dict) -> DataFrame:
                     [ids.slice(i, j - i).take(pa.array(some)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                      pa.array([k.tobytes() for k in keys], pa.binary())], names=["doc_id", "h1", "h2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, h1 long, h2 long, keys binary")
 
 
 def unpack_keys(reps: DataFrame, p: dict) -> DataFrame:
@@ -116,7 +116,7 @@ def unpack_keys(reps: DataFrame, p: dict) -> DataFrame:
                 pa.array(np.repeat(rep, keys.shape[1])), pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), n)), pa.array(keys.reshape(-1))],
                 names=["rep", "band", "key"])
 
-    return reps.select("rep", "keys").mapInArrow(run, "rep long, band int, key long")
+    return reps.select("rep", "keys").mapInArrow(tidy(run), "rep long, band int, key long")
 
 
 def profiles(docs: DataFrame, p: dict) -> DataFrame:
@@ -132,7 +132,7 @@ def profiles(docs: DataFrame, p: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(grams, pa.binary())],
                                                  names=["rep", "sig", "grams"])
 
-    return docs.mapInArrow(run, "rep long, sig binary, grams binary")
+    return docs.mapInArrow(tidy(run), "rep long, sig binary, grams binary")
 
 
 def compare_bucket(rep: np.ndarray, sig: np.ndarray, grams: list[np.ndarray], band: int, left: np.ndarray, right: np.ndarray, p: dict):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import U64, mix64, replacing, string_buffers, table
+from textquarry.llm.common import U64, mix64, replacing, string_buffers, table, tidy
 
 DEFAULTS = {"n_buckets": 1 << 16, "orders": (1, 2, 3), "alpha": 0.05, "max_languages": 512, "block_chars": 1 << 20}
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, **params) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hot), pa.string()), pa.array(hot.astype(np.int32)), pa.array(cells[hot])],
                                              names=["lang", "bucket", "n"])
 
-    cells = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    cells = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = cells.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(p["max_languages"] + 1).collect()
     if len(got) > p["max_languages"]:
         raise ValueError(f"more than {p['max_languages']} languages")
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, col: str = "tex
             said = pa.array([names[k] if k >= 0 else "und" for k in best], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, said, pa.array(prob)], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ class Kept:
 
 
 class BatchTokenizer:
-    MAX_KEPT = 1_000_000
+    MAX_KEPT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

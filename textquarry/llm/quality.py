@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import (U64, mix64, replacing, runs_of_docs, span_hashes, string_buffers, table)
+from textquarry.llm.common import (U64, mix64, replacing, runs_of_docs, span_hashes, string_buffers, table, tidy)
 
 # kinds of bytes: 0 white space and controls, 1 letters, digits and everything outside ASCII, others by the character
 _KIND = np.zeros(256, np.uint8)
@@ -32,7 +32,7 @@ for _lo, _hi in ((48, 57), (65, 90), (97, 122), (128, 255)):
     _KIND[_lo: _hi + 1] = 1
 
 DEFAULTS = {"n_features": 1 << 20, "scale": 20.0, "max_train": 16_000, "epochs": 2, "alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.1,
-            "block_bytes": 1 << 21}
+            "block_bytes": 1 << 20}
 
 
 def text_features(buf: np.ndarray, off: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, **params) -> bytes:
             hot = np.flatnonzero(w)
             yield pa.RecordBatch.from_pydict({"idx": [hot.astype("<i4").tobytes()], "w": [w[hot].astype("<f8").tobytes()]})
 
-    found = sample.coalesce(1).mapInArrow(learn, "idx binary, w binary").collect()
+    found = sample.coalesce(1).mapInArrow(tidy(learn), "idx binary, w binary").collect()
     out = np.zeros(p["n_features"] + 1)
     for r in found:
         out[np.frombuffer(r["idx"], "<i4")] = np.frombuffer(r["w"], "<f8")
@@ -141,7 +141,7 @@ def score_quality(docs: DataFrame, weights: bytes, col: str = "text", **params)
             out = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "quality_score"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(tidy(score), schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import U64, mix64, runs_of_docs, splitmix, string_buffers, table, text_bytes
+from textquarry.llm.common import U64, mix64, runs_of_docs, splitmix, string_buffers, table, text_bytes, tidy_group, tidy_groups
 
 DEFAULTS = {"depth": 50, "head": 24, "unit_bytes": 8 << 20, "block_bytes": 1_000_000, "many_runs": 64}
 
@@ -370,7 +370,7 @@ def mark_repeats(docs: DataFrame, digest: bool = True, **params) -> DataFrame:
     def heads(t: pa.Table) -> pa.Table:
         return _sent(Unit(t, units, p).send_groups(), t["unit"][0].as_py())
 
-    sent = dealt.groupBy("unit").applyInArrow(heads, SENT)
+    sent = dealt.groupBy("unit").applyInArrow(tidy_group(heads), SENT)
     told = sent.groupBy("bucket").applyInArrow(lambda t: _told(*(lambda u, f: (u, 1, t["bucket"][0].as_py(), f))(*judge_groups(t))), TOLD)
 
     def windows(t: pa.Table, f: pa.Table) -> pa.Table:
@@ -382,7 +382,7 @@ def mark_repeats(docs: DataFrame, digest: bool = True, **params) -> DataFrame:
         rows = [(-1 - unit, state_bytes, b"", b"") for state_bytes in [_squeeze(state)]]
         return _sent(rows + list(u.send_windows(state)), unit)
 
-    asked = dealt.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(windows, SENT)
+    asked = dealt.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(tidy_groups(windows), SENT)
 
     def answer(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
@@ -415,7 +415,7 @@ def mark_repeats(docs: DataFrame, digest: bool = True, **params) -> DataFrame:
             "n_spans": spans[u.off[1:]] - spans[u.off[:-1]], last: pa.array(kept, pa.string() if digest else pa.binary())})
 
     return dealt.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-        finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}")
+        tidy_groups(finish), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import replacing, table
+from textquarry.llm.common import replacing, table, tidy
 
 MARK = "▁"
 UNK_PENALTY = 10.0
@@ -141,7 +141,7 @@ def count_tokens(docs: DataFrame, col: str = "text", model: str | None = None) -
             s = np.array([x[1] for x in got], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(s)], names=[*b.schema.names, "n_tokens", "viterbi_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import rans
-from textquarry.llm.common import runs_of_docs, shared_dir, string_buffers, table, text_bytes
+from textquarry.llm.common import runs_of_docs, shared_dir, string_buffers, table, text_bytes, tidy, tidy_group, tidy_groups
 
 DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_parts": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
 
@@ -76,7 +76,7 @@ def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFra
                 packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((done * size).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
                 yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), part.slice(i, j - i), packed.cast(pa.binary())], names=["doc_id", "part", "ids"])
 
-    return docs.select("doc_id", "part", col).mapInArrow(run, "doc_id long, part int, ids binary")
+    return docs.select("doc_id", "part", col).mapInArrow(tidy(run), "doc_id long, part int, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **params) -> None:
@@ -92,7 +92,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
         hot = np.flatnonzero(c)
         return pa.table({"id": pa.array(hot, pa.int32()), "n": pa.array(c[hot], pa.int64())})
 
-    counts = tokens.groupBy("part").applyInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.groupBy("part").applyInArrow(tidy_group(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row of at most n_ids pairs, given to each part
     shared = counts.agg(F.collect_list("id").alias("table_id"), F.collect_list("n").alias("table_n")).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(n_parts + 1))))
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
         return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
     blocks = tokens.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
-        encode, "part int, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
+        tidy_groups(encode), "part int, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
     blocks.write.option("compression", "none").parquet(path)
 
 
@@ -160,7 +160,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     kind = "ids_crc32 long" if digest else "ids binary"
-    return blocks.select("part", "part_offset", "doc_ids", "lengths", "payload").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {kind}")
+    return blocks.select("part", "part_offset", "doc_ids", "lengths", "payload").mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def token_id_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, **params) -> DataFrame:
