@@ -38,6 +38,9 @@ def parse_address(address: Column) -> Column:
 def render_number(x: Column) -> Column:
     """Shortest decimal text that reads back as the same double: no exponent, no ``.0``."""
     s = x.cast("string")
+    # where the JVM gives 17 digits, 16 of them may say the same double
+    short = F.format_string("%.15E", x)
+    s = F.when((F.length(F.regexp_replace(F.substring_index(s, "E", 1), "[^0-9]", "")) >= 17) & (short.try_cast("double") == x), short).otherwise(s)
     sign = F.when(s.startswith("-"), "-").otherwise("")
     bare = F.regexp_replace(s, "^-", "")
     mantissa = F.substring_index(bare, "E", 1)

@@ -1,6 +1,393 @@
-"""The registered queries over the driver's tables, with their DuckDB counterparts."""
+"""The registered queries over the driver's tables, with their DuckDB counterparts.
+
+Each table stands for a container of documents: texts are word-processor files, tables are sheets, conversations are
+comments, page addresses are paths. All queries read their whole tables.
+"""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textquarry.functions import cells, labels, matching, patterns
+from textquarry.operators import context, paths, report, search, storage, units
+from textquarry.operators.search import SearchRequest
+from textquarry.sinks import export
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def document_units(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".docx"))
+    return units.paragraph_units(docs, F.concat(F.coalesce("source", F.lit("")), F.lit("/"), name), name, F.col("text"))
+
+
+def part_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts as a sheet with holes: names and types are missing where the size says so."""
+    size = F.col("p_size")
+    return units.sheet_units(_table(spark, sf, "part"), "p_partkey", "part", {
+        "p_name": F.when(size % 7 != 0, F.col("p_name")), "p_brand": F.when(size % 3 != 0, F.col("p_brand")), "p_type": F.when(size % 5 != 0, F.col("p_type")),
+        "p_size": size, "p_retailprice": cells.render_number(F.col("p_retailprice"))})
+
+
+def conversation_units(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(".xlsx"))
+    return units.comment_units(_table(spark, sf, "conversations"), F.concat(F.lit("conversations/"), name), name, F.col("role"), F.col("turn") + 1, F.col("text"))
+
+
+# ---------------------------------------------------------------- SQL pieces of the counterparts
+
+
+def _esc(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{raw}', '{safe}')"
+    return x
+
+
+def _snippet(text: str, pos: str, length: str) -> str:
+    first, end = f"greatest(1, {pos} - 30)", f"least({pos} + {length}, length({text}) + 1)"
+    last = f"least(length({text}) + 1, {end} + 30)"
+    mark = matching.MARK_OPEN.replace("'", "''")
+    return (f"(CASE WHEN {first} > 1 THEN '...' ELSE '' END || {_esc(f'substr({text}, {first}, {pos} - {first})')} || '{mark}' || {_esc(f'substr({text}, {pos}, {end} - {pos})')}"
+            f" || '</mark>' || {_esc(f'substr({text}, {end}, {last} - {end})')} || CASE WHEN {last} <= length({text}) THEN '...' ELSE '' END)")
+
+
+_PARAS = r"""d AS (
+  SELECT coalesce(source, '') || '/' || doc_id || '.docx' AS full_path, doc_id || '.docx' AS file_name,
+    list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\r\n\f]'), lambda x: regexp_replace(
+      regexp_replace(translate(x, chr(7) || chr(11), chr(9) || ' '), '[\x00-\x08\x0E-\x1F\x7F-\x{9F}]', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps
+  FROM documents
+), u AS (SELECT full_path, file_name, unnest(ps) AS text, generate_subscripts(ps, 1)::BIGINT AS row_index FROM d)"""
+
+_PARTS = """v AS (
+  SELECT p_partkey + 2 AS r, 1 AS c, CASE WHEN p_size % 7 <> 0 THEN p_name END AS v, p_size, p_partkey FROM part
+  UNION ALL SELECT p_partkey + 2, 2, CASE WHEN p_size % 3 <> 0 THEN p_brand END, p_size, p_partkey FROM part
+  UNION ALL SELECT p_partkey + 2, 3, CASE WHEN p_size % 5 <> 0 THEN p_type END, p_size, p_partkey FROM part
+  UNION ALL SELECT p_partkey + 2, 4, p_size::VARCHAR, p_size, p_partkey FROM part
+  UNION ALL SELECT p_partkey + 2, 5, regexp_replace(p_retailprice::VARCHAR, '\\.0$', ''), p_size, p_partkey FROM part
+  UNION ALL SELECT 1, unnest([1, 2, 3, 4, 5]), unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']), 0, 0
+), cell AS (SELECT r::BIGINT AS r, c::INT AS c, v FROM v WHERE v IS NOT NULL AND v <> '')""".replace("\\\\", "\\")
+
+
+# ---------------------------------------------------------------- scans and predicates
+
+
+@_query("paragraphs", f"WITH {_PARAS} SELECT * FROM u")
+def paragraphs(spark, sf):
+    return document_units(spark, sf).select("full_path", "file_name", "text", "row_index")
+
+
+@_query("paragraph_search", f"""WITH {_PARAS}, h AS (SELECT *, instr(lower(text), 'thatin') AS p FROM u WHERE contains(lower(text), 'thatin'))
+SELECT row_number() OVER (ORDER BY full_path, row_index) AS id, full_path, row_index, 'WordText' AS match_type, {_snippet('text', 'p', '6')} AS snippet FROM h""")
+def paragraph_search(spark, sf):
+    """The flagship: literal search, case ignored, with snippets and stable ids."""
+    return search.search(document_units(spark, sf), SearchRequest("thatin")).select("id", "full_path", "row_index", "match_type", "snippet")
+
+
+@_query("literal_match_case", f"WITH {_PARAS} SELECT full_path, row_index, instr(text, 'The ') AS hit_pos FROM u WHERE contains(text, 'The ')")
+def literal_match_case(spark, sf):
+    return search.hits(document_units(spark, sf), SearchRequest("The ", match_case=True)).select("full_path", "row_index", F.col("hit_pos").cast("long").alias("hit_pos"))
+
+
+@_query("literal_non_ascii", f"WITH {_PARAS} SELECT full_path, row_index, instr(lower(text), 'être') AS hit_pos FROM u WHERE contains(lower(text), 'être')")
+def literal_non_ascii(spark, sf):
+    return search.hits(document_units(spark, sf), SearchRequest("ÊTRE")).select("full_path", "row_index", F.col("hit_pos").cast("long").alias("hit_pos"))
+
+
+@_query("regex_first", rf"""WITH {_PARAS}, h AS (SELECT *, regexp_extract(text, '[a-z]+ing (the|and)') AS hit FROM u WHERE regexp_matches(text, '[a-z]+ing (the|and)'))
+SELECT full_path, row_index, instr(text, hit) AS hit_pos, length(hit) AS hit_len FROM h""")
+def regex_first(spark, sf):
+    found = search.hits(document_units(spark, sf), SearchRequest("[a-z]+ing (the|and)", is_regex=True, match_case=True))
+    return found.select("full_path", "row_index", F.col("hit_pos").cast("long").alias("hit_pos"), F.col("hit_len").cast("long").alias("hit_len"))
+
+
+@_query("regex_any_case", f"WITH {_PARAS} SELECT full_path, row_index FROM u WHERE regexp_matches(lower(text), 'ción(ue|os) [a-z]')")
+def regex_any_case(spark, sf):
+    return search.hits(document_units(spark, sf), SearchRequest("CIÓN(ue|OS) [a-z]", is_regex=True)).select("full_path", "row_index")
+
+
+@_query("cells_match", f"WITH {_PARTS} SELECT r AS row_index, c AS col_index, chr(64 + c) || r AS cell_address, v AS full_content FROM cell WHERE contains(lower(v), 'ring')")
+def cells_match(spark, sf):
+    return search.project(search.hits(part_units(spark, sf), SearchRequest("RING"))).select("row_index", "col_index", "cell_address", "full_content")
+
+
+@_query("scope_union", f"""WITH {_PARAS} SELECT match_type, count(*) AS hits FROM (
+  SELECT 'WordText' AS match_type FROM u WHERE contains(lower(text), 'tion')
+  UNION ALL SELECT 'Comment' FROM conversations WHERE contains(lower(coalesce(text, '')), 'tion')
+  UNION ALL SELECT 'HiddenSheet' FROM nation WHERE contains(lower(n_name), 'tion')) GROUP BY 1""")
+def scope_union(spark, sf):
+    hidden = units.sheet_units(_table(spark, sf, "nation"), "n_nationkey", "nation", {"n_name": F.col("n_name")}, hidden=True, header=False)
+    everything = document_units(spark, sf).unionByName(conversation_units(spark, sf)).unionByName(hidden)
+    found = search.project(search.hits(everything, SearchRequest("tion", hidden_sheets=True)))
+    return found.groupBy("match_type").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@_query("single_file", f"WITH {_PARAS} SELECT row_index, text FROM u WHERE full_path IN (SELECT coalesce(source, '') || '/' || doc_id || '.docx' FROM documents WHERE doc_id = 1) AND contains(lower(text), 'th')")
+def single_file(spark, sf):
+    """Hits in one requested file: the request is a semi-join on the path."""
+    wanted = _table(spark, sf, "documents").where("doc_id = 1").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id"), F.lit(".docx")).alias("full_path"))
+    return search.hits(document_units(spark, sf), SearchRequest("th")).join(wanted, "full_path", "left_semi").select("row_index", "text")
+
+
+@_query("refine_filter", f"""WITH {_PARAS} SELECT full_path, row_index FROM u WHERE contains(lower(text), 'thatin') AND (contains(lower(text), 'the ') OR contains(file_name, 'the ') OR contains(lower(full_path), 'the '))""")
+def refine_filter(spark, sf):
+    found = search.project(search.hits(document_units(spark, sf), SearchRequest("thatin")))
+    return search.refine(found, "The ").select("full_path", "row_index")
+
+
+# ---------------------------------------------------------------- paths
+
+
+def _url_path(col):
+    return F.regexp_replace(F.regexp_replace(col, "^[a-z]+://", ""), "[?#].*$", "")
+
+
+_URLS = r"p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages)"
+
+
+@_query("include_patterns", rf"""WITH {_URLS} SELECT page_id, path FROM p WHERE regexp_matches(path, '^(.*/)?[^/]*4[^/]*\.html$') OR regexp_matches(path, '^blog\.[^/]*/(.*/)?[0-9][^/]*$')""")
+def include_patterns(spark, sf):
+    """Gitignore globs compiled to regular expressions over a path column."""
+    p = _table(spark, sf, "pages").select("page_id", _url_path(F.col("url")).alias("path"))
+    hit = F.lit(False)
+    for glob in ("*4*.html", "/blog.*/**/[0-9]*"):
+        hit |= F.col("path").rlike(patterns.glob_regex(glob)[0] + "$")
+    return p.where(hit)
+
+
+@_query("ignore_patterns", rf"""WITH {_URLS} SELECT page_id FROM p WHERE NOT (
+  regexp_matches(path, '^(.*/)?spam[^/]*/') OR regexp_matches(path, '(^|/)[^/]*[0-689](/|$)'))""")
+def ignore_patterns(spark, sf):
+    p = _table(spark, sf, "pages").select("page_id", _url_path(F.col("url")).alias("path"))
+    return p.where(~patterns.PathFilter(ignore="spam*/, *[0-9], !*7").ignored(F.col("path"))).select("page_id")
+
+
+@_query("root_prune", rf"""WITH {_URLS}, q AS (SELECT DISTINCT regexp_replace(path, '/+$', '') AS path FROM (SELECT path FROM p UNION ALL SELECT regexp_extract(path, '^[^/]*/fr') FROM p) WHERE path <> '')
+SELECT path FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE starts_with(a.path, b.path || '/'))""")
+def root_prune(spark, sf):
+    p = _table(spark, sf, "pages").select(_url_path(F.col("url")).alias("path"))
+    roots = p.unionByName(p.select(F.regexp_extract("path", "^[^/]*/fr", 0).alias("path"))).where("path <> ''")
+    return paths.prune_nested(roots)
+
+
+@_query("path_completion", rf"""WITH {_URLS} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM p WHERE starts_with(regexp_replace(path, '/[^/]*$', ''), 'blog.') ORDER BY 1 LIMIT 10""")
+def path_completion(spark, sf):
+    p = _table(spark, sf, "pages").select(F.regexp_replace(_url_path(F.col("url")), "/[^/]*$", "").alias("path"))
+    return paths.complete(p, "blog.")
+
+
+@_query("display_paths", r"SELECT page_id, '\\server\' || page_id AS shown FROM pages")
+def display_paths(spark, sf):
+    raw = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("\\\\?\\UNC\\server\\")).otherwise(F.lit("\\\\?\\\\\\server\\")), F.col("page_id"))
+    return _table(spark, sf, "pages").select("page_id", cells.display_path(raw).alias("shown"))
+
+
+@_query("recent_entries", "SELECT props AS value, max(ts) AS last_used FROM events WHERE trim(props) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def recent_entries(spark, sf):
+    return paths.most_recent(_table(spark, sf, "events").select(F.col("props").alias("value"), "ts"), "value", "ts")
+
+
+# ---------------------------------------------------------------- rendering
+
+
+@_query("number_render", r"""SELECT 'part' AS t, p_partkey AS k, regexp_replace(p_retailprice::VARCHAR, '\.0$', '') AS shown FROM part
+UNION ALL SELECT 'customer', c_custkey, regexp_replace(c_acctbal::VARCHAR, '\.0$', '') FROM customer""")
+def number_render(spark, sf):
+    one = _table(spark, sf, "part").select(F.lit("part").alias("t"), F.col("p_partkey").alias("k"), cells.render_number(F.col("p_retailprice")).alias("shown"))
+    return one.unionByName(_table(spark, sf, "customer").select(F.lit("customer").alias("t"), F.col("c_custkey").alias("k"), cells.render_number(F.col("c_acctbal")).alias("shown")))
+
+
+@_query("cell_addresses", """SELECT l_orderkey, l_linenumber, CASE WHEN n >= 702 THEN chr(65 + ((n - 702) // 676)::INT) ELSE '' END || CASE WHEN n >= 26 THEN chr(65 + ((n - 26) // 26 % 26)::INT) ELSE '' END || chr(65 + (n % 26)::INT) || (l_linenumber + 1) AS address,
+n AS col, l_linenumber::BIGINT AS "row" FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 7 + l_suppkey) % 16384 AS n FROM lineitem)""")
+def cell_addresses(spark, sf):
+    """A1 addresses and back, over all columns of a sheet."""
+    li = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 16384).alias("n"))
+    a = li.withColumn("address", cells.cell_address(F.col("l_linenumber"), F.col("n")))
+    return a.withColumn("p", cells.parse_address(F.col("address"))).select("l_orderkey", "l_linenumber", "address", F.col("p.col").alias("col"), F.col("p.row").alias("row"))
+
+
+@_query("csv_fields", r"SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\r\n|\r|\n', ' ', 'g') AS field FROM documents")
+def csv_fields(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", cells.csv_field(F.col("text")).alias("field"))
+
+
+@_query("markdown_cells", r"SELECT doc_id, regexp_replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '|', '\|'), '\r\n|\r|\n', '<br>', 'g') AS cell, replace(replace(replace(text, '|', '\|'), chr(13), ' '), chr(10), ' ') AS preview FROM documents")
+def markdown_cells(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", cells.markdown_cell(F.col("text")).alias("cell"), cells.markdown_preview_cell(F.col("text")).alias("preview"))
+
+
+@_query("natural_order", "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place, o_orderkey FROM orders")
+def natural_order(spark, sf):
+    """Names with numbers in them, in the order of the numbers, numbered over the whole table."""
+    name = F.concat("o_orderpriority", F.lit(" Order "), F.col("o_orderkey").cast("string"))
+    return storage.number_rows(_table(spark, sf, "orders").select("o_orderkey", cells.natural_key(name).alias("k")), ["k"], "place").select("place", "o_orderkey")
+
+
+@_query("kind_labels", """SELECT event_id, CASE lang WHEN 'ja' THEN CASE kind WHEN 'Formula' THEN '数式' WHEN 'Shape' THEN '図形' ELSE kind END
+  ELSE CASE kind WHEN 'HiddenSheet' THEN 'Hidden sheet' ELSE kind END END AS label
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ja' WHEN 1 THEN 'en' ELSE 'fr' END AS lang, CASE event_type WHEN 'click' THEN 'Formula' WHEN 'view' THEN 'Shape' ELSE event_type END AS kind FROM events)""")
+def kind_labels(spark, sf):
+    """Label look-up with fallbacks: own language, English, the kind itself."""
+    kind = F.when(F.col("event_type") == "click", "Formula").when(F.col("event_type") == "view", "Shape").otherwise(F.col("event_type"))
+    lang = F.when(F.col("event_id") % 3 == 0, "ja").when(F.col("event_id") % 3 == 1, "en").otherwise("fr")
+    return _table(spark, sf, "events").select("event_id", labels.label_of(kind, lang).alias("label"))
+
+
+# ---------------------------------------------------------------- context
+
+
+@_query("heading_before", rf"""WITH {_PARAS}, t AS (SELECT *, regexp_extract(text, '^(\S+)', 1) AS w FROM u), h AS (
+  SELECT *, starts_with(text, '#') OR (octet_length(encode(text)) <= 80 AND right(text, 1) NOT IN ('.', '。')
+    AND (right(w, 1) = '.' OR starts_with(text, '第') OR starts_with(text, 'Chapter') OR starts_with(text, 'Section'))) AS is_h FROM t)
+SELECT full_path, row_index, coalesce(last_value(CASE WHEN is_h THEN text END IGNORE NULLS) OVER (PARTITION BY full_path ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Document Section') AS section FROM h""")
+def heading_before(spark, sf):
+    return context.headings_before(document_units(spark, sf)).select("full_path", "row_index", "section")
+
+
+@_query("grid_preview", f"""WITH {_PARTS}, h AS (SELECT r, c FROM cell WHERE contains(lower(v), 'ring'))
+SELECT h.r AS row_index, h.c AS col_index, cell.r, cell.c, cell.v AS text, cell.r = h.r AND cell.c = h.c AS is_target
+FROM h JOIN cell ON cell.r BETWEEN h.r - 3 AND h.r + 3 AND cell.c BETWEEN h.c - 2 AND h.c + 2""")
+def grid_preview(spark, sf):
+    u = part_units(spark, sf)
+    found = search.hits(u, SearchRequest("ring")).select(F.struct("row_index", "col_index").alias("id"), "full_path", "sheet_name", "row_index", "col_index")
+    return context.grid_preview(found, u).select("id.row_index", "id.col_index", "r", "c", "text", "is_target")
+
+
+@_query("header_context", f"""WITH {_PARTS}, n AS (SELECT r, count(*) AS n FROM cell GROUP BY r), w AS (
+  SELECT r, c, v, max(CASE WHEN n >= 2 THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hr FROM cell JOIN n USING (r)
+), h AS (SELECT w.r, w.c, CASE WHEN w.r = 1 THEN 1 ELSE w.hr END AS header_row FROM w WHERE contains(lower(w.v), 'brand#1')
+), k AS (SELECT r, min(c) AS k FROM cell GROUP BY r)
+SELECT h.r, h.c, h.header_row, hc.v AS column_header, CASE WHEN k.k < h.c THEN k.k ELSE 1 END::INT AS key_col, coalesce(kc.v, 'Row ' || h.r) AS row_key
+FROM h JOIN cell hc ON hc.r = h.header_row AND hc.c = h.c JOIN k ON k.r = h.r LEFT JOIN cell kc ON kc.r = h.r AND kc.c = CASE WHEN k.k < h.c THEN k.k ELSE 1 END""")
+def header_context(spark, sf):
+    u = part_units(spark, sf)
+    found = search.hits(u, SearchRequest("brand#1")).select((F.col("row_index") * 100 + F.col("col_index")).alias("id"), "full_path", "sheet_name", "row_index", "col_index")
+    out = context.header_context(found, u)
+    return out.select(F.floor(F.col("id") / 100).alias("r"), (F.col("id") % 100).cast("int").alias("c"), "header_row", "column_header", F.col("key_col").cast("int").alias("key_col"), "row_key")
+
+
+@_query("window_columns", f"""WITH {_PARTS}, h AS (SELECT DISTINCT c FROM cell WHERE contains(lower(v), 'economy')), s AS (
+  SELECT DISTINCT unnest(range(greatest(1, c - 1), least(5, c + 1) + 1))::INT AS c FROM h UNION SELECT 1)
+SELECT c, coalesce(c > lag(c) OVER (ORDER BY c) + 1, false) AS gap_before, lead(c) OVER (ORDER BY c) IS NULL AND c < 5 AS gap_after FROM s""")
+def window_columns(spark, sf):
+    u = part_units(spark, sf)
+    found = search.hits(u, SearchRequest("economy"))
+    keys = found.select("full_path", "sheet_name").distinct().withColumn("key_col", F.lit(1))
+    return context.window_columns(found, keys, u, window=1).select("c", "gap_before", "gap_after")
+
+
+@_query("word_sections", f"""WITH {_PARAS}, h AS (SELECT *, substr(text, instr(lower(text), 'thatin'), 6) AS hit FROM u WHERE contains(lower(text), 'thatin'))
+SELECT full_path, '### ' || any_value(file_name) || chr(10) || chr(10) || string_agg('- Location: Paragraph ' || row_index || chr(10) || chr(10) || '> ' || replace(text, hit, '**' || hit || '**'), chr(10) || chr(10) ORDER BY row_index) AS section_text
+FROM h GROUP BY full_path""")
+def word_sections(spark, sf):
+    u = document_units(spark, sf)
+    found = search.project(search.hits(u, SearchRequest("thatin")))
+    return context.word_context(found, u, headings=False)
+
+
+@_query("sheet_sections")
+def sheet_sections(spark, sf):
+    """Markdown of a sheet with hits, its table in a window of columns; the pieces have SQL of their own above."""
+    u = part_units(spark, sf)
+    return context.sheet_context(search.search(u, SearchRequest("red widget")), u)
+
+
+@_query("sheet_page", f"""WITH {_PARTS} SELECT r AS row_number, '| ' || string_agg(replace(coalesce(cell.v, ''), '|', '\\|'), ' | ' ORDER BY g.c) || ' |' AS line
+FROM (SELECT r, c FROM range(1, 101) t(r), range(1, 6) s(c)) g LEFT JOIN cell USING (r, c) WHERE r IN (SELECT r FROM cell) GROUP BY r""")
+def sheet_page(spark, sf):
+    """The first page of a sheet (100 rows: the pager's default) as Markdown lines with all columns."""
+    v = context.values(part_units(spark, sf)).where(F.col("r").between(1, 100))
+    row = F.map_from_entries(F.collect_list(F.struct("c", cells.markdown_preview_cell(F.col("v")))))
+    return v.groupBy("r").agg(row.alias("m")).select(F.col("r").alias("row_number"), F.concat(F.lit("| "), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(5)), lambda c: F.coalesce(F.col("m")[c], F.lit(""))), " | "), F.lit(" |")).alias("line"))
+
+
+@_query("sheet_list", """SELECT 0 AS sheet_pos, 'nation' AS sheet_name, count(*) * 2 + 2 AS n_cells FROM nation UNION ALL SELECT 1, 'region', count(*) + 1 FROM region""")
+def sheet_list(spark, sf):
+    a = units.sheet_units(_table(spark, sf, "nation"), "n_nationkey", "nation", {"n_name": F.col("n_name"), "n_regionkey": F.col("n_regionkey")})
+    b = units.sheet_units(_table(spark, sf, "region"), "r_regionkey", "region", {"r_name": F.col("r_name")}).withColumn("sheet_pos", F.lit(1))
+    return a.unionByName(b).groupBy("sheet_pos", "sheet_name").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+# ---------------------------------------------------------------- reports and exports
+
+
+@_query("hits_by_file", f"WITH {_PARAS} SELECT full_path, 'Word' AS sheet_name, count(*) AS hits, min(row_index) AS first_row, max(row_index) AS last_row FROM u WHERE contains(lower(text), 'tion') GROUP BY 1")
+def hits_by_file(spark, sf):
+    return report.per_file(search.project(search.hits(document_units(spark, sf), SearchRequest("tion"))))
+
+
+@_query("first_with_total", f"""WITH {_PARAS}, h AS (SELECT *, row_number() OVER (ORDER BY full_path, row_index) AS id, count(*) OVER () AS total FROM u WHERE contains(lower(text), 'ention'))
+SELECT id, full_path, row_index, total, total > 100 AS truncated FROM h WHERE id <= 100""")
+def first_with_total(spark, sf):
+    """The first 100 matches (the report's limit) and how many there are."""
+    top, total = search.first_with_total(search.search(document_units(spark, sf), SearchRequest("ention")), 100)
+    # one row
+    return top.join(F.broadcast(total), F.lit(True)).select("id", "full_path", "row_index", "total", "truncated")
+
+
+@_query("report_counts", f"""WITH {_PARAS} SELECT (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE n_chars >= 200 OR n_chars IS NULL) AS readable, (SELECT count(*) FROM documents WHERE n_chars < 200) AS failed,
+(SELECT count(*) FROM u WHERE contains(lower(text), 'tion')) AS matches, 1 AS status""")
+def report_counts(spark, sf):
+    """Counters and exit status; short documents stand for files with issues."""
+    docs = _table(spark, sf, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id"), F.lit(".docx")).alias("full_path"), "n_chars")
+    return report.counts(docs, search.hits(document_units(spark, sf), SearchRequest("tion")), docs.where("n_chars < 200"))
+
+
+@_query("issue_dedup", """SELECT path, code, ts, event_id FROM (SELECT 'user/' || user_id AS path, event_type AS code, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
+def issue_dedup(spark, sf):
+    issues = _table(spark, sf, "events").select(F.concat(F.lit("user/"), F.col("user_id")).alias("path"), F.col("event_type").alias("code"), "ts", "event_id")
+    return report.distinct_issues(issues, ["path", "code"], "ts")
+
+
+@_query("export_table", rf"""WITH {_PARAS}, h AS (SELECT *, row_number() OVER (ORDER BY full_path, row_index) AS id FROM u WHERE contains(lower(text), 'thatin'))
+SELECT id, file_name, full_path, 'Word' AS sheet_name, '-' AS cell_address, '' AS shape_name, 'Word' AS match_type, regexp_replace(text, '\r\n|\r|\n', ' ', 'g') AS content, '' AS formula FROM h""")
+def export_table(spark, sf):
+    return export.export_rows(search.search(document_units(spark, sf), SearchRequest("thatin")), "ja")
+
+
+@_query("json_records", f"""WITH {_PARAS}, h AS (SELECT *, instr(lower(text), 'thanedble') AS p FROM u WHERE contains(lower(text), 'thanedble')), i AS (SELECT *, row_number() OVER (ORDER BY full_path, row_index) AS id, {_snippet('text', 'p', '9')} AS snippet FROM h)
+SELECT id, to_json({{'id': id, 'file_name': file_name, 'full_path': full_path, 'sheet_name': 'Word', 'cell_address': '-', 'row_index': row_index, 'col_index': 0, 'match_type': 'WordText', 'full_content': text, 'snippet': snippet}})::VARCHAR AS record FROM i""")
+def json_records(spark, sf):
+    return export.json_records(search.search(document_units(spark, sf), SearchRequest("thanedble")))
+
+
+@_query("benchmark_phrases", """WITH b AS (SELECT item_id, regexp_extract(lower(text), '[a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+') AS phrase FROM benchmark)
+SELECT item_id, doc_id, instr(lower(text), phrase) AS hit_pos FROM documents JOIN b ON contains(lower(text), phrase) WHERE phrase <> ''""")
+def benchmark_phrases(spark, sf):
+    """Many keywords at once: candidate positions come from an equi-join on words, not from pairing keywords and texts."""
+    phrase = F.regexp_extract(F.lower("text"), "[a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+", 0)
+    keys = _table(spark, sf, "benchmark").select("item_id", phrase.alias("phrase")).where("phrase <> ''").withColumn("inner_words", F.substring_index(F.substring_index("phrase", " ", -3), " ", 2))
+    docs = _table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    words = F.split("low", "[^a-zà-ÿ]+")
+    # the phrase's second and third word stand whole in the text, one behind the other
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - 1)), lambda k: F.concat_ws(" ", F.get("ws", k - 1), F.get("ws", k))))
+    found = docs.withColumn("ws", words).select("doc_id", "low", F.explode(pairs).alias("inner_words")).join(keys, "inner_words").where(F.contains("low", "phrase"))
+    return found.select("item_id", "doc_id", F.expr("locate(phrase, low)").cast("long").alias("hit_pos"))
+
+
+@_query("turns_in_order", """SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE contains(lower(coalesce(text, '')), 'th')""")
+def turns_in_order(spark, sf):
+    at = Window.partitionBy("conv_id").orderBy("turn")
+    return _table(spark, sf, "conversations").where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("th"))).select("conv_id", "turn", "role", F.lag("role").over(at).alias("before"))
+
+
+assert all(re.fullmatch(r"[a-z_]+", name) for name in QUERIES)
