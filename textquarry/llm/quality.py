@@ -116,7 +116,8 @@ def fit(labelled: DataFrame, **params) -> bytes:
             hot = np.flatnonzero(w)
             yield pa.RecordBatch.from_pydict({"idx": [hot.astype("<i4").tobytes()], "w": [w[hot].astype("<f8").tobytes()]})
 
-    found = sample.coalesce(1).mapInArrow(tidy(learn), "idx binary, w binary").collect()
+    # the shuffle moves the sample only; the scan before it keeps its tasks
+    found = sample.repartition(1).mapInArrow(tidy(learn), "idx binary, w binary").collect()
     out = np.zeros(p["n_features"] + 1)
     for r in found:
         out[np.frombuffer(r["idx"], "<i4")] = np.frombuffer(r["w"], "<f8")
