@@ -96,6 +96,13 @@ def test_one_symbol_only():
     assert rans.decode(rans.encode(ids, table), table).tolist() == ids.tolist()
 
 
+def test_more_parts_than_ranges(docs_of):
+    rnd = random.Random(2)
+    rows = [(i * i - 400, "words " * rnd.randint(0, 90)) for i in range(150)]
+    got = token_id_output(docs_of(rows), part_bytes=700, max_ranges=4).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_repeated_and_null_ids(docs_of):
     rows = [(None, "null id"), (5, "b"), (5, "a"), (2, None)]
     got = sorted(token_id_output(docs_of(rows)).collect(), key=lambda r: r["start"])

@@ -102,7 +102,7 @@ def with_next(docs: DataFrame, n_parts: int) -> DataFrame:
     The last range gets a copy of the first document. The ranges' first ids are at most n_parts numbers on the driver.
     """
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    rows = with_parts(docs, n_parts).withColumn("ord", order)
+    rows = with_parts(docs, n_parts, n_parts).withColumn("ord", order)
     firsts = sorted((r["m"], r["part"]) for r in rows.groupBy("part").agg(F.min("ord").alias("m")).collect())
     before = [(m, firsts[i - 1][1]) for i, (m, _) in enumerate(firsts)]
     link = docs.sparkSession.createDataFrame(before or [(0, 0)], "ord long, before int")

@@ -22,13 +22,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm import rans
 from textquarry.llm.common import runs_of_docs, shared_dir, string_buffers, table, text_bytes, tidy, tidy_group, tidy_groups
 
-DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_parts": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
+DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_ranges": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
+
+MAX_BROADCAST_PARTS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -37,21 +39,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def with_parts(docs: DataFrame, n_parts: int) -> DataFrame:
-    """``docs`` with ``part``: ranges of doc_id of about equal counts, ascending; nulls in the first."""
+def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
+    """``docs`` with ``part``: ranges of doc_id of about equal counts, ascending; nulls in the first.
+
+    Up to ``max_ranges`` bounds are quantiles on the driver; for more parts each such range is cut evenly between its bounds.
+    """
     from pyspark.ml.feature import Bucketizer
 
     key = F.col("doc_id").cast("double")
     bounds = []
-    if n_parts > 1:
+    ranges = min(n_parts, max_ranges)
+    if ranges > 1:
         known = docs.select(key.alias("k")).where(F.col("k").isNotNull())
-        bounds = sorted(set(known.approxQuantile("k", [i / n_parts for i in range(1, n_parts)], 0.2 / n_parts)))
-    if not bounds:
+        # the first and last value bound the outer ranges
+        at = [i / ranges for i in range(ranges + 1)]
+        bounds = sorted(set(known.approxQuantile("k", at, 0.2 / ranges)))
+    if len(bounds) < 3:
         return docs.withColumn("part", F.lit(0))
-    splits = [-float("inf"), *bounds, float("inf")]
+    low, inner = bounds[0], bounds[1:-1]
+    splits = [-float("inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="part_key", outputCol="part", handleInvalid="keep")
     out = cut.transform(docs.withColumn("part_key", F.coalesce(key, F.lit(-1.7976931348623157e308))))
-    return out.withColumn("part", F.col("part").cast("int")).drop("part_key")
+    part = F.col("part").cast("int")
+    pieces = -(-n_parts // ranges)
+    if pieces > 1:
+        edges = F.lit([low, *inner, bounds[-1]])
+        frm, to = F.get(edges, part), F.get(edges, part + 1)
+        inside = F.floor((F.col("part_key") - frm) / F.greatest(to - frm, F.lit(1.0)) * pieces)
+        part = part * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), inside)).cast("int")
+    return out.withColumn("part", part).drop("part_key")
 
 
 def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFrame:
@@ -82,9 +98,9 @@ def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFra
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **params) -> None:
     """Write ``docs`` (doc_id, text) in the file format to the folder ``path``."""
     p = DEFAULTS | params
-    n_parts = min(p["max_parts"], max(1, -(-text_bytes(docs) // p["part_bytes"])))
+    n_parts = max(1, -(-text_bytes(docs) // p["part_bytes"]))
     kind = "<u2" if n_ids <= 1 << 16 else "<u4"
-    tokens = tokenize(with_parts(docs.select("doc_id", "text"), n_parts), tokenizer, **p)
+    tokens = tokenize(with_parts(docs.select("doc_id", "text"), n_parts, p["max_ranges"]), tokenizer, **p)
 
     def count(t: pa.Table) -> pa.Table:
         raw, _ = string_buffers(t["ids"])
@@ -136,12 +152,17 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     blocks = spark.read.parquet(path)
     table_row = blocks.where(F.col("freq").isNotNull()).select("freq").limit(1).collect()
     freq = spark.sparkContext.broadcast(table_row[0]["freq"] if table_row else b"")  # bounded by the vocabulary
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # bounded by max_parts
-    base, starts = 0, {}
-    for r in totals:
-        starts[r["part"]] = base
+    # ids before each part: sums of thousands of parts on the driver, sums within these by a window
+    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("thousand", F.floor(F.col("part") / 1000))
+    base, starts = 0, []
+    for r in totals.groupBy("thousand").agg(F.sum("n").alias("n")).orderBy("thousand").collect():
+        starts.append((r["thousand"], base))
         base += r["n"]
-    at = spark.sparkContext.broadcast(starts)
+    before = Window.partitionBy("thousand").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = totals.join(F.broadcast(spark.createDataFrame(starts, "thousand long, base long")), "thousand").select(
+        "part", (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("part_start"))
+    # a row of 12 bytes per part
+    few = begin.count() <= MAX_BROADCAST_PARTS
 
     def decode(batches):
         coder = None
@@ -156,11 +177,12 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                 spans = [raw[4 * x: 4 * y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
                 last = pa.array([zlib.crc32(s) for s in spans], pa.int64()) if digest else pa.array([bytes(s) for s in spans], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_, mask=docs_ == np.iinfo(np.int64).min), pa.array(at.value[r["part"]] + r["part_offset"] + off[:-1]), pa.array(lens), last],
+                    [pa.array(docs_, mask=docs_ == np.iinfo(np.int64).min), pa.array(r["part_start"] + r["part_offset"] + off[:-1]), pa.array(lens), last],
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     kind = "ids_crc32 long" if digest else "ids binary"
-    return blocks.select("part", "part_offset", "doc_ids", "lengths", "payload").mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {kind}")
+    placed = blocks.join(F.broadcast(begin) if few else begin, "part")
+    return placed.select("part_start", "part_offset", "doc_ids", "lengths", "payload").mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def token_id_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, **params) -> DataFrame:
