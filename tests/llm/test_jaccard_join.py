@@ -116,6 +116,16 @@ def test_pruning_bound_never_cuts_likely_pairs():
         assert sum(comb(n, k) * 0.8 ** k * 0.2 ** (n - k) for k in range(m)) < 1e-8
 
 
+def test_repeated_and_null_ids(docs_of):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text), (7, text), (7, text), (9, text), (None, "other words here"), (3, "one text of the id three"), (3, text + " more")]
+    out = near_duplicates(docs_of(rows)).collect()
+    assert len(out) == 7
+    assert sorted(((r["doc_id"], r["class_id"]) for r in out if r["doc_id"] in (7, 9)), key=repr) in ([(7, 7), (7, 7), (9, 7)], [(7, 3), (7, 3), (9, 3)])
+    kept = sorted((r["doc_id"] for r in drop_near_duplicates(docs_of(rows)).collect()), key=repr)
+    assert 9 not in kept and kept.count(None) == 2 and 3 in kept
+
+
 def test_empty_table(empty_docs):
     assert near_duplicates(empty_docs).collect() == []
     assert drop_near_duplicates(empty_docs).collect() == []

@@ -13,8 +13,9 @@ over ``block`` members are dealt to pairs of blocks, so no group grows with the
 joins, are the classes of near duplicates.
 
 Defined cases
-    A null text has no words. Documents without words are alone. Rows that share a doc_id are compared by each of their
-    texts, and their rows are told apart only by class. Other columns are not read. An empty table gives no rows.
+    A null text has no words. Documents without words are alone. Of different texts with one doc_id, the one whose n-grams
+    sort first stands for the doc_id in comparisons. A row with a null doc_id belongs to the class of the same words if that has
+    a doc_id, never stands for one, and is never dropped. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -214,9 +215,9 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     p = DEFAULTS | params
     docs = docs.select("doc_id", "text")
     feats = materialize(features(docs, p), "features")
-    reps = materialize(feats.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "keys")).alias("m"), F.count(F.lit(1)).alias("copies")).select(
+    reps = materialize(feats.groupBy("h1", "h2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "keys"))).alias("m"), F.count(F.lit(1)).alias("copies")).select(
         "h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), "copies"), "classes")
-    bands = unpack_keys(reps, p)
+    bands = unpack_keys(reps.where("rep is not null"), p)
     # buckets of two or more; of those with the same members the first stays
     mark = F.xxhash64("rep")
     buckets = bands.groupBy("band", "key").agg(
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     n_ids = ids.limit(p["broadcast_rows"] + 1).count()
     chosen = F.broadcast(ids) if n_ids <= p["broadcast_rows"] else ids
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(chosen, "rep")
-    prof = profiles(texts, p).dropDuplicates(["rep"])
+    prof = profiles(texts, p).groupBy("rep").agg(F.min(F.struct("grams", "sig")).alias("m")).select("rep", "m.grams", "m.sig")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / p["block"])).cast("int")
     dealt = (
         members.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")).cast("int"))
