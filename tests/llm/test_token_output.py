@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from textquarry.llm import rans
 from textquarry.llm.common import shared_dir, string_buffers
 from textquarry.llm.pretokens import BatchTokenizer
-from textquarry.llm.token_output import default_tokenizer, op2_token_output, read_tokens, token_id_output, write_tokens
+from textquarry.llm.token_output import default_tokenizer, op2_token_output, read_tokens, token_id_output, with_parts, write_tokens
 
 ODD = ["", None, " ", "\n\n\n", "it's we'll they're I'D don't 'til 've'sx", "  two  spaces \t tabs\n new", "<|endoftext|> stays text", "naïve café 東京  nbsp 　wide",
        "a" * 5000, "1234567890 12 ½ ²", "'s at start", "x 's 't", " line sep", "🙂🙂 emoji👨‍👩‍👧", "tail space ", " \n mixed \r\n end", "don''t '' 'll 'l", "é's è're", "\x00\x01"]
@@ -103,6 +103,18 @@ def test_more_parts_than_ranges(docs_of):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_one_part_more_than_many_ranges(docs_of):
+    """41 parts of 40 ranges: each range is cut in two, so parts are numbered far beyond 41 and all need the table."""
+    rows = [(i, "some words " * 5) for i in range(328)]
+    docs = docs_of(rows)
+    n_bytes = sum(len(t) for _, t in rows)
+    size = -(-n_bytes // 41)
+    assert -(-n_bytes // size) == 41
+    assert max(r["part"] for r in with_parts(docs.select("doc_id", "text"), 41, 40).select("part").collect()) > 60
+    got = token_id_output(docs, part_bytes=size, max_ranges=40).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_repeated_and_null_ids(docs_of):
     rows = [(None, "null id"), (5, "b"), (5, "a"), (2, None)]
     got = sorted(token_id_output(docs_of(rows)).collect(), key=lambda r: r["start"])

@@ -39,8 +39,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
-    """``docs`` with ``part``: ranges of doc_id of about equal counts, ascending; nulls in the first.
+def parts_and_end(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> tuple[DataFrame, int]:
+    """(``docs`` with ``part``: ranges of doc_id of about equal counts, ascending, nulls in the first; a bound above all parts).
 
     Up to ``max_ranges`` bounds are quantiles on the driver; for more parts each such range is cut evenly between its bounds.
     """
@@ -55,7 +55,7 @@ def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataF
         at = [i / ranges for i in range(ranges + 1)]
         bounds = sorted(set(known.approxQuantile("k", at, 0.2 / ranges)))
     if len(bounds) < 3:
-        return docs.withColumn("part", F.lit(0))
+        return docs.withColumn("part", F.lit(0)), 1
     low, inner = bounds[0], bounds[1:-1]
     splits = [-float("inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="part_key", outputCol="part", handleInvalid="keep")
@@ -67,7 +67,12 @@ def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataF
         frm, to = F.get(edges, part), F.get(edges, part + 1)
         inside = F.floor((F.col("part_key") - frm) / F.greatest(to - frm, F.lit(1.0)) * pieces)
         part = part * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), inside)).cast("int")
-    return out.withColumn("part", part).drop("part_key")
+    return out.withColumn("part", part).drop("part_key"), (len(bounds) - 1) * pieces
+
+
+def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
+    """The ``docs`` of ``parts_and_end`` alone."""
+    return parts_and_end(docs, n_parts, max_ranges)[0]
 
 
 def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFrame:
@@ -100,7 +105,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
     p = DEFAULTS | params
     n_parts = max(1, -(-text_bytes(docs) // p["part_bytes"]))
     kind = "<u2" if n_ids <= 1 << 16 else "<u4"
-    tokens = tokenize(with_parts(docs.select("doc_id", "text"), n_parts, p["max_ranges"]), tokenizer, **p)
+    dealt, end_part = parts_and_end(docs.select("doc_id", "text"), n_parts, p["max_ranges"])
+    tokens = tokenize(dealt, tokenizer, **p)
 
     def count(t: pa.Table) -> pa.Table:
         raw, _ = string_buffers(t["ids"])
@@ -111,11 +117,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
     counts = tokens.groupBy("part").applyInArrow(tidy_group(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # one row of at most n_ids pairs, given to each part
     shared = counts.agg(F.collect_list("id").alias("table_id"), F.collect_list("n").alias("table_n")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(n_parts + 1))))
+        "part", F.explode(F.sequence(F.lit(0), F.lit(end_part - 1))))
 
     def encode(t: pa.Table, s: pa.Table) -> pa.Table:
         out = {k: [] for k in ("part", "block", "part_offset", "n_tokens", "doc_ids", "lengths", "payload", "freq")}
         if t.num_rows:
+            if s.num_rows != 1:
+                raise ValueError(f"part {t['part'][0]} has documents and {s.num_rows} frequency tables")
             counts = np.zeros(n_ids, np.int64)
             counts[s["table_id"].combine_chunks().flatten().to_numpy()] = s["table_n"].combine_chunks().flatten().to_numpy()
             freq = rans.normalise(counts)
