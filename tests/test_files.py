@@ -76,6 +76,39 @@ def test_old_formats_are_issues():
     assert "not supported" in parse("/x/a.xls", b"")[0]["issue"]
 
 
+def big_parts(path):
+    """A sheet, shared strings and a picture over 50 MB each, 200 MB together, and a second sheet whose comments are over 50 MB."""
+    pad = " " * (1 << 20)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns:r="{OFFICE}"><sheets><sheet name="Big" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", rels(("r1", "worksheet", "worksheets/sheet1.xml"), ("r2", "worksheet", "worksheets/sheet2.xml")))
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>first</t></si>" + pad * 51 + "<si><t>läst</t></si></sst>")
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(b"<worksheet><sheetData>")
+            for k in range(1, 52):
+                f.write(f'<row r="{k}"><c r="A{k}" t="s"><v>{k % 2}</v></c><c r="B{k}"><f>1+{k}</f><v>{k}</v></c></row>{pad}'.encode())
+            f.write(b"</sheetData></worksheet>")
+        z.writestr("xl/media/image1.png", bytes(120 << 20))
+        z.writestr("xl/worksheets/sheet2.xml", '<worksheet><c r="A1" t="inlineStr"><is><t>readable</t></is></c></worksheet>')
+        z.writestr("xl/worksheets/_rels/sheet2.xml.rels", rels(("c", "comments", "../comments1.xml"), ("d", "drawing", "../drawings/drawing1.xml")))
+        z.writestr("xl/comments1.xml", "<comments>" + pad * 51 + "</comments>")
+        z.writestr("xl/drawings/drawing1.xml", '<wsDr><sp><nvSpPr><cNvPr id="9"/></nvSpPr><txBody><p><r><t>free</t></r></p></txBody></sp></wsDr>')
+
+
+def test_large_parts_are_read_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    big_parts(tmp_path / "in" / "big.xlsx")
+    with zipfile.ZipFile(tmp_path / "in" / "big.docx", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("word/document.xml", "<document><body><p><r><t>top</t></r></p>" + " " * (51 << 20) + "<drawing><p><r><t>boxed</t></r></p></drawing></body></document>")
+    u, issues = units_and_issues(spark, str(tmp_path / "in"), PathFilter(extensions=ALL_EXTENSIONS))
+    got = sorted((r["sheet_name"], r["unit_kind"], r["row_index"], r["col_index"], r["text"]) for r in u.collect())
+    want = [x for k in range(1, 52) for x in (
+        ("Big", "value", k, 1, "läst" if k % 2 else "first"), ("Big", "value", k, 2, str(k)), ("Big", "formula", k, 2, f"1+{k}"))]
+    want += [("Two", "value", 1, 1, "readable"), ("Two", "shape", 0, 0, "free"), ("Word", "word", 1, 0, "top"), ("Word", "shape", 2, 0, "boxed")]
+    assert got == sorted(want)
+    assert [r["cause"] for r in issues.collect()] == ["part too large: xl/comments1.xml"]
+
+
 def matches(spark):
     rows = [("/f/a.xlsx", "a.xlsx", "S", 0, False, "value", 2, 2, " Line 1\nLine 2\r\nLine 3 ", "A\n1", None, ["S"]),
             ("/f/b.docx", "b.docx", "Word", 0, False, "word", 3, 0, 'Line "q", 猫', None, None, ["Word"])]

@@ -1,6 +1,9 @@
 """Office files as units: Spark lists and reads the files (binaryFile, any store), one small parser per file turns parts into rows.
 
-A file that can't be read gives one row with ``issue`` and no unit; the job goes on. Supported: .xlsx, .xlsm (values,
+Sheets, shared strings and document parts are read as streams, whole, of any size; rows leave in chunks. Drawings and comments
+of workbooks are read up to 50 MB a part and 200 MB of each kind a file, as in the reference; one beyond that gives a row with
+``issue`` beside the file's units. A file that can't be read gives such a row too, after the units before the damage; the job
+goes on. Supported: .xlsx, .xlsm (values,
 formulas, comments, drawing text) and .docx, .docm (paragraphs, comments, headers and footers, text boxes). Older binary
 formats give an issue.
 """
@@ -8,9 +11,11 @@ formats give an issue.
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import zipfile
+from array import array
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -21,7 +26,8 @@ from pyspark.sql import types as T
 from textquarry.functions.patterns import PathFilter
 from textquarry.operators.units import UNITS
 
-PART_LIMIT, ARCHIVE_LIMIT = 50 << 20, 200 << 20
+PART_LIMIT, KIND_LIMIT = 50 << 20, 200 << 20  # of drawings and comments of workbooks only
+CHUNK_ROWS = 10_000
 _COLUMNS = [f.name for f in UNITS.fields]
 PARSED = T.StructType([*UNITS.fields, T.StructField("issue", T.StringType())])
 
@@ -47,16 +53,39 @@ class _Package:
     def __init__(self, content: bytes):
         self.z = zipfile.ZipFile(io.BytesIO(content))
         self.names = set(self.z.namelist())
-        if sum(i.file_size for i in self.z.infolist()) > ARCHIVE_LIMIT:
-            raise ValueError("the archive is too large")
+        self.read = {}
         if "EncryptedPackage" in self.names:
             raise ValueError("Password-protected or encrypted")
 
     def xml(self, name: str):
-        if self.z.getinfo(name).file_size > PART_LIMIT:
-            raise ValueError(f"part too large: {name}")
         return ET.fromstring(self.z.read(name))
 
+    def fits(self, kind: str, name: str) -> bool:
+        """Whether a part is within the limits of its kind; those that are add up."""
+        size = self.z.getinfo(name).file_size
+        total = self.read.get(kind, 0) + size
+        if size > PART_LIMIT or total > KIND_LIMIT:
+            return False
+        self.read[kind] = total
+        return True
+
+    def stream(self, name: str, wanted: str):
+        """(element, elements around it) of the outermost elements of a local name, as they end; all are dropped after use."""
+        around, inside = [], 0
+        with self.z.open(name) as f:
+            for event, e in ET.iterparse(f, ("start", "end")):
+                if event == "start":
+                    around.append(e)
+                    inside += _local(e) == wanted
+                    continue
+                around.pop()
+                if _local(e) == wanted:
+                    inside -= 1
+                    if not inside:
+                        yield e, around
+                if not inside and around:
+                    around[-1].remove(e)
+
     def links(self, part: str) -> dict[str, tuple[str, str]]:
         """Relationship id -> (last word of its type, target part)."""
         folder, base = posixpath.split(part)
@@ -75,6 +104,20 @@ def _text(e) -> str:
     return "".join(x.text or "" for x in e.iter() if _local(x) == "t")
 
 
+class _Strings:
+    """The shared strings of a workbook in one buffer."""
+
+    def __init__(self, package: _Package):
+        self.raw, self.ends = bytearray(), array("q", [0])
+        if "xl/sharedStrings.xml" in package.names:
+            for e, _ in package.stream("xl/sharedStrings.xml", "si"):
+                self.raw += _text(e).encode()
+                self.ends.append(len(self.raw))
+
+    def __getitem__(self, k: int) -> str:
+        return self.raw[self.ends[k]: self.ends[k + 1]].decode()
+
+
 def _place(ref: str) -> tuple[int, int]:
     letters, row = re.fullmatch(r"([A-Za-z]+)([0-9]+)", ref).groups()
     col = 0
@@ -124,13 +167,13 @@ def _shapes(package: _Package, part: str):
 
 def _workbook(package: _Package):
     book, links = package.xml("xl/workbook.xml"), package.links("xl/workbook.xml")
-    strings = [_text(e) for e in package.xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in package.names else []
+    strings = _Strings(package)
     sheets = [e for e in book.iter() if _local(e) == "sheet"]
     names = [_attr(e, "name") for e in sheets]
     for pos, e in enumerate(sheets):
         part, hidden = links[_attr(e, "id")][1], (_attr(e, "state") or "visible") != "visible"
         base = {"sheet_name": names[pos], "sheet_pos": pos, "sheet_hidden": hidden, "sheets_in_workbook": names}
-        for c in (x for x in package.xml(part).iter() if _local(x) == "c"):
+        for c, _ in package.stream(part, "c"):
             row, col = _place(_attr(c, "r"))
             kind = _attr(c, "t") or "n"
             raw = next((x.text for x in c if _local(x) == "v"), None)
@@ -143,6 +186,9 @@ def _workbook(package: _Package):
             if formula:
                 yield at | {"unit_kind": "formula", "text": formula}
         for kind, target in package.links(part).values():
+            if kind in ("comments", "drawing") and not package.fits(kind, target):
+                yield {"issue": f"part too large: {target}"}
+                continue
             if kind == "comments":
                 for c in (x for x in package.xml(target).iter() if _local(x) == "comment"):
                     row, col = _place(_attr(c, "ref"))
@@ -168,7 +214,8 @@ def _paragraphs(package: _Package, part: str, unit: str):
         for x in e:
             yield from walk(x, boxed)
 
-    yield from walk(package.xml(part), False)
+    for p, around in package.stream(part, "p"):
+        yield from walk(p, any(_local(x) in ("drawing", "txbxContent") for x in around))
 
 
 def _own_text(p):
@@ -190,17 +237,22 @@ def _document(package: _Package):
                 yield base | row
 
 
-def parse(path: str, content: bytes) -> list[dict]:
-    """Rows of one file: its units, or one row with an issue."""
+def rows_of(path: str, content: bytes):
+    """Rows of one file as they are read: its units, and a row with an issue for what can't be read."""
     own = {"full_path": path, "file_name": path.rpartition("/")[2], "col_index": 0, "row_index": 0}
     try:
         ext = path.lower().rpartition(".")[2]
         if ext not in ("xlsx", "xlsm", "docx", "docm"):
             raise ValueError(f"format not supported: .{ext}")
         package = _Package(content)
-        return [own | r for r in (_workbook if ext in ("xlsx", "xlsm") else _document)(package)]
+        for r in (_workbook if ext in ("xlsx", "xlsm") else _document)(package):
+            yield own | r
     except Exception as e:  # any damage in a file is an issue of that file
-        return [own | {"issue": f"{type(e).__name__}: {e}"}]
+        yield own | {"issue": f"{type(e).__name__}: {e}"}
+
+
+def parse(path: str, content: bytes) -> list[dict]:
+    return list(rows_of(path, content))
 
 
 def parsed(found: DataFrame) -> DataFrame:
@@ -209,8 +261,7 @@ def parsed(found: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for path, content in zip(pdf["full_path"], pdf["content"]):
-                rows = parse(path, content)
-                if rows:
+                for rows in itertools.batched(rows_of(path, content), CHUNK_ROWS):
                     yield pd.DataFrame(rows).reindex(columns=[*_COLUMNS, "issue"]).astype(object).where(lambda d: d.notna(), None)
 
     return found.select("full_path", "content").mapInPandas(run, PARSED)
