@@ -12,7 +12,8 @@ stage into the join, none is shuffled while the benchmark's seeds are under ``br
 shuffles. Likewise for the ids of the documents to check.
 
 Defined cases
-    A null text has no words. An item of fewer than 7 words is not looked for. Rows that share a doc_id count as one
+    A null text has no words. An item of fewer than 7 words is looked for only with ``short_items``, and then as an exact
+    copy of all its words anywhere in a text (one of a single word is found wherever that word stands). Rows that share a doc_id count as one
     document: it overlaps if one of them does. A null doc_id or item_id is an id like others. Repeated items give their
     item_id once. Other columns are not read, whatever their names.
 """
@@ -28,7 +29,7 @@ MASKS = ((0, 3, 4, 5), (0, 1, 2, 4))
 SPAN = 6
 LEAST = 7
 WINDOW = 13
-DEFAULTS = {"broadcast_rows": 1_000_000}
+DEFAULTS = {"broadcast_rows": 1_000_000, "short_items": False}
 
 
 def words(text: Column) -> Column:
@@ -53,6 +54,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def short_overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """The same as ``overlaps`` for items of fewer than 7 words: exact copies of all their words."""
+    p = DEFAULTS | params
+    items = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b").between(1, LEAST - 1)).distinct()
+    sizes = sorted(r["n"] for r in items.select(F.size("b").alias("n")).distinct().collect())  # six at most
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    at = texts.select("doc_id", "w", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).where(F.size("w") >= F.col("n"))
+    grams = at.select("doc_id", "w", "n", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("pos")).select(
+        "doc_id", "pos", F.slice("w", F.col("pos") + 1, F.col("n")).alias("b"))
+    return grams.join(_small(items, p["broadcast_rows"]), "b").groupBy("doc_id", "item_id").agg(
+        F.min("pos").cast("long").alias("doc_word"), F.max(F.size("b")).cast("long").alias("n_equal"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """(doc_id, item_id, doc_word, n_equal): overlapping pairs, with the first word of the first such window in the document
     and the greatest number of equal words on one alignment that has such a window."""
@@ -79,8 +93,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     good = equal.select(
         "doc_id", "item_id", starts.alias("s"), (F.col("lo") + F.col("shift")).alias("from"),
         F.aggregate("eq", F.lit(0), lambda a, x: a + x).alias("n")).where(F.size("s") > 0)
-    return good.groupBy("doc_id", "item_id").agg(
+    found = good.groupBy("doc_id", "item_id").agg(
         F.min(F.col("from") + F.array_min("s")).cast("long").alias("doc_word"), F.max("n").cast("long").alias("n_equal"))
+    if not p["short_items"]:
+        return found
+    # an item_id may have texts of either kind
+    return found.unionByName(short_overlaps(docs, benchmark, **params)).groupBy("doc_id", "item_id").agg(
+        F.min("doc_word").alias("doc_word"), F.max("n_equal").alias("n_equal"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
