@@ -47,6 +47,38 @@ def test_each_source_comes_near_its_target(docs_of):
     assert {r["doc_id"]: r["copies"] for r in again} == {r["doc_id"]: r["copies"] for r in got}
 
 
+def test_more_sources_than_the_bound_give_the_same(docs_of):
+    rnd = random.Random(7)
+    names = [f"host{k}.\u00e9" if k % 5 else f"\U0001f600{k}" for k in range(40)] + ["", None, "empty"]
+    rows = [(i, "" if s == "empty" else "w " * rnd.randint(1, 30), s) for i, s in enumerate(rnd.choices(names, [1 / (k + 1) for k in range(len(names))], k=3000))]
+    docs = docs_of(rows)
+    few = {r["doc_id"]: r for r in mix_decisions(docs).collect()}
+    assert len({(r["source"], r["target"]) for r in few.values()}) > 35
+    for bound in (5, 1):
+        many = mix_decisions(docs, max_sources=bound)
+        got = many.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            q = few[r["doc_id"]]
+            assert (r["source"], r["size"], r["source_size"]) == (q["source"], q["size"], q["source_size"])
+            assert abs(r["target"] - q["target"]) < 1e-6 * max(1, q["target"])
+        words = {}
+        for r in got:
+            words[r["source"]] = words.get(r["source"], 0) + r["copies"] * r["size"]
+        assert all(abs(words[r["source"]] - r["target"]) <= 31 for r in got)
+
+
+def test_a_table_of_sources_fills_up_in_rounds(spark):
+    sizes = {f"s{k:03}": (k * 37) % 91 * (1 + k % 7) ** 3 for k in range(200)} | {None: 5}
+    from textquarry.llm.mixing import DEFAULTS, _by_table
+
+    table = spark.createDataFrame([(s, v, 1) for s, v in sizes.items()], "source string, size long, n long")
+    for most in (2.0, 1.6, 1.5):
+        want = targets(sizes, DEFAULTS | {"most": most})
+        got = {r["source"]: r["target"] for r in _by_table(table, DEFAULTS | {"most": most}).collect()}
+        assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_more_rounds_of_blocks(docs_of):
     rows = [(i, "w " * (i % 13 + 1), "s" if i % 3 else "t") for i in range(600)]
     got = mix_decisions(docs_of(rows), block_rows=40, hold=8).collect()

@@ -8,6 +8,9 @@ of a source, each flown in one task; the undecided of all blocks of a source fly
 few land one by one, large ones first, each by its own probability, and those after it make up for the words: the error is
 about the smallest one's size. Random choices come from a generator seeded by a hash of doc_id, so reruns agree.
 
+Up to ``max_sources`` sources are told their targets from the driver. Beyond that the targets are columns of a table of sources,
+the shares come from sums over it, and it is joined by a shuffle, except for the few sources with a large part of the rows.
+
 Only (doc_id, source, size) moves, never a text, until a caller joins the decisions to its documents.
 
 Defined cases
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import materialize, mix64, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
-DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "most": 2.0, "block_rows": 2_000, "hold": 64, "seed": 41}
+DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "most": 2.0, "block_rows": 2_000, "hold": 64, "seed": 41, "max_sources": 100_000}
 
 
 def word_count(text):
@@ -52,6 +55,41 @@ def targets(sizes: dict[str | None, int], p: dict) -> dict[str | None, float]:
     return out
 
 
+PLAN = "source string, no_source boolean, source_size long, target double, blocks int"
+
+
+def _by_table(per_source: DataFrame, p: dict) -> DataFrame:
+    """``targets`` for any number of sources: the columns of PLAN and n, from rows (source, size, n); nothing a source is collected.
+
+    A share per weight at which sources fill up gives the next, greater one, until no other fills: one sum over the table each.
+    """
+    spark = per_source.sparkSession
+    part = materialize(
+        per_source.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+        .withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    counts, before = [], 0
+    for r in part.groupBy("range").agg(F.count(F.lit(1)).alias("k")).orderBy("range").collect():
+        counts.append((r["range"], before))
+        before += r["k"]
+    # one row per range
+    rows = part.join(F.broadcast(spark.createDataFrame(counts or [(0, 0)], "range int, before long")), "range")
+    weights = F.array(*[F.lit(float(w)) for w in p["weights"]])
+    rows = rows.withColumn("weight", F.get(weights, F.pmod(F.col("before") + F.col("at"), F.lit(len(p["weights"]))).cast("int"))).withColumn(
+        "top", F.lit(float(p["most"])) * F.col("size"))
+    total, per, was = p["share"] * (rows.agg(F.sum("size")).first()[0] or 0), None, -1
+    while True:
+        full = F.lit(False) if per is None else F.lit(per) * F.col("weight") > F.col("top")
+        r = rows.agg(F.sum(full.cast("long")).alias("k"), F.coalesce(F.sum(F.when(full, F.col("top"))), F.lit(0.0)).alias("used"),
+                     F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("open")).first()
+        if not r["open"] or r["k"] == was:
+            break
+        was, per = r["k"], (total - r["used"]) / r["open"]
+    target = F.when(full, F.col("top")).otherwise(F.lit(per or 0.0) * F.col("weight"))
+    return rows.select(
+        "source", F.col("source").isNull().alias("no_source"), F.col("size").alias("source_size"), target.alias("target"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / p["block_rows"])).cast("int").alias("blocks"), "n")
+
+
 EPS = 1e-9
 
 
@@ -123,16 +161,27 @@ def mix_decisions(docs: DataFrame, **params) -> DataFrame:
     """One row per (doc_id, source): size, source_size, target, copies (0, 1 or 2)."""
     p = DEFAULTS | params
     units = docs.select("doc_id", "source", word_count("text").alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    per_source = {r["source"]: (r["size"], r["n"]) for r in docs.select("source", word_count("text").alias("size")).groupBy("source").agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
-    goal = targets({s: v[0] for s, v in per_source.items()}, p)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(s, s is None, int(v[0]), float(goal[s]), max(1, -(-v[1] // p["block_rows"]))) for s, v in per_source.items()],
-        "source string, no_source boolean, source_size long, target double, blocks int")
-    # one row per source: the sources were collected above, so this side is as small
-    told = units.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))).join(
-        F.broadcast(plan.withColumn("source", F.coalesce("source", F.lit("")))), ["source", "no_source"])
+    sources = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    units = units.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    spark, on = docs.sparkSession, ["source", "no_source"]
+    got = sources.limit(p["max_sources"] + 1).collect()
+    if len(got) <= p["max_sources"]:
+        goal = targets({r["source"]: r["size"] for r in got}, p)
+        plan = spark.createDataFrame(
+            [(r["source"] or "", r["source"] is None, int(r["size"]), float(goal[r["source"]]), max(1, -(-r["n"] // p["block_rows"]))) for r in got], PLAN)
+        most = max([r["n"] for r in got], default=0)
+        # one row per source: the sources were counted above
+        told = units.join(F.broadcast(plan), on)
+    else:
+        plan = _by_table(sources, p).withColumn("source", F.coalesce("source", F.lit("")))
+        plan = materialize(plan, "targets")
+        r = plan.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        most = r["most"]
+        # less than max_sources sources can have more than this part of all rows
+        large = plan.where(F.col("n") * F.lit(p["max_sources"]) > r["all"]).drop("n")
+        told = units.join(F.broadcast(large), on).unionByName(
+            units.join(F.broadcast(large.select(*on)), on, "left_anti").join(plan.drop("n"), on))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     told = told.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("int")).withColumn(
         "prob", F.col("rate") - F.col("base"))
@@ -159,7 +208,6 @@ def mix_decisions(docs: DataFrame, **params) -> DataFrame:
     # undecided: at most hold + 2 rows of a block; they are dealt to blocks again until a source's are one block
     open_ = first.where("undecided").drop("undecided")
     decided = [first.where(~F.col("undecided")).drop("undecided")]
-    most = max([v[1] for v in per_source.values()], default=0)
     while (most := -(-most // p["block_rows"]) * (p["hold"] + 2)) > p["block_rows"]:
         groups = -(-most // p["block_rows"])
         again = open_.withColumn("cell", F.struct("source", "no_source", F.pmod(F.xxhash64("doc_id", F.lit(most)), F.lit(groups)).alias("block")))
