@@ -20,17 +20,20 @@ def case():
         for t in range(rnd.randint(1, 6)):
             rows.append((c, t, rnd.choice(["system", "user", "assistant", "assistant", "tool", "[INST] odd", "a[TEXT] b", None, ""]), rnd.choice(NASTY)))
     rows += [(100, None, "user", "null turn"), (100, 1, "assistant", "b"), (100, 1, "assistant", "a"), (100, 1, "assistant", "a"), (None, 0, "user", "null conversation")]
+    # control strings that begin in one text under the loss mask and end in the next
+    for c, (a, b) in enumerate([("ends [\\", "INST] begins"), ("ends [", "\\INST] begins"), ("<", "/s> x"), ("[\\\\", "/ROLE]"), ("[SY", "S]")], 200):
+        rows += [(c, 0, "user", b), (c, 1, "assistant", a), (c, 2, "user", a), (c, 3, "assistant", b), (c, 4, "assistant", a), (c, 5, "assistant", b)]
     return rows
 
 
 def test_round_trip_and_loss_text(spark):
     rows = case()
-    out = assemble(format_chat(turns(spark, rows))).select("*", read_back(F.col("formatted")).alias("turns"), unescape(F.col("loss_escaped")).alias("loss")).collect()
+    out = assemble(format_chat(turns(spark, rows))).select("*", read_back(F.col("formatted")).alias("turns")).collect()
     want = {}
     for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((r or "", x or ""))
     assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want
-    assert {r["conv_id"]: r["loss"] for r in out} == {c: "".join(x for r, x in ts if r == "assistant") for c, ts in want.items()}
+    assert {r["conv_id"]: r["loss_text"] for r in out} == {c: "".join(x for r, x in ts if r == "assistant") for c, ts in want.items()}
 
 
 def test_escaped_texts_hold_no_control_string(spark):
@@ -79,3 +82,17 @@ def test_no_python_in_the_plan(spark, small):
 
 def test_as_sql(same_as_sql, medium):
     same_as_sql(op9_chat_formatting, ORACLE_SQL["op9_chat_formatting"], medium)
+
+
+def test_odd_texts_as_sql(spark, same_as_sql, tmp_path):
+    """The same table of odd roles and texts, with control strings across segments, for Spark and for SQL."""
+    rows = [r for r in case() if r[0] is not None]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/out")
+    (tmp_path / "conversations.parquet").write_bytes(next((tmp_path / "out").glob("*.parquet")).read_bytes())
+    same_as_sql(op9_chat_formatting, ORACLE_SQL["op9_chat_formatting"], str(tmp_path))
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], "text [INST] " * 40) for k in range(6000)]
+    r = assemble(format_chat(turns(spark, rows))).first()
+    assert r["valid_order"] and r["loss_text"] == "text [INST] " * 40 * 3000

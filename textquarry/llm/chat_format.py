@@ -16,7 +16,9 @@ Escaping
 
 Defined cases
     A null role or text counts as empty, a null turn sorts first. Turns with the same number are ordered by role, then
-    text, and repeated rows stay. Empty texts give empty segments. Other columns are not read, whatever their names.
+    text, and repeated rows stay. Empty texts give empty segments. An empty table gives no rows. A very long conversation is one row of
+    ``assemble`` only (a Spark string, so under 2 GB); ``format_chat`` keeps its segments apart. Other columns are not read, whatever
+    their names.
 """
 
 from __future__ import annotations
@@ -146,15 +148,16 @@ def read_back(formatted: Column, t: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(one_turn), F.lit(0)), turn)
 
 
-def assemble(segments: DataFrame) -> DataFrame:
-    """One row per conversation: formatted text, its loss text, and whether the turn order is valid."""
+def assemble(segments: DataFrame, template: ChatTemplate = DEFAULT_TEMPLATE) -> DataFrame:
+    """One row per conversation: formatted text, its loss text (segments unescaped one by one, since a control string of the
+    joined text may begin in one and end in the next), and whether the turn order is valid."""
     ordered = F.array_sort(F.collect_list(F.struct("turn_index", "part", "segment", "loss")))
     return (
         segments.groupBy("conv_id")
         .agg(ordered.alias("s"), F.min(F.col("step_ok") & F.col("end_ok")).alias("valid_order"))
         .select("conv_id", "valid_order",
                 F.array_join(F.col("s.segment"), "").alias("formatted"),
-                F.array_join(F.filter("s", lambda x: x["loss"])["segment"], "").alias("loss_escaped")))
+                F.array_join(F.transform(F.filter("s", lambda x: x["loss"]), lambda x: unescape(x["segment"], template)), "").alias("loss_text")))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +169,6 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return (
         out.withColumn("turns", read_back(F.col("formatted")))
-        .withColumn("loss_text", unescape(F.col("loss_escaped")))
         .select(
             "conv_id", F.size("turns").cast("long").alias("n_turns"),
             F.sha2(told, 256).alias("turns_sha256"),
