@@ -111,6 +111,8 @@ def test_one_part_more_than_many_ranges(docs_of):
     size = -(-n_bytes // 41)
     assert -(-n_bytes // size) == 41
     assert max(r["part"] for r in with_parts(docs.select("doc_id", "text"), 41, 40).select("part").collect()) > 60
+    for part_bytes in (150, 170, 190):  # 40 to 50 parts of ids
+        assert sorted(map(tuple, token_id_output(docs, part_bytes=part_bytes, max_ranges=40).collect())) == brute(rows)
     got = token_id_output(docs, part_bytes=size, max_ranges=40).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
@@ -130,6 +132,55 @@ def test_ids_come_back(spark, docs_of):
     assert got == {1: [*tok.encode("one two", add_special_tokens=False).ids, 0], 2: [*tok.encode("three", add_special_tokens=False).ids, 0]}
 
 
+def test_large_negative_and_null_ids_in_nine_parts_of_four_ranges(docs_of):
+    rnd = random.Random(3)
+    base = (1 << 53) + 1
+    ids = [base + k for k in range(120)] + [-base - k for k in range(40)] + [(1 << 63) - 1, -(1 << 62), None, 0]
+    rows = [(i, f"text {i} " * rnd.randint(1, 9)) for i in ids] + [(base, f"text {base} again")]
+    rnd.shuffle(rows)
+    want = brute([r for r in rows if r[0] != base])
+    total = sum(len(t or "") for _, t in rows)
+    for part_bytes in (total, total // 9, total // 20):
+        got = sorted(map(tuple, token_id_output(docs_of(rows), part_bytes=part_bytes, max_ranges=4).collect()), key=lambda r: r[1])
+        assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+        assert {(r[0], r[2], r[3]) for r in want} == {(r[0], r[2], r[3]) for r in got if r[0] != base}
+        assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+
+
+def test_patterned_words_and_colliding_hashes(docs_of, monkeypatch):
+    """Words of a Thue-Morse pattern, and a table whose hashes say only the length: bytes decide."""
+    from textquarry.llm import pretokens
+
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate({97: 98, 98: 97})
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one} {two}")]
+    assert sorted(map(tuple, token_id_output(docs_of(rows)).collect())) == brute(rows)
+    monkeypatch.setattr(pretokens, "span_hashes", lambda b, s, e: (e - s).astype(np.uint64))
+    tok, lib = BatchTokenizer(default_tokenizer()), library()
+    texts = [one, two, "the cat sat on a mat and the dog too", "", "cat dog eat the the"]
+    import pyarrow as pa
+
+    for _ in range(2):
+        ids, off = tok.encode(*string_buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_full_table_of_pretokens_starts_anew():
+    import pyarrow as pa
+
+    tok, lib = BatchTokenizer(default_tokenizer()), library()
+    tok.KEPT_BYTES = 1
+    for text in ("one two three", "three two one zero", "one"):
+        assert tok.encode(*string_buffers(pa.array([text])))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_of_millions():
+    n = 1_500_000
+    table = rans.Table(rans.normalise(np.bincount([0, 5, 5, n - 1], minlength=n)))
+    ids = np.array([0, 5, n - 1, 77, 5] * 100)
+    assert rans.decode(rans.encode(ids, table), table).tolist() == ids.tolist()
+
+
 def test_empty_table(empty_docs):
     assert token_id_output(empty_docs).collect() == []
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 import numpy as np
@@ -19,19 +20,53 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on one machine can do without it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/textquarry-shared"
     return path.rstrip("/")
 
 
+_STORED: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
+def stored_dir(spark: SparkSession) -> str:
+    """The folder of what this application stores."""
+    return f"{shared_dir(spark)}/textquarry-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files every executor can read."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files every executor can read.
+
+    ``discard`` removes one such table, ``clear_stored`` all of the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``materialize`` returned, once nothing is read from them any more."""
+    for df in frames:
+        path = _STORED.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove everything that this application has stored; results that are still to be computed can't be any more."""
+    _remove(spark, stored_dir(spark))
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -63,11 +98,13 @@ def text_bytes(docs: DataFrame, col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+# ---------------------------------------------------------------- memory of tasks
 
 
-# ---------------------------------------------------------------- memory of tasks
+def checked_broadcast(df: DataFrame, rows: int, size: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast only if it is counted to be within ``rows``, and the column ``size`` adds up to ``most_bytes`` at most."""
+    few = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size if size else F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if few["n"] <= rows and (few["size"] or 0) <= most_bytes else df
 
 
 def _give_back() -> None:
@@ -136,12 +173,12 @@ def string_buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return buf[off[0]: off[-1]], off - off[0]
 
 
-def runs_of_docs(offsets: np.ndarray, limit: int):
-    """Slices (i, j) of documents whose texts add up to about ``limit`` bytes; a longer document is alone."""
+def runs_of_docs(offsets: np.ndarray, limit: int, most: int = 1 << 62):
+    """Slices (i, j) of at most ``most`` documents whose texts add up to about ``limit`` bytes; a longer document is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, i + most, max(j, i + 1))
         yield i, j
         i = j
 
@@ -161,38 +198,41 @@ def splitmix(seed: int, n: int) -> np.ndarray:
         return mix64(U64(seed) + np.arange(1, n + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+_CHUNK = [U64(int(x) | 1) for x in splitmix(0x5EED, 3)]
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes of a word
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^i and R^-i modulo 2^64 for i < n; kept, since tasks use about the same n again."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(1 << 16, -(-n // (1 << 16)) << 16)
-        for key, base in (("up", _R), ("down", _R_INV)):
-            out = np.ones(size, np.uint64)
-            done, step = 1, base
-            while done < size:
-                out[done: 2 * done] = out[: min(done, size - done)] * U64(step)
-                done, step = 2 * done, step * step % (1 << 64)
-            _POWERS[key] = out
-    return _POWERS["up"], _POWERS["down"]
+def words8(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on, zeros behind the end, as little-endian words; a view, not a copy a position."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-_BYTE_VALUES = splitmix(0x5EED, 256)
+def chunks_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in pieces of 8 bytes: (place of each piece, its number in the span, its mask, first piece of each span)."""
+    n = np.maximum(1, (ends - starts + 7) >> 3)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    if len(n) == n.sum():
+        return starts, np.zeros(len(n), np.int64), _TAIL[ends - starts], first
+    number = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(starts, n) + 8 * number
+    return at, number, _TAIL[np.minimum(8, np.repeat(ends, n) - at)], first
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``buf``; equal spans have equal hashes wherever they stand."""
+    """64-bit hashes of the byte spans [start, end) of ``buf``; equal spans have equal hashes wherever they stand.
+
+    Each piece of 8 bytes is mixed with its number before the pieces add up, so no pattern of bytes collides by construction.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buf) + 1)
-    acc = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[buf] * up[: len(buf)], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64))
+    at, number, mask, first = chunks_of(starts, ends)
+    x = (words8(buf)[at] & mask) * _CHUNK[0]
+    x ^= number.astype(np.uint64) * _CHUNK[1]
+    x = mix64(x)
+    if len(x) > len(starts):
+        x = np.add.reduceat(x, first)
+    return mix64(x + (ends - starts).astype(np.uint64) * _CHUNK[2])
 
 
 # bytes of words: ASCII letters and digits, and every byte of a character outside ASCII

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialize
+from textquarry.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         joined = large.join(low, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
+        discard(before)
         now = _mark(edges)
         if now == mark:
             break

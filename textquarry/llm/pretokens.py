@@ -3,8 +3,8 @@
 The pre-tokeniser cuts a text without looking at the vocabulary, and BPE never joins across a cut, so a text's ids are its
 pre-tokens' ids in order. ``cut`` finds the cuts of a whole batch in numpy on UTF-8 bytes, by the byte-level pattern
 (contractions; letters, numbers or other characters with at most one space before them; white space, less its last
-character where something follows). Pre-tokens are looked up by a 64-bit hash of their bytes and length; the unseen ones go
-to the library.
+character where something follows). Pre-tokens are looked up by a 64-bit hash, and a hit counts only if its bytes are the same;
+the unseen ones go to the library. What is kept is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-from textquarry.llm.common import U64, span_hashes
+from textquarry.llm.common import U64, chunks_of, span_hashes, words8
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 APOSTROPHE = ord("'")
@@ -146,8 +146,24 @@ class Kept:
             h, v, slot = h[left], v[left], (slot[left] + 1) & mask
 
 
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.a, self.n = np.zeros(1 << 14, kind), 0
+
+    def add(self, x: np.ndarray) -> int:
+        """The place where ``x`` was put."""
+        at = self.n
+        if at + len(x) > len(self.a):
+            self.a = np.concatenate([self.a, np.zeros(max(len(self.a) // 2, len(x)), self.a.dtype)])
+        self.a[at: at + len(x)] = x
+        self.n = at + len(x)
+        return at
+
+
 class BatchTokenizer:
-    MAX_KEPT = 500_000
+    KEPT_BYTES = 48 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -160,10 +176,15 @@ class BatchTokenizer:
 
     def forget(self):
         self.kept = Kept()
-        self.begin, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.pool, self.n_pool = np.zeros(1 << 18, np.uint32), 0
+        # of each kept pre-token: its ids, its length in bytes, its bytes as words of 8
+        self.begin, self.length, self.pool = _Pool(np.int64), _Pool(np.int64), _Pool(np.uint32)
+        self.n_bytes, self.word_at, self.words = _Pool(np.int64), _Pool(np.int64), _Pool(np.uint64)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def kept_bytes(self) -> int:
+        return 12 * len(self.kept.key) + sum(p.a.nbytes for p in (self.begin, self.length, self.pool, self.n_bytes, self.word_at, self.words))
+
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(ids, number of ids of each, the words' places in that order)."""
         plain = [k for k, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
         known = set(plain)
         rest = [k for k in range(len(words)) if k not in known]
@@ -183,16 +204,25 @@ class BatchTokenizer:
                 got_ids.append(np.array(e.ids, np.uint32))
                 got_len.append(np.array([len(e.ids)]))
             order += part
-        ids, lens = np.concatenate(got_ids), np.concatenate(got_len)
-        while self.n_pool + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(lens) > len(self.begin):
-            self.begin, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.length))
-        self.pool[self.n_pool: self.n_pool + len(ids)] = ids
-        self.begin[self.n: self.n + len(lens)] = self.n_pool + np.concatenate([[0], np.cumsum(lens)[:-1]])
-        self.length[self.n: self.n + len(lens)] = lens
-        self.kept.add(hashes[order], (self.n + np.arange(len(lens))).astype(np.int32))
-        self.n, self.n_pool = self.n + len(lens), self.n_pool + len(ids)
+        return np.concatenate(got_ids), np.concatenate(got_len), order
+
+    def _learn(self, hashes: np.ndarray | None, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers under which distinct pre-tokens are kept; without hashes they aren't found again."""
+        raw = buf.tobytes()
+        ids, lens, order = self._library([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())])
+        start, end = start[order], end[order]
+        first = self.pool.add(ids)
+        number = self.begin.add(first + np.concatenate([[0], np.cumsum(lens)[:-1]])) + np.arange(len(lens))
+        self.length.add(lens)
+        at, _, mask, lead = chunks_of(start, end)
+        first = self.words.add(words8(buf)[at] & mask)
+        self.word_at.add(first + lead)
+        self.n_bytes.add(end - start)
+        if hashes is not None:
+            self.kept.add(hashes[order], number.astype(np.int32))
+        out = np.empty(len(order), np.int64)
+        out[order] = number
+        return out
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, offsets per text) of concatenated UTF-8 texts."""
@@ -202,19 +232,30 @@ class BatchTokenizer:
         end = np.append(start[1:], len(buf))
         h = span_hashes(buf, start, end)
         h[h == 0] = 1
-        if self.n > self.MAX_KEPT:
+        if self.kept_bytes() > self.KEPT_BYTES:
             self.forget()
-        at = self.kept.find(h)
+        at = self.kept.find(h).astype(np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
             _, one = np.unique(h[new], return_index=True)
             pick = new[one]
-            raw = buf.tobytes()
-            self._learn(h[pick], [raw[a:b].decode() for a, b in zip(start[pick].tolist(), end[pick].tolist())])
+            self._learn(h[pick], buf, start[pick], end[pick])
             at[new] = self.kept.find(h[new])
-        lens = self.length[at]
+        # a hit has the same length and the same bytes
+        place, number, mask, _ = chunks_of(start, end)
+        n = np.maximum(1, (end - start + 7) >> 3)
+        differ = self.n_bytes.a[at] != end - start
+        other = np.repeat(differ, n)
+        look = np.flatnonzero(~other)
+        span = np.repeat(np.arange(len(at)), n)[look]
+        look = (words8(buf)[place[look]] & mask[look]) != self.words.a[self.word_at.a[at[span]] + number[look]]
+        differ[span[look]] = True
+        odd = np.flatnonzero(differ)
+        if len(odd):
+            at[odd] = self._learn(None, buf, start[odd], end[odd])
+        lens = self.length.a[at]
         done = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.pool[np.arange(done[-1]) + np.repeat(self.begin[at] - done[:-1], lens)]
+        ids = self.pool.a[np.arange(done[-1]) + np.repeat(self.begin.a[at] - done[:-1], lens)]
         return ids, done[np.searchsorted(start, off)]
 
 

@@ -1,7 +1,8 @@
 """Static range asymmetric numeral system over many interleaved lanes, in numpy.
 
 A block is laid out row by row: token t belongs to lane ``t % lanes``, and all lanes of a row are coded together. States
-are 64 bits wide, renormalised by 32-bit words; frequencies are ``PROB_BITS`` bits. Decoding runs forwards. Every
+are 64 bits wide, renormalised by 32-bit words; frequencies add up to 2^``PROB_BITS``, or more for a vocabulary of a million
+ids and beyond. Decoding runs forwards. Every
 ``CHECK_ROWS`` rows a checkpoint keeps all lanes' states and the place in the words, so that parts of a block can be decoded on
 their own; each such part has a crc32 of its ids.
 
@@ -27,10 +28,9 @@ _HEAD = struct.Struct("<4sIQIB")
 
 
 def normalise(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that add up to 2^PROB_BITS, at least 1 for every symbol, near the counts' proportions."""
-    n, total = len(counts), 1 << PROB_BITS
-    if n >= total:
-        raise ValueError("too many symbols for the table's precision")
+    """Frequencies that add up to a power of two, at least 1 for every symbol, near the counts' proportions."""
+    n = len(counts)
+    total = 1 << max(PROB_BITS, n.bit_length() + 2)
     c = counts.astype(np.float64)
     spare = total - n
     f = 1 + np.floor(c / max(c.sum(), 1.0) * spare).astype(np.int64)
@@ -44,9 +44,10 @@ class Table:
 
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
+        self.bits = int(self.freq.sum()).bit_length() - 1
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), self.freq.astype(np.int64))
-        self.limit = self.freq << U64(64 - PROB_BITS - (0 if self.freq.max() < (1 << PROB_BITS) else 1))
+        self.limit = self.freq << U64(64 - self.bits - (0 if self.freq.max() < (1 << self.bits) else 1))
 
 
 def lanes_for(n: int) -> int:
@@ -76,7 +77,7 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
             written += len(out)
             x = np.where(full, x >> U64(32), x)
         q = x // f
-        state[:m] = (q << U64(PROB_BITS)) + (x - q * f) + table.start[s]
+        state[:m] = (q << U64(table.bits)) + (x - q * f) + table.start[s]
         if r % CHECK_ROWS == 0:
             crc = zlib.crc32(kept[r * lanes: min(n, (r + CHECK_ROWS) * lanes)].tobytes())
             marks.append((written, crc, state.astype("<u8").tobytes()))
@@ -115,10 +116,10 @@ def decode(blob: bytes, table: Table, part: int | None = None) -> np.ndarray:
         for r in range(first, last):
             m = min(n, (r + 1) * lanes) - r * lanes
             x = state[:m]
-            slot = x & U64((1 << PROB_BITS) - 1)
+            slot = x & U64((1 << table.bits) - 1)
             s = table.symbol[slot]
             out[(r - first) * lanes: (r - first) * lanes + m] = s
-            x = table.freq[s] * (x >> U64(PROB_BITS)) + slot - table.start[s]
+            x = table.freq[s] * (x >> U64(table.bits)) + slot - table.start[s]
             low = x < U64(LOW)
             k_low = int(np.count_nonzero(low))
             if k_low:

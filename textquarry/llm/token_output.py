@@ -1,9 +1,9 @@
 """Token-ID output: documents become ids, entropy-coded with one shared static table, in independent blocks.
 
-Tokenising runs where the texts are read; only ids (2 or 4 bytes each) are shuffled, once, to parts that are ranges of
-doc_id. A part counts its ids, the counts of all parts add up to the one frequency table (bounded by the vocabulary), and
-each part encodes its documents in ascending doc_id order as blocks of the format in ``rans``: interleaved lanes,
-checkpoints, checksums. Both steps read the same shuffle. Blocks hold whole documents and don't depend on each other.
+Tokenising runs where the texts are read, once; the ids (2 or 4 bytes each) are stored in the shared folder. A pass over them
+counts each id: that is the one frequency table, bounded by the vocabulary, which is broadcast. Then the ids are shuffled,
+once, to parts that are ranges of doc_id, and each part encodes its documents in ascending doc_id order as blocks of the
+format in ``rans``: interleaved lanes, checkpoints, checksums. Blocks hold whole documents and don't depend on each other.
 
 File format
     A Parquet folder written by Spark's committer, one row per block: part, block, part_offset (ids of the part before
@@ -12,7 +12,8 @@ File format
 
 Defined cases
     A null or empty text is the end id alone. Documents with the same doc_id (or a null one, which sorts first) are kept, one
-    after another in the order of their ids. An empty table writes no block. Other columns are not read.
+    after another in the order of their ids. An empty table writes no block. A very long text is a block of its own. doc_ids of 2^53
+    and more keep their order (ranges are cut on doubles, which keep it too). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm import rans
-from textquarry.llm.common import runs_of_docs, shared_dir, string_buffers, table, text_bytes, tidy, tidy_group, tidy_groups
+from textquarry.llm.common import discard, materialize, runs_of_docs, stored_dir, string_buffers, table, tidy, tidy_group
 
-DEFAULTS = {"end_id": 0, "part_bytes": 16 << 20, "max_ranges": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
+DEFAULTS = {"end_id": 0, "part_bytes": 8 << 20, "max_ranges": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
 
 MAX_BROADCAST_PARTS = 1_000_000
 
@@ -39,8 +40,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def parts_and_end(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> tuple[DataFrame, int]:
-    """(``docs`` with ``part``: ranges of doc_id of about equal counts, ascending, nulls in the first; a bound above all parts).
+def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
+    """``docs`` with ``part``: ranges of doc_id of about equal counts, ascending, nulls in the first.
 
     Up to ``max_ranges`` bounds are quantiles on the driver; for more parts each such range is cut evenly between its bounds.
     """
@@ -55,7 +56,7 @@ def parts_and_end(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> tu
         at = [i / ranges for i in range(ranges + 1)]
         bounds = sorted(set(known.approxQuantile("k", at, 0.2 / ranges)))
     if len(bounds) < 3:
-        return docs.withColumn("part", F.lit(0)), 1
+        return docs.withColumn("part", F.lit(0))
     low, inner = bounds[0], bounds[1:-1]
     splits = [-float("inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="part_key", outputCol="part", handleInvalid="keep")
@@ -67,16 +68,11 @@ def parts_and_end(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> tu
         frm, to = F.get(edges, part), F.get(edges, part + 1)
         inside = F.floor((F.col("part_key") - frm) / F.greatest(to - frm, F.lit(1.0)) * pieces)
         part = part * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), inside)).cast("int")
-    return out.withColumn("part", part).drop("part_key"), (len(bounds) - 1) * pieces
-
-
-def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
-    """The ``docs`` of ``parts_and_end`` alone."""
-    return parts_and_end(docs, n_parts, max_ranges)[0]
+    return out.withColumn("part", part).drop("part_key")
 
 
 def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFrame:
-    """doc_id, part, ids (packed little-endian uint16 or uint32, end id included); no shuffle."""
+    """doc_id, ids (packed little-endian uint16 or uint32, end id included); no shuffle."""
     p = DEFAULTS | params
 
     def run(batches):
@@ -86,7 +82,7 @@ def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFra
         kind = "<u2" if tok.n_ids <= 1 << 16 else "<u4"
         for b in batches:
             buf, off = string_buffers(b.column(b.schema.get_field_index(col)))
-            doc, part = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "part"))
+            doc = b.column(b.schema.get_field_index("doc_id"))
             for i, j in runs_of_docs(off, p["read_block"]):
                 ids, o = tok.encode(buf[off[i]: off[j]], off[i: j + 1] - off[i])
                 n = np.diff(o) + 1
@@ -95,64 +91,79 @@ def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFra
                 out[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(o))] = ids
                 size = out.dtype.itemsize
                 packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((done * size).astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), part.slice(i, j - i), packed.cast(pa.binary())], names=["doc_id", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), packed.cast(pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", col).mapInArrow(tidy(run), "doc_id long, ids binary")
+
 
-    return docs.select("doc_id", "part", col).mapInArrow(tidy(run), "doc_id long, part int, ids binary")
+def frequencies(tokens: DataFrame, n_ids: int) -> np.ndarray:
+    """How often each id occurs in all of ``tokens``: at most n_ids rows come to the driver."""
+    kind = "<u2" if n_ids <= 1 << 16 else "<u4"
+
+    def count(batches):
+        total = np.zeros(n_ids, np.int64)
+        for b in batches:
+            raw, off = string_buffers(b.column(0))
+            for i, j in runs_of_docs(off, 4 << 20):
+                total += np.bincount(np.frombuffer(raw[off[i]: off[j]].tobytes(), kind), minlength=n_ids)
+        hot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], names=["id", "n"])
+
+    out = np.zeros(n_ids, np.int64)
+    for r in tokens.select("ids").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **params) -> None:
     """Write ``docs`` (doc_id, text) in the file format to the folder ``path``."""
     p = DEFAULTS | params
-    n_parts = max(1, -(-text_bytes(docs) // p["part_bytes"]))
     kind = "<u2" if n_ids <= 1 << 16 else "<u4"
-    dealt, end_part = parts_and_end(docs.select("doc_id", "text"), n_parts, p["max_ranges"])
-    tokens = tokenize(dealt, tokenizer, **p)
-
-    def count(t: pa.Table) -> pa.Table:
-        raw, _ = string_buffers(t["ids"])
-        c = np.bincount(np.frombuffer(raw.tobytes(), kind), minlength=n_ids)
-        hot = np.flatnonzero(c)
-        return pa.table({"id": pa.array(hot, pa.int32()), "n": pa.array(c[hot], pa.int64())})
-
-    counts = tokens.groupBy("part").applyInArrow(tidy_group(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    # one row of at most n_ids pairs, given to each part
-    shared = counts.agg(F.collect_list("id").alias("table_id"), F.collect_list("n").alias("table_n")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(end_part - 1))))
+    size = np.dtype(kind).itemsize
+    tokens = materialize(tokenize(docs.select("doc_id", "text"), tokenizer, **p), "token-ids")
+    freq = docs.sparkSession.sparkContext.broadcast(rans.normalise(frequencies(tokens, n_ids)).astype("<u4").tobytes())
+    n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    dealt = with_parts(tokens, max(1, -(-n_bytes // p["part_bytes"])), p["max_ranges"])
 
-    def encode(t: pa.Table, s: pa.Table) -> pa.Table:
+    def encode(t: pa.Table) -> pa.Table:
         out = {k: [] for k in ("part", "block", "part_offset", "n_tokens", "doc_ids", "lengths", "payload", "freq")}
-        if t.num_rows:
-            if s.num_rows != 1:
-                raise ValueError(f"part {t['part'][0]} has documents and {s.num_rows} frequency tables")
-            counts = np.zeros(n_ids, np.int64)
-            counts[s["table_id"].combine_chunks().flatten().to_numpy()] = s["table_n"].combine_chunks().flatten().to_numpy()
-            freq = rans.normalise(counts)
-            coder = rans.Table(freq)
-            part = t["part"][0].as_py()
-            order = t.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")]) if t.num_rows > 1 else t
-            order = pa.concat_tables([order.filter(order["doc_id"].is_null()), order.filter(order["doc_id"].is_valid())]).combine_chunks()
-            size = np.dtype(kind).itemsize
-            raw, off = string_buffers(order["ids"])
-            docs_ = np.array(order["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), "<i8")
-            done = 0
-            for k, (i, j) in enumerate(runs_of_docs(off, p["block_tokens"] * size)):
-                ids = np.frombuffer(raw[off[i]: off[j]].tobytes(), kind).astype(np.int64)
-                lens = (np.diff(off[i: j + 1]) // size).astype("<i8")
-                out["part"].append(part)
-                out["block"].append(k)
-                out["part_offset"].append(done)
-                out["n_tokens"].append(len(ids))
-                out["doc_ids"].append(zlib.compress(docs_[i:j].tobytes(), 1))
-                out["lengths"].append(zlib.compress(lens.tobytes(), 1))
-                out["payload"].append(rans.encode(ids, coder))
-                out["freq"].append(zlib.compress(freq.astype("<u4").tobytes(), 6) if k == 0 else None)
-                done += len(ids)
+        coder = rans.Table(np.frombuffer(freq.value, "<u4"))
+        part = t["part"][0].as_py()
+        ids = t["doc_id"].combine_chunks()
+        t = t.select(["doc_id", "ids"])
+        # nulls first; equal ids by their tokens
+        if t.num_rows > 1:
+            t = pa.concat_tables([t.filter(ids.is_null()), t.filter(ids.is_valid())])
+            key = t["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            same = np.flatnonzero(np.diff(np.concatenate([[False], key[1:] == key[:-1], [False]]).astype(np.int8)))
+            col = t["ids"]
+            for a, b in zip(same[::2], same[1::2]):
+                order[a: b + 1] = sorted(order[a: b + 1], key=lambda k: col[int(k)].as_py())
+            t = t.take(pa.array(order))
+        raw, off = string_buffers(t["ids"])
+        docs_ = np.array(t["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), "<i8")
+        done = 0
+        for k, (i, j) in enumerate(runs_of_docs(off, p["block_tokens"] * size)):
+            block = np.frombuffer(raw[off[i]: off[j]].tobytes(), kind)
+            lens = (np.diff(off[i: j + 1]) // size).astype("<i8")
+            out["part"].append(part)
+            out["block"].append(k)
+            out["part_offset"].append(done)
+            out["n_tokens"].append(len(block))
+            out["doc_ids"].append(zlib.compress(docs_[i:j].tobytes(), 1))
+            out["lengths"].append(zlib.compress(lens.tobytes(), 1))
+            out["payload"].append(rans.encode(block, coder))
+            out["freq"].append(zlib.compress(freq.value, 6) if k == 0 else None)
+            done += len(block)
         types = {"part": pa.int32(), "block": pa.int32(), "part_offset": pa.int64(), "n_tokens": pa.int64()}
         return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
-    blocks = tokens.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
-        tidy_groups(encode), "part int, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
+    blocks = dealt.groupBy("part").applyInArrow(
+        tidy_group(encode), "part int, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
     blocks.write.option("compression", "none").parquet(path)
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -176,7 +187,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
         coder = None
         for b in batches:
             for r in b.to_pylist():
-                coder = coder or rans.Table(np.frombuffer(zlib.decompress(freq.value), "<u4").astype(np.uint64))
+                coder = coder or rans.Table(np.frombuffer(zlib.decompress(freq.value), "<u4"))
                 ids = rans.decode(r["payload"], coder).astype("<u4")
                 docs_ = np.frombuffer(zlib.decompress(r["doc_ids"]), "<i8")
                 lens = np.frombuffer(zlib.decompress(r["lengths"]), "<i8")
@@ -197,7 +208,7 @@ def token_id_output(docs: DataFrame, tokenizer: str | None = None, path: str | N
     """Write ``docs`` (doc_id, text) to ``path`` (default: the shared folder) and read the digest of each back."""
     spark = docs.sparkSession
     name = tokenizer or default_tokenizer()
-    target = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    target = path or f"{stored_dir(spark)}/tokens-{uuid.uuid4().hex}"
     from tokenizers import Tokenizer
 
     write_tokens(docs, target, name, Tokenizer.from_file(name).get_vocab_size(), **params)
