@@ -8,7 +8,9 @@ each bin are packed to a hex string; two fingerprints' share m of equal bins est
 
 Defined cases
     A null text counts as empty. A text without words has the empty fingerprint, which is like another empty one (1) and
-    unlike any other (0). Equal texts have equal fingerprints. Other columns are not read.
+    unlike any other (0). Equal texts have equal fingerprints. Rows with the same doc_id follow one another by their texts, each with its
+    own row; a null doc_id comes first. A very long text is a block of its own. The one document of a table is its own next one;
+    an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from textquarry.llm.common import (U64, replacing, runs_of_docs, shingle_hashes,
                                    text_bytes, word_spans)
 from textquarry.llm.token_output import with_parts
 
-DEFAULTS = {"bins": 512, "bits": 4, "width": 5, "block_bytes": 1 << 20, "part_bytes": 8 << 20, "max_parts": 20_000}
+DEFAULTS = {"bins": 512, "bits": 4, "width": 5, "block_bytes": 1 << 20, "part_bytes": 8 << 20, "max_parts": 20_000, "block_rows": 2048}
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -45,16 +47,21 @@ def text_shingles(buf: np.ndarray, off: np.ndarray, width: int = 5) -> tuple[np.
 
 def codes(buf: np.ndarray, off: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """(uint8 matrix of low bits, documents x bins; which documents have words)."""
-    k, n = p["bins"], len(off) - 1
+    k, n_docs = p["bins"], len(off) - 1
     h, o = text_shingles(buf, off, p["width"])
+    some = np.diff(o) > 0
+    with_words = np.flatnonzero(some)  # the others have no cells
+    n = len(with_words)
+    out = np.zeros((n_docs, k), np.uint8)
+    if not n:
+        return out, some
     shift = U64(64 - (k - 1).bit_length())
     none = U64(0xFFFFFFFFFFFFFFFF)
     least = np.full(n * k, none)
-    cell = np.repeat(np.arange(n, dtype=np.int64) * k, np.diff(o)) + (h >> shift).astype(np.int64)
+    cell = np.repeat(np.arange(n, dtype=np.int64) * k, np.diff(o)[with_words]) + (h >> shift).astype(np.int64)
     np.minimum.at(least, cell, h & U64((1 << int(shift)) - 1))
-    some = np.diff(o) > 0
     filled = least != none
-    empty = np.flatnonzero(~filled & np.repeat(some, k))
+    empty = np.flatnonzero(~filled)
     row, col = empty - empty % k, empty % k
     probes = _probes(k)
     for t in range(k):
@@ -64,7 +71,8 @@ def codes(buf: np.ndarray, off: np.ndarray, p: dict) -> tuple[np.ndarray, np.nda
         hit = filled[at]
         least[empty[hit]] = least[at[hit]]
         empty, row, col = empty[~hit], row[~hit], col[~hit]
-    return (least & U64((1 << p["bits"]) - 1)).astype(np.uint8).reshape(n, k), some
+    out[with_words] = (least & U64((1 << p["bits"]) - 1)).astype(np.uint8).reshape(n, k)
+    return out, some
 
 
 def pack(code: np.ndarray, some: np.ndarray, bits: int) -> list[str]:
@@ -89,7 +97,7 @@ def fingerprint(docs: DataFrame, col: str = "text", **params) -> DataFrame:
         for b in batches:
             buf, off = string_buffers(b.column(b.schema.get_field_index(col)))
             out: list[str] = []
-            for i, j in runs_of_docs(off, p["block_bytes"]):
+            for i, j in runs_of_docs(off, p["block_bytes"], p["block_rows"]):
                 out += pack(*codes(buf[off[i]: off[j]], off[i: j + 1] - off[i], p), p["bits"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "fingerprint"])
 
@@ -146,12 +154,14 @@ def edited_likeness(docs: DataFrame, **params) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "part", "tail", "text"))):
-                held.append((r[0], r[1], r[2], r[3] or ""))
-                size += len(held[-1][3])
-                if size >= p["block_bytes"] and len(held) > 1:
-                    yield block(held)
-                    held, size = held[-1:], len(held[-1][3])
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "part", "tail", "text")]
+            for i, j in runs_of_docs(string_buffers(cols[3])[1], p["block_bytes"], p["block_rows"]):
+                for r in zip(*(c.slice(i, j - i).to_pylist() for c in cols)):
+                    held.append((r[0], r[1], r[2], r[3] or ""))
+                    size += len(held[-1][3])
+                    if (size >= p["block_bytes"] or len(held) > p["block_rows"]) and len(held) > 1:
+                        yield block(held)
+                        held, size = held[-1:], len(held[-1][3])
         if len(held) > 1:
             yield block(held)
 
