@@ -91,3 +91,19 @@ def test_odd_rows(docs_of, empty_docs):
     by = {r["text"]: (r["n_tokens"], r["viterbi_score"]) for r in rows}
     assert by[None] == by[""] == (0, 0.0) and by["same words"][0] >= 2
     assert count_tokens(empty_docs).collect() == []
+
+
+def test_a_long_text_without_cuts_and_a_full_table(monkeypatch):
+    from textquarry.llm import token_counts
+
+    pieces = vocabulary(3)
+    c = Counter(pieces.items(), True)
+    text = "abcab" * 60_000
+    one, two = c.count(text), c.count(text[:20])
+    want = every_path(M + text[:20], pieces, min(pieces.values()) - 10, True)
+    assert two == (want[0], pytest.approx(want[1])) and one[0] > 60_000 and not c.kept.get(" " + text)
+    monkeypatch.setattr(token_counts, "KEPT_BYTES", 500)
+    small = Counter(pieces.items(), True)
+    for text in ("a b c ab", "cab abc a", "b a c ab cab", "a b c ab"):
+        assert small.count(text) == c.count(text)
+        assert small.kept_bytes <= 500

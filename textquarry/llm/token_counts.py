@@ -3,7 +3,9 @@
 The text is split where no vocabulary piece can span (before each run of word-start marks that follows another
 character), so a document's count is the sum over its segments. A segment's best path comes from one pass of an
 Aho-Corasick automaton, which enumerates the vocabulary matches by their end, and a dynamic programme that carries only
-the best score and the number of pieces on it. Segments repeat, so each task keeps a bounded table of those it has solved.
+the best score and the number of pieces on it, for as many places back as the longest piece has characters, so even a text
+without any cut needs no more memory than itself. Short segments repeat, so each worker keeps those it has solved, up to
+``KEPT_BYTES``.
 
 Tie rules are the tokenizer's: matches of one end are tried in the order of their start, and only a strictly better score
 replaces the best path, so the earliest start (the longest last piece) wins a tie; characters without a piece cost the
@@ -11,7 +13,8 @@ lowest score of the vocabulary less 10, count as their UTF-8 bytes where the voc
 run of them counts as one token.
 
 Defined cases
-    A null or empty text has 0 tokens and score 0. Repeated rows count each by itself. Other columns are not read. The
+    A null or empty text has 0 tokens and score 0. Repeated rows count each by itself. An empty table gives no rows. Very long texts,
+    with or without spaces, are counted whole. Columns n_tokens and viterbi_score of the input are replaced, others stay. The
     text is taken as it is, with a word-start mark before it and in place of each space (U+0020).
 """
 
@@ -29,7 +32,9 @@ from textquarry.llm.common import replacing, table, tidy
 
 MARK = "▁"
 UNK_PENALTY = 10.0
-MAX_KEPT = 1_500_000  # solved segments that a Python worker keeps; about 200 MB
+KEPT_BYTES = 96 << 20  # of solved segments that a Python worker keeps
+LONGEST_KEPT = 64  # characters of a segment that is worth keeping
+ENTRY_BYTES = 220  # of a kept segment besides its characters
 
 
 def default_model() -> str:
@@ -71,57 +76,66 @@ class Counter:
         self.alone = [c for c in "\n\t\r" if c not in inner]
         cut = "".join(map(re.escape, self.alone))
         self.split = re.compile(f" *[^ {cut}]+|[{cut}]| +" if cut else " *[^ ]+| +").findall
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.kept: dict[str, tuple[int, float]] = {}
+        self.kept_bytes = 0
 
     def solve(self, segment: str) -> tuple[int, float]:
         """(pieces, score) of the best path; segments have spaces for word-start marks."""
         s = segment.replace(" ", MARK)
-        n = len(s)
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
-        best[0] = 0.0
-        unk_here = [False] * (n + 1)
-        ends: dict[int, list] = {}
-        for e, hit in self.auto.iter(s):
-            ends.setdefault(e + 1, []).append(hit)
+        n, ring = len(s), self.longest + 1
+        best, count = [0.0] * ring, [0] * ring  # of the places e, e - 1, ... at e % ring
+        was_unknown = False
+        hits = self.auto.iter(s)
+        hit = next(hits, None)
         for e in range(1, n + 1):
-            single = False
-            top, c, u = None, 0, False
-            for length, score in ends.get(e, ()):
-                b = e - length
+            single, unknown = False, False
+            top, c = None, 0
+            while hit is not None and hit[0] == e - 1:
+                length, score = hit[1]
+                b = (e - length) % ring
                 single |= length == 1
                 if top is None or best[b] + score > top:
                     top, c = best[b] + score, count[b] + 1
+                hit = next(hits, None)
             if not single:
-                got = best[e - 1] + self.unk
+                b = (e - 1) % ring
+                got = best[b] + self.unk
                 if top is None or got > top:
+                    unknown = True
+                    top = got
                     if self.byte_fallback:
-                        top, c = got, count[e - 1] + len(s[e - 1].encode("utf-8", "surrogatepass"))
+                        c = count[b] + len(s[e - 1].encode("utf-8", "surrogatepass"))
                     else:
-                        top, c = got, count[e - 1] + (0 if unk_here[e - 1] else 1)
-                    u = True
-            best[e], count[e], unk_here[e] = top, c, u
-        return count[n], best[n]
+                        c = count[b] + (0 if was_unknown else 1)
+            best[e % ring], count[e % ring], was_unknown = top, c, unknown
+        return count[n % ring], best[n % ring]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        segments = self.split(" " + text)
         if not self.byte_fallback:  # neighbouring unknown characters are one token, so no cut may part them
             return self.solve(" " + text)
-        kept = self.kept
+        segments = self.split(" " + text)
         try:
-            got = [kept[s] for s in segments]
+            n, score = zip(*map(self.kept.__getitem__, segments))
         except KeyError:
-            if len(kept) > MAX_KEPT:
-                kept.clear()
-            for s in segments:
-                if s not in kept:
-                    kept[s] = self.solve(s)
-            got = [kept[s] for s in segments]
-        n, score = zip(*got)
+            n, score = zip(*map(self._keep, segments))
         return sum(n), float(sum(score))
 
+    def _keep(self, segment: str) -> tuple[int, float]:
+        got = self.kept.get(segment)
+        if got is None:
+            got = self.solve(segment)
+            if len(segment) <= LONGEST_KEPT:
+                size = ENTRY_BYTES + 4 * len(segment)
+                if self.kept_bytes + size > KEPT_BYTES:
+                    self.kept.clear()
+                    self.kept_bytes = 0
+                self.kept[segment] = got
+                self.kept_bytes += size
+        return got
+
 
 @functools.lru_cache(2)
 def counter(path: str) -> Counter:
