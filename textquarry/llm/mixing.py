@@ -11,12 +11,13 @@ about the smallest one's size. Random choices come from a generator seeded by a
 Up to ``max_sources`` sources are told their targets from the driver. Beyond that the targets are columns of a table of sources,
 the shares come from sums over it, and it is joined by a shuffle, except for the few sources with a large part of the rows.
 
-Only (doc_id, source, size) moves, never a text, until a caller joins the decisions to its documents.
+The words of every text are counted once; (doc_id, source, size) is stored, and only that moves, never a text, until a caller
+joins the decisions to its documents.
 
 Defined cases
     A null text has size 0; a document of size 0 adds no words and is still taken or not. Null sources are one source,
-    last in order. Rows that share a doc_id and source are one unit: their sizes add up and all are taken alike. An
-    empty table gives an empty mix. Other columns are not read.
+    last in order. Rows that share a doc_id (null, too) and source are one unit: their sizes add up and all are taken alike. A text of
+    any length is one unit. An empty table gives an empty mix. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -160,8 +161,9 @@ def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int
 def mix_decisions(docs: DataFrame, **params) -> DataFrame:
     """One row per (doc_id, source): size, source_size, target, copies (0, 1 or 2)."""
     p = DEFAULTS | params
-    units = docs.select("doc_id", "source", word_count("text").alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    sources = docs.select("source", word_count("text").alias("size")).groupBy("source").agg(
+    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    units = sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    sources = sizes.groupBy("source").agg(
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     units = units.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     spark, on = docs.sparkSession, ["source", "no_source"]
