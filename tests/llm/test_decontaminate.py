@@ -10,8 +10,21 @@ def words(t):
     return [w for w in SPLIT.split((t or "").lower()) if w]
 
 
-def brute(docs, items):
+def short_copies(docs, items):
     out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            x = words(x)
+            at = [k for k in range(len(w) - len(x) + 1) if w[k: k + len(x)] == x] if 1 <= len(x) < 7 else []
+            if at:
+                old = out.get((d, i), (at[0], len(x)))
+                out[d, i] = (min(old[0], at[0]), max(old[1], len(x)))
+    return out
+
+
+def brute(docs, items):
+    out = short_copies(docs, items)
     for d, t in docs:
         w = words(t)
         for i, x in {(i, tuple(words(x))) for i, x in items}:
@@ -91,34 +104,33 @@ def test_clean_documents_stay(spark, docs_of):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((d for d, _ in docs if d not in bad), key=repr)
 
 
-def short_copies(docs, items):
-    out = {}
-    for d, t in docs:
-        w = words(t)
-        for i, x in items:
-            x = words(x)
-            at = [k for k in range(len(w) - len(x) + 1) if w[k: k + len(x)] == x] if 1 <= len(x) < 7 else []
-            if at:
-                old = out.get((d, i), (at[0], len(x)))
-                out[d, i] = (min(old[0], at[0]), max(old[1], len(x)))
-    return out
-
-
 def test_short_items_are_found_as_exact_copies(spark, docs_of):
     docs, items = case(4)
     items += [(60, "w1 W2"), (60, "w3"), (61, "w5, w9 w11"), (62, " ".join(f"s{k}" for k in range(6))), (3, "w7")]
     docs += [(200, "before s0 s1 s2 s3 s4 s5 after"), (201, "s0 s1 s2 s3 s4"), (None, "s0 S1 s2-s3 s4 s5"), (202, "s0 s1 s2 changed s4 s5")]
-    want = short_copies(docs, items)
-    assert (200, 62) in want and (None, 62) in want and (201, 62) not in want and len(want) > 20
-    for d, i, at, n in brute(docs, items):
-        old = want.get((d, i), (at, n))
-        want[d, i] = (min(old[0], at), max(old[1], n))
+    want = {(d, i): v for d, i, *v in brute(docs, items)}
+    assert (200, 62) in want and (None, 62) in want and (201, 62) not in want
     for rows in (1_000_000, 1):
-        got = overlaps(docs_of(docs), bench(spark, items), short_items=True, broadcast_rows=rows).collect()
+        got = overlaps(docs_of(docs), bench(spark, items), broadcast_rows=rows).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(((*k, *v) for k, v in want.items()), key=repr)
-    kept = decontaminate(docs_of(docs), bench(spark, items[-2:-1]), short_items=True)
+    kept = decontaminate(docs_of(docs), bench(spark, items[-2:-1]))
     assert {200, None} & {r["doc_id"] for r in kept.collect()} == set()
-    assert overlaps(docs_of(docs), bench(spark, items[7:8]).limit(0), short_items=True).collect() == []
+
+
+def test_short_items_as_sql(spark, docs_of, same_as_sql, tmp_path):
+    docs, items = case(6)
+    items += [(60, "w1 W2"), (61, "w5, w9 w11"), (3, "w7")]
+    for name, df in (("documents", docs_of([r for r in docs if r[0] is not None], False)), ("benchmark", bench(spark, [r for r in items if r[0] is not None]))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (tmp_path / f"{name}.parquet").write_bytes(next((tmp_path / name).glob("*.parquet")).read_bytes())
+    same_as_sql(op4_decontamination, ORACLE_SQL["op4_decontamination"], str(tmp_path))
+
+
+def test_very_long_texts(spark, docs_of):
+    rnd = random.Random(1)
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = [(1, " ".join(f"v{rnd.randrange(50)}" for _ in range(150_000)) + " " + item), (2, "v1 " * 150_000)]
+    assert [tuple(r) for r in overlaps(docs_of(docs), bench(spark, [(7, item)])).collect()] == [(1, 7, 150_000, 20)]
 
 
 def test_empty_tables(spark, docs_of, empty_docs):

@@ -7,15 +7,18 @@ aligned words (the whole item, if it is shorter) lies inside both and has at mos
 words, 1 for 7 to 9). The two masks are lossless for this: every such window contains at least one seed without a
 difference, so the result is exactly that of comparing all alignments.
 
+An item of fewer than 7 words, too short for the masks, is looked for as an exact copy of all its words.
+
 Documents are read twice: once for seeds, then those with an alignment for its check. Seeds stream through one generated
-stage into the join, none is shuffled while the benchmark's seeds are under ``broadcast_rows``; beyond that the join
-shuffles. Likewise for the ids of the documents to check.
+stage into the join, none is shuffled while the benchmark's seeds are counted to be under ``broadcast_rows``; beyond that the join
+shuffles. Likewise for the ids of the documents to check, and for the items' words, which are counted in bytes as well. Short items
+cost one more read, only where the benchmark has some.
 
 Defined cases
-    A null text has no words. An item of fewer than 7 words is looked for only with ``short_items``, and then as an exact
-    copy of all its words anywhere in a text (one of a single word is found wherever that word stands). Rows that share a doc_id count as one
+    A null text has no words. An item of one word is found wherever that word stands. Rows that share a doc_id count as one
     document: it overlaps if one of them does. A null doc_id or item_id is an id like others. Repeated items give their
-    item_id once. Other columns are not read, whatever their names.
+    item_id once. Empty tables overlap with nothing. Very long texts are compared whole. Other columns are not read, whatever
+    their names.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialize, table
+from textquarry.llm.common import checked_broadcast, materialize, table
 
 MASKS = ((0, 3, 4, 5), (0, 1, 2, 4))
 SPAN = 6
 LEAST = 7
 WINDOW = 13
-DEFAULTS = {"broadcast_rows": 1_000_000, "short_items": False}
+DEFAULTS = {"broadcast_rows": 1_000_000}
 
 
 def words(text: Column) -> Column:
@@ -49,21 +52,18 @@ def seeds(df: DataFrame, *keep: str) -> DataFrame:
     return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("seed"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only if counted to be within ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def short_overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The same as ``overlaps`` for items of fewer than 7 words: exact copies of all their words."""
+def short_overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame | None:
+    """The same as ``overlaps`` for items of fewer than 7 words: exact copies of all their words. None if there are no such items."""
     p = DEFAULTS | params
     items = benchmark.select("item_id", words(F.col("text")).alias("b")).where(F.size("b").between(1, LEAST - 1)).distinct()
     sizes = sorted(r["n"] for r in items.select(F.size("b").alias("n")).distinct().collect())  # six at most
+    if not sizes:
+        return None
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     at = texts.select("doc_id", "w", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).where(F.size("w") >= F.col("n"))
     grams = at.select("doc_id", "w", "n", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("pos")).select(
         "doc_id", "pos", F.slice("w", F.col("pos") + 1, F.col("n")).alias("b"))
-    return grams.join(_small(items, p["broadcast_rows"]), "b").groupBy("doc_id", "item_id").agg(
+    return grams.join(checked_broadcast(items, p["broadcast_rows"]), "b").groupBy("doc_id", "item_id").agg(
         F.min("pos").cast("long").alias("doc_word"), F.max(F.size("b")).cast("long").alias("n_equal"))
 
 
@@ -74,14 +74,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= LEAST).distinct()
     item_seeds = seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = seeds(texts, "doc_id").join(_small(item_seeds, p["broadcast_rows"]), "seed").select(
+    hits = seeds(texts, "doc_id").join(checked_broadcast(item_seeds, p["broadcast_rows"]), "seed").select(
         "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = materialize(hits, "alignments")
     ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    check = texts.join(_small(ids, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    check = texts.join(checked_broadcast(ids, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     h = hits.select(F.col("doc_id").alias("hit_id"), F.col("item_id").alias("hit_item"), "shift")
     pairs = check.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(
-        _small(items.select("item_id", F.col("w").alias("b")), p["broadcast_rows"]), F.col("item_id").eqNullSafe(F.col("hit_item")))
+        checked_broadcast(items.select("item_id", F.col("w").alias("b"), F.octet_length(F.concat_ws(" ", "w")).alias("n_bytes")), p["broadcast_rows"], "n_bytes"), F.col("item_id").eqNullSafe(F.col("hit_item")))
     lo = F.greatest(F.lit(0), -F.col("shift"))
     hi = F.least(F.size("b"), F.size("w") - F.col("shift"))
     size = F.least(F.lit(WINDOW), F.size("b"))
@@ -95,10 +95,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
         F.aggregate("eq", F.lit(0), lambda a, x: a + x).alias("n")).where(F.size("s") > 0)
     found = good.groupBy("doc_id", "item_id").agg(
         F.min(F.col("from") + F.array_min("s")).cast("long").alias("doc_word"), F.max("n").cast("long").alias("n_equal"))
-    if not p["short_items"]:
+    short = short_overlaps(docs, benchmark, **params)
+    if short is None:
         return found
     # an item_id may have texts of either kind
-    return found.unionByName(short_overlaps(docs, benchmark, **params)).groupBy("doc_id", "item_id").agg(
+    return found.unionByName(short).groupBy("doc_id", "item_id").agg(
         F.min("doc_word").alias("doc_word"), F.max("n_equal").alias("n_equal"))
 
 
@@ -106,7 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
     p = DEFAULTS | params
     bad = materialize(overlaps(docs, benchmark, **params).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    bad = _small(bad, p["broadcast_rows"])
+    bad = checked_broadcast(bad, p["broadcast_rows"])
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
@@ -137,7 +138,14 @@ WITH d AS (
   SELECT *, unnest(range(lo, hi - size + 1)) AS st FROM k
 ), ok AS (
   SELECT *, len(list_filter(qs, lambda x: x >= st AND x < st + size)) AS eq FROM s
+), t AS (
+  SELECT item_id, w, len(w) AS m FROM b WHERE len(w) BETWEEN 1 AND 6
+), f AS (
+  SELECT doc_id, item_id, p, w, m FROM (SELECT doc_id, word, p FROM dw) JOIN t ON word = t.w[1]
+), x AS (
+  SELECT f.doc_id, f.item_id, f.p, f.m FROM f JOIN d ON f.doc_id IS NOT DISTINCT FROM d.doc_id WHERE d.w[f.p + 1: f.p + f.m] = f.w
+), every AS (
+  SELECT doc_id, item_id, st + shift AS place, c FROM ok WHERE eq >= size - allowed UNION ALL SELECT doc_id, item_id, p, m FROM x
 )
-SELECT doc_id, item_id, min(st + shift)::BIGINT AS doc_word, max(c)::BIGINT AS n_equal
-FROM ok WHERE eq >= size - allowed GROUP BY doc_id, item_id
+SELECT doc_id, item_id, min(place)::BIGINT AS doc_word, max(c)::BIGINT AS n_equal FROM every GROUP BY doc_id, item_id
 """}
