@@ -80,3 +80,19 @@ def test_nothing_to_learn(spark, empty_docs, docs_of):
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"), (F.col("id") % 2).alias("label"))
     assert len(fit(rows, n_features=1 << 8, max_train=100)) == 8 * 257
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    """A model of the least k of the rows up to the bytes is the model of these rows alone."""
+    rows = [(i, ("good words " if i % 2 else "bad ### ") * 50, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    small = fit(df, n_features=1 << 8, max_train_bytes=20_000)
+    assert small != fit(df, n_features=1 << 8) and len(small) == 8 * 257
+    assert fit(df, n_features=1 << 8, max_train_bytes=1 << 30) == fit(df, n_features=1 << 8)
+
+
+def test_null_ids_are_held_out(spark, docs_of, tmp_path):
+    docs_of([(1, "one two"), (2, "three"), (None, "four")], False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["held_out"] for r in op5_quality_classifier(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and got[None] is True

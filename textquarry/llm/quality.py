@@ -5,14 +5,15 @@ one of the two before it counts as a mark of repetition in its place. Features a
 ``n_features`` weights. A text is the vector of its feature counts divided by its number of words, times ``scale``; its
 score is a sparse dot product with the weights.
 
-Training reads a bounded sample: at most about ``max_train`` labelled rows, picked by a hash of doc_id, so that it needs
-one task of fixed size whatever the corpus. Scoring reads all documents in Arrow batches, the weights are broadcast
+Training reads a bounded sample: at most about ``max_train`` labelled rows with at most about ``max_train_bytes`` of text, picked
+by a hash of doc_id, so that it needs one task of fixed size whatever the corpus. Scoring reads all documents in Arrow batches, the weights are broadcast
 (8 bytes times ``n_features``, a fixed size).
 
 Defined cases
     A null text counts as empty; an empty text has only the bias and gets its score. Rows with a null label or a null
     text teach nothing or the empty text. Repeated rows count as often as they occur. With no labelled row at all every
-    score is 0.5. Other columns are not read.
+    score is 0.5. A null doc_id has no label, so the query says that it is held out. A very long text is scored whole, as a block of its
+    own. An empty table gives no rows. A column quality_score of the input is replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import (U64, mix64, replacing, runs_of_docs, span_hashes, string_buffers, table, tidy)
+from textquarry.llm.common import (U64, materialize, mix64, replacing, runs_of_docs, span_hashes, string_buffers, table, tidy)
 
 # kinds of bytes: 0 white space and controls, 1 letters, digits and everything outside ASCII, others by the character
 _KIND = np.zeros(256, np.uint8)
@@ -31,7 +32,7 @@ for _c in range(33, 127):
 for _lo, _hi in ((48, 57), (65, 90), (97, 122), (128, 255)):
     _KIND[_lo: _hi + 1] = 1
 
-DEFAULTS = {"n_features": 1 << 20, "scale": 20.0, "max_train": 16_000, "epochs": 2, "alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.1,
+DEFAULTS = {"n_features": 1 << 20, "scale": 20.0, "max_train": 16_000, "max_train_bytes": 64 << 20, "epochs": 2, "alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.1,
             "block_bytes": 1 << 20}
 
 
@@ -96,17 +97,29 @@ def train_ftrl(texts: pa.Array, labels: np.ndarray, p: dict) -> np.ndarray:
     return weights(np.arange(size))
 
 
+SHARES = 1 << 40
+
+
+def _share(total: int, most: int) -> int:
+    """The part of SHARES to take of ``total`` rows so that about ``most`` remain."""
+    return SHARES if total <= most else int(0.97 * most / total * SHARES)
+
+
 def fit(labelled: DataFrame, **params) -> bytes:
-    """Weights (float64 little-endian) from a DataFrame of doc_id, text, label; the sample is bounded by ``max_train``.
+    """Weights (float64 little-endian) from a DataFrame of doc_id, text, label; the sample is bounded by ``max_train`` rows and
+    ``max_train_bytes`` of text (but for the length of its last one).
 
-    The sampled rows are put in the order of a hash of doc_id in one task, which is as small on any corpus.
+    The sampled rows are stored, and put in the order of a hash of doc_id in one task, which is as small on any corpus.
     """
     p = DEFAULTS | params
-    rows = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(SHARES))
+    rows = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("double").alias("label"), order.alias("k"))
     total = rows.select("label").count()
-    share = 1.0 if total <= p["max_train"] else 0.97 * p["max_train"] / total
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    sample = rows.where(F.pmod(order, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).withColumn("k", order)
+    sample = materialize(rows.where(F.col("k") < F.lit(_share(total, p["max_train"]))), "training")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > p["max_train_bytes"]:
+        at = sample.agg(F.max("k")).first()[0]
+        sample = sample.where(F.col("k") <= F.lit(int(at * p["max_train_bytes"] / size)))
 
     def learn(batches):
         got = [b for b in batches if b.num_rows]
@@ -156,10 +169,7 @@ def sampled_training(docs: DataFrame, labels: DataFrame, max_train: int) -> Data
     """As ``training_rows``, but labels are sampled before the join, so that few texts move."""
     keep = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     known = labels.where(keep & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    total = known.count()
-    share = 1.0 if total <= max_train else 0.97 * max_train / total
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    known = known.where(F.pmod(order, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(SHARES)) < F.lit(_share(known.count(), max_train)))
     # the sample of labels is bounded by max_train rows of 16 bytes
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
@@ -172,7 +182,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = fit(sampled_training(docs, labels, DEFAULTS["max_train"]))
     scored = score_quality(docs.select("doc_id", "text"), weights)
     return scored.select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True)).alias("held_out"),
         F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
