@@ -11,14 +11,21 @@ TARGET_PREFIX = "- Target Cell: "
 NO_HEADING = "Document Section"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: the expression doesn't grow with each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def column_name(index: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, up to six letters (over 300 million columns)."""
-    letters = F.lit("")
-    rest = index.cast("long")
-    for _ in range(6):
-        letters = F.concat(F.when(rest >= 0, F.chr(F.lit(65) + F.pmod(rest, F.lit(26)))).otherwise(""), letters)
-        rest = F.when(rest >= 0, F.floor(rest / 26) - 1).otherwise(F.lit(-1).cast("long"))
-    return letters
+    """0 -> A, 25 -> Z, 26 -> AA, up to six letters (over 300 million columns); empty below 0."""
+    n = index.cast("long")
+    out, first = F.lit(None).cast("string"), sum(26 ** k for k in range(1, 7))
+    # names of k letters start at 26 + ... + 26^(k-1); within them each letter is a digit
+    for k in range(6, 0, -1):
+        first -= 26 ** k
+        letters = [F.chr(F.lit(65) + F.pmod(F.floor((n - first) / 26 ** d), F.lit(26))) for d in range(k - 1, -1, -1)]
+        out = F.when(n < first + 26 ** k, F.concat(*letters)).otherwise(out)
+    return F.when(n < 0, F.lit("")).otherwise(out)
 
 
 def cell_address(row: Column, col: Column) -> Column:
@@ -37,25 +44,37 @@ def parse_address(address: Column) -> Column:
 
 def render_number(x: Column) -> Column:
     """Shortest decimal text that reads back as the same double: no exponent, no ``.0``."""
-    s = x.cast("string")
-    # where the JVM gives 17 digits, 16 of them may say the same double
-    short = F.format_string("%.15E", x)
-    s = F.when((F.length(F.regexp_replace(F.substring_index(s, "E", 1), "[^0-9]", "")) >= 17) & (short.try_cast("double") == x), short).otherwise(s)
+    # where the JVM gives 17 or 18 digits, 16 or 17 of them may say the same double
+    digits = lambda s: F.length(F.regexp_replace(F.substring_index(s, "E", 1), "[^0-9]", ""))
+    same = lambda form, v: F.format_string(form, v).try_cast("double") == v
+    shorter = lambda s, v: F.when(digits(s) < 17, s).when(same("%.15E", v), F.format_string("%.15E", v)).when(
+        (digits(s) > 17) & same("%.16E", v), F.format_string("%.16E", v)).otherwise(s)
+    return bound(x, lambda v: (
+        F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf"))
+        .when(v == 0, F.when(v.cast("string").startswith("-"), "-0").otherwise("0"))
+        .otherwise(bound(shorter(v.cast("string"), v), _plain))))
+
+
+def _plain(s: Column) -> Column:
+    """The text of a finite double other than 0 without its exponent."""
     sign = F.when(s.startswith("-"), "-").otherwise("")
-    bare = F.regexp_replace(s, "^-", "")
-    mantissa = F.substring_index(bare, "E", 1)
-    exponent = F.when(F.contains(bare, F.lit("E")), F.substring_index(bare, "E", -1).try_cast("int")).otherwise(0)
-    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
-    digits = F.concat(whole, part)
-    point = F.length(whole) + exponent  # digits before the decimal point
-    n = F.length(digits)
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n - point))))
-    plain = F.regexp_replace(F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0*$", "")).otherwise(plain), r"^0+(?=[0-9])", "")
-    return (F.when(F.isnan(x), "NaN").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf")
-            .when(x == 0, F.concat(sign, F.lit("0"))).otherwise(F.concat(sign, plain)))
+    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), "^-", "")
+    exponent = F.when(F.contains(s, F.lit("E")), F.substring_index(s, "E", -1).try_cast("int")).otherwise(0)
+    parts = F.struct(sign.alias("sign"), F.substring_index(mantissa, ".", 1).alias("whole"),
+                     F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "").alias("part"), exponent.alias("exponent"))
+
+    def placed(t: Column) -> Column:
+        digits, point, n = t["digits"], t["point"], F.length(t["digits"])
+        return (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+                .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+                .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n - point))))
+
+    def trimmed(t: Column) -> Column:
+        return F.regexp_replace(F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0*$", "")).otherwise(t), r"^0+(?=[0-9])", "")
+
+    # point: digits before the decimal point
+    return bound(parts, lambda t: F.concat(t["sign"], bound(
+        bound(F.struct(F.concat(t["whole"], t["part"]).alias("digits"), (F.length(t["whole"]) + t["exponent"]).alias("point")), placed), trimmed)))
 
 
 def trim_unicode(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +88,25 @@ def glob_regex(glob: str) -> tuple[str, bool, bool]:
     return ("^" if anchored else "^(?:.*/)?") + out, negated, only_dirs
 
 
+def check_glob(glob: str) -> None:
+    """Raises ValueError for a glob that can't be read: a bracket that doesn't end, a range that runs backwards, an escape of nothing."""
+    i = 0
+    while i < len(glob):
+        if glob[i] == "\\":
+            if i + 1 == len(glob):
+                raise ValueError(f"dangling escape: {glob}")
+            i += 1
+        elif glob[i] == "[":
+            end = glob.find("]", i + (3 if glob[i + 1: i + 2] in ("!", "^") else 2))
+            if end < 0:
+                raise ValueError(f"unclosed character class: {glob}")
+            for a, b in re.findall(r"(.)-(.)", glob[i + 1: end].lstrip("!^")):
+                if a > b:
+                    raise ValueError(f"invalid range {a}-{b}: {glob}")
+            i = end
+        i += 1
+
+
 @dataclass(frozen=True)
 class PathFilter:
     """Include and ignore patterns of a search; both lists as typed by the user."""
@@ -96,6 +115,17 @@ class PathFilter:
     ignore: str = ""
     extensions: tuple[str, ...] = SPREADSHEET_EXTENSIONS
 
+    def checked(self) -> tuple[PathFilter, list[tuple[str, str]]]:
+        """(the filter without lists that can't be read, which then let everything pass; (field, cause) of each of these)."""
+        good, issues = self, []
+        for field, name in (("file_patterns", "include"), ("ignore_patterns", "ignore")):
+            try:
+                for token in split_list(getattr(self, name)):
+                    check_glob(token)
+            except ValueError as e:
+                good, issues = replace(good, **{name: ""}), [*issues, (field, str(e))]
+        return good, issues
+
     def include_regexes(self) -> list[str]:
         return [glob_regex(t)[0] + "$" for t in complement(split_list(self.include), list(self.extensions))]
 

@@ -1,7 +1,8 @@
 """Context of hits: surrounding cells, header row and key column, preceding headings, Markdown for prompts.
 
 All are joins, windows and aggregates on units. Hits meet only the cells of their own rows and columns: band joins go over
-exploded neighbour keys, header look-ups over aggregates of the sheet, so no sheet is gathered.
+exploded neighbour keys, header look-ups over aggregates of the sheets that have hits, whose values are stored once; no sheet
+is gathered.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import cells
+from textquarry.operators.storage import stored
 
 SHEET = ["full_path", "sheet_name"]
 PREVIEW_ROWS, PREVIEW_COLS = 3, 2
@@ -20,6 +22,11 @@ def values(units: DataFrame) -> DataFrame:
     return units.where(F.col("unit_kind") == "value").select(*SHEET, F.col("row_index").alias("r"), F.col("col_index").alias("c"), F.col("text").alias("v"))
 
 
+def values_of_hit_sheets(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """``values`` of the sheets with hits, stored: the look-ups of a context read them several times."""
+    return stored(values(units).join(hits.select(*SHEET).distinct(), SHEET, "left_semi"), "sheet-values")
+
+
 def grid_preview(hits: DataFrame, units: DataFrame, rows: int = PREVIEW_ROWS, cols: int = PREVIEW_COLS) -> DataFrame:
     """The cells around each hit (id, full_path, sheet_name, row_index, col_index): a window of rows and columns, cut at the
     sheet's edge, with each cell's formula. Equi-joins on the exploded neighbour cells."""
@@ -34,13 +41,19 @@ def grid_preview(hits: DataFrame, units: DataFrame, rows: int = PREVIEW_ROWS, co
 
 
 def header_context(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """Column header and row key of each hit: ``header_rows`` on the sheets with hits."""
+    found = stored(hits.select("id", *SHEET, "row_index", "col_index"), "hits")
+    return header_rows(found, values_of_hit_sheets(found, units))
+
+
+def header_rows(hits: DataFrame, all_values: DataFrame) -> DataFrame:
     """Column header and row key of each hit: id, header_row, key_col, column_header, row_key (rows and columns from 1).
 
     Header: going up from the hit, the first row with a cell in the hit's column and at least two cells in all; else, of the
     rows with a cell in that column, the fullest (nearest on ties); else the sheet's first row. Key: the leftmost cell left of
     the hit in its row; else in the sheet's first row; else the first column.
     """
-    v = values(units).where(cells.trim_unicode(F.col("v")) != "")
+    v = all_values.where(cells.trim_unicode(F.col("v")) != "")
     edge = v.groupBy(*SHEET).agg(F.min("r").alias("first_row"), F.min("c").alias("first_col"), F.max("c").alias("last_col"))
     filled = v.groupBy(*SHEET, "r").agg(F.count(F.lit(1)).alias("n"))
     h = hits.select("id", *SHEET, F.col("row_index").alias("hr"), F.col("col_index").alias("hc")).join(edge, SHEET, "left").select(
@@ -77,8 +90,12 @@ def header_context(hits: DataFrame, units: DataFrame) -> DataFrame:
 def window_columns(hits: DataFrame, keys: DataFrame, units: DataFrame, window: int = WINDOW_DEFAULT) -> DataFrame:
     """Columns to show per sheet: those within ``window`` of a hit inside the used range, and the key column; ``gap_before``
     where columns are left out, ``gap_after`` on the last if used ones follow. ``keys``: full_path, sheet_name, key_col."""
+    return columns_around(hits, keys, values(units), window)
+
+
+def columns_around(hits: DataFrame, keys: DataFrame, all_values: DataFrame, window: int = WINDOW_DEFAULT) -> DataFrame:
     w = max(WINDOW_MIN, min(WINDOW_MAX, window))
-    used = values(units).groupBy(*SHEET).agg(F.min("c").alias("first_col"), F.max("c").alias("last_col"))
+    used = all_values.groupBy(*SHEET).agg(F.min("c").alias("first_col"), F.max("c").alias("last_col"))
     lo, hi = F.greatest(F.col("first_col"), F.col("col_index") - w), F.least(F.col("last_col"), F.col("col_index") + w)
     around = hits.select(*SHEET, "col_index").distinct().join(used, SHEET).where(lo <= hi).select(*SHEET, F.explode(F.sequence(lo, hi)).alias("c"))
     cols = around.unionByName(keys.select(*SHEET, F.col("key_col").alias("c"))).distinct().join(used.select(*SHEET, "last_col"), SHEET)
@@ -114,19 +131,19 @@ def sheet_context(matches: DataFrame, units: DataFrame, table: bool = True, wind
 
     The header row and key column of the table are those of the sheet's first hit.
     """
-    m = matches.select("id", "file_name", *SHEET, "cell_address", "row_index", "col_index", "full_content")
-    ctx = header_context(m, units)
+    m = stored(matches.select("id", "file_name", *SHEET, "cell_address", "row_index", "col_index", "full_content"), "matches")
+    v = values_of_hit_sheets(m, units)
+    ctx = header_rows(m, v)
     lines = m.join(ctx, "id").select(
         *SHEET, "file_name", "id", "header_row", "key_col", F.concat(
             cells.target_line(F.col("sheet_name"), F.col("cell_address"), F.col("column_header"), F.col("row_key")),
             F.lit("\n  - Matched Value: **"), cells.markdown_cell(F.col("full_content")), F.lit("**")).alias("line"))
-    head = lines.groupBy(*SHEET, "file_name").agg(
+    head = stored(lines, "lines").groupBy(*SHEET, "file_name").agg(
         F.min(F.struct("id", "header_row", "key_col")).alias("first"), F.array_sort(F.collect_list(F.struct("id", "line"))).alias("ls"))
     title = F.concat(F.lit("### "), F.col("file_name"), F.lit(" - "), F.col("sheet_name"))
     if not table:
         return head.select(*SHEET, F.concat_ws("\n", title, F.col("ls.line")).alias("section_text"))
-    cols = window_columns(m, head.select(*SHEET, F.col("first.key_col").alias("key_col")), units, window)
-    v = values(units)
+    cols = columns_around(m, head.select(*SHEET, F.col("first.key_col").alias("key_col")), v, window)
     shown = head.select(*SHEET, F.col("first.header_row").alias("r")).withColumn("kind", F.lit(0)).unionByName(
         m.select(*SHEET, F.col("row_index").alias("r")).distinct().withColumn("kind", F.lit(1)))
     hit = m.select(*SHEET, F.col("row_index").alias("r"), F.col("col_index").alias("c")).distinct().withColumn("hit", F.lit(True))
@@ -142,3 +159,41 @@ def sheet_context(matches: DataFrame, units: DataFrame, table: bool = True, wind
     rows = rows.select(*SHEET, "kind", "r", F.when(F.col("kind") == 0, F.concat(row_line, F.lit("\n"), rule)).otherwise(row_line).alias("t"))
     tables = rows.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("kind", "r", "t"))).alias("ts"))
     return head.join(tables, SHEET).select(*SHEET, F.concat_ws("\n", title, F.col("ls.line"), F.lit(""), F.col("ts.t")).alias("section_text"))
+
+
+def sheet_page(units: DataFrame, start_row: int = 1, max_rows: int = 100) -> DataFrame:
+    """A page of each sheet as Markdown lines: full_path, sheet_name, row_number, line; 0 for ``start_row`` or ``max_rows`` is
+    their default. All columns up to the last used one, and blank rows too; page_rows and page_columns say how many there are."""
+    first, n = start_row or 1, max_rows or 100
+    v = values(units)
+    used = v.groupBy(*SHEET).agg(F.max("r").alias("page_rows"), F.max("c").alias("page_columns"))
+    rows = used.where(F.col("page_rows") >= first).withColumn("r", F.explode(F.sequence(F.lit(first).cast("long"), F.least(F.lit(first + n - 1).cast("long"), F.col("page_rows")))))
+    told = v.where(F.col("r").between(first, first + n - 1)).groupBy(*SHEET, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", cells.markdown_preview_cell(F.col("v"))))).alias("m"))
+    line = F.array_join(F.transform(F.sequence(F.lit(1), F.col("page_columns")), lambda c: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, _: k == c)), F.lit(0)), F.lit(""))), " | ")
+    return rows.join(told, [*SHEET, "r"], "left").select(
+        *SHEET, "page_rows", "page_columns", F.col("r").alias("row_number"), F.concat(F.lit("| "), F.col("r"), F.lit(" | "), line, F.lit(" |")).alias("line"))
+
+
+def sheet_preview(units: DataFrame, start_row: int = 1, max_rows: int = 100) -> DataFrame:
+    """``sheet_page`` as one text per sheet (full_path, sheet_name, page), a line on the page and the column names before it.
+
+    A value holds ``max_rows`` lines. A page behind the last row has its head only.
+    """
+    first, n = start_row or 1, max_rows or 100
+    lines = sheet_page(units, first, n).groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row_number", "line"))).alias("ls"))
+    used = values(units).groupBy(*SHEET).agg(F.max("r").alias("rows"), F.max("c").alias("columns"))
+    names = F.array_join(F.transform(F.sequence(F.lit(1), F.col("columns")), lambda c: cells.column_name(c - 1)), " | ")
+    head = F.concat(
+        F.lit("Preview of '"), F.col("sheet_name"), F.lit("' in "), cells.display_path(F.col("full_path")), F.lit(f" (Rows {first}-"), F.least(F.lit(first + n - 1).cast("long"), F.col("rows")),
+        F.lit(" of "), F.col("rows"), F.lit(", "), F.col("columns"), F.lit(" columns):\n\n| Row | "), names, F.lit(" |\n|"), F.repeat(F.lit("---|"), F.col("columns") + 1))
+    return used.join(lines, SHEET, "left").select(*SHEET, F.concat_ws("\n", head, F.col("ls.line")).alias("page"))
+
+
+def word_preview(targets: DataFrame, units: DataFrame) -> DataFrame:
+    """All paragraphs (text boxes too) of each target's document, the target flagged: full_path, file_name, target_paragraph,
+    row_index, text, is_target, total_paragraphs. ``targets``: full_path, row_index."""
+    t = targets.select("full_path", F.col("row_index").alias("target_paragraph")).distinct()
+    paras = units.where(F.col("unit_kind").isin("word", "shape") & (F.col("sheet_name") == "Word"))
+    total = paras.join(t.select("full_path").distinct(), "full_path", "left_semi").groupBy("full_path").agg(F.count(F.lit(1)).alias("total_paragraphs"))
+    return paras.join(t, "full_path").join(total, "full_path").select(
+        "full_path", "file_name", "target_paragraph", "row_index", "text", (F.col("row_index") == F.col("target_paragraph")).alias("is_target"), "total_paragraphs")

@@ -1,4 +1,4 @@
-"""Relational operators on paths: pruning of nested roots, completion, recent entries."""
+"""Relational operators on paths: pruning of nested roots, permitted folders, completion, recent entries."""
 
 from __future__ import annotations
 
@@ -21,6 +21,19 @@ def prune_nested(roots: DataFrame, column: str = "path") -> DataFrame:
     return own.join(nested, column, "left_anti")
 
 
+def permitted(paths: DataFrame, folders: DataFrame, column: str = "path") -> DataFrame:
+    """``paths`` with ``allowed``: whether the path is one of the folders or below one, by component; no folders: all are.
+
+    An equi-join on ancestors, so that any number of folders will do.
+    """
+    own = folders.select(F.regexp_replace(F.col(column), r"(?<=.)/+$", "").alias("folder")).distinct()
+    if not own.limit(1).count():
+        return paths.withColumn("allowed", F.lit(True))
+    steps = paths.select(column).distinct().select(column, F.explode(F.concat(ancestors(F.col(column)), F.array(column))).alias("folder"))
+    inside = steps.join(own, "folder", "left_semi").select(column).distinct().withColumn("allowed", F.lit(True))
+    return paths.join(inside, column, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
 def complete(directories: DataFrame, prefix: str, limit: int = 10, column: str = "path") -> DataFrame:
     """The first ``limit`` directories that start with ``prefix``, in order; the limit is the feature."""
     return directories.where(F.col(column).startswith(prefix)).select(column).distinct().orderBy(column).limit(limit)

@@ -79,7 +79,7 @@ def project(found: DataFrame) -> DataFrame:
     kind_pos = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("unit_kind"))
     return found.select(
         "file_name", "full_path", "sheet_name", address().alias("cell_address"), "row_index", "col_index",
-        F.when(F.col("col_index") > 0, cells.column_name(F.col("col_index") - 1)).otherwise("").alias("col_name"),
+        cells.column_name(F.col("col_index") - 1).alias("col_name"),
         match_type().alias("match_type"), "shape_name", "sheet_hidden",
         matching.snippet(F.col("text"), F.col("hit_pos"), F.col("hit_len")).alias("snippet"), F.col("text").alias("full_content"),
         "formula", "sheets_in_workbook", "sheet_pos", kind_pos.alias("kind_pos"))
@@ -114,3 +114,25 @@ def first_with_total(matches: DataFrame, limit: int) -> tuple[DataFrame, DataFra
     top = matches.orderBy("id").limit(limit)
     total = matches.agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.col("total") > limit)
     return top, total
+
+
+def match_texts(matches: DataFrame) -> DataFrame:
+    """(id, match_text): each match as a block of lines for a reader or a prompt; formula and shape only where there are any."""
+    trim = lambda c: F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", "")
+    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {name}: "), F.col(c), F.lit("\n"))).otherwise("")
+    return matches.select("id", F.concat(
+        F.lit("- File: "), F.col("full_path"), F.lit("\n  Sheet: "), F.col("sheet_name"), F.lit("\n  Cell: "), F.col("cell_address"), F.lit(" (Row "), F.col("row_index"), F.lit(", Col "),
+        F.col("col_index"), F.lit(")\n  Type: "), F.col("match_type"), F.lit("\n"), line("Shape", "shape_name"), F.lit("  Content: "), trim("full_content"), F.lit("\n  Snippet: "), trim("snippet"),
+        F.lit("\n"), line("Formula", "formula")).alias("match_text"))
+
+
+def result_text(matches: DataFrame, query: str, max_results: int = 100) -> DataFrame:
+    """One row (result_text): how many matches there are, and the first ``max_results`` of them; the limit is the feature."""
+    shown = match_texts(matches).orderBy("id").limit(max_results)
+    one = shown.agg(F.array_sort(F.collect_list(F.struct("id", "match_text"))).alias("m"))
+    total = matches.agg(F.count(F.lit(1)).alias("total"))
+    head = F.when(F.col("total") == 0, F.lit(f"No matches found for query: '{query}'.")).when(
+        F.col("total") > max_results, F.concat(F.lit("Found "), F.col("total"), F.lit(f" matches (truncated to maximum {max_results} results):\n\n"))).otherwise(
+        F.concat(F.lit("Found "), F.col("total"), F.lit(" match(es):\n\n")))
+    # one row each
+    return one.join(F.broadcast(total), F.lit(True)).select(F.concat(head, F.array_join("m.match_text", "\n")).alias("result_text"))

@@ -188,6 +188,15 @@ def root_prune(spark, sf):
     return paths.prune_nested(roots)
 
 
+@_query("permitted_paths", rf"""WITH {_URLS}, f AS (SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') AS folder FROM p WHERE page_id % 40 = 0 AND regexp_matches(path, '^[^/]+/[^/]+'))
+SELECT page_id, EXISTS (SELECT 1 FROM f WHERE path = folder OR starts_with(path, folder || '/')) AS allowed FROM p""")
+def permitted_paths(spark, sf):
+    """Which paths lie in permitted folders: the folders of every fortieth page."""
+    p = _table(spark, sf, "pages").select("page_id", _url_path(F.col("url")).alias("path"))
+    folders = p.where("page_id % 40 = 0").select(F.regexp_extract("path", "^[^/]*/[^/]*", 0).alias("path")).where(F.col("path").rlike("^[^/]+/[^/]+"))
+    return paths.permitted(p, folders).select("page_id", "allowed")
+
+
 @_query("path_completion", rf"""WITH {_URLS} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM p WHERE starts_with(regexp_replace(path, '/[^/]*$', ''), 'blog.') ORDER BY 1 LIMIT 10""")
 def path_completion(spark, sf):
     p = _table(spark, sf, "pages").select(F.regexp_replace(_url_path(F.col("url")), "/[^/]*$", "").alias("path"))
@@ -234,11 +243,15 @@ def markdown_cells(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", cells.markdown_cell(F.col("text")).alias("cell"), cells.markdown_preview_cell(F.col("text")).alias("preview"))
 
 
-@_query("natural_order", "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place, o_orderkey FROM orders")
+@_query("natural_order", """WITH n AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey % 5 AS a, o_orderkey * 37 % 1000 AS b FROM orders)
+SELECT row_number() OVER (ORDER BY CASE WHEN k IN (0, 1, 2) THEN 'annee' WHEN k IN (3, 4) THEN 'file' ELSE 'report' END, a, b, o_orderkey) AS place, o_orderkey FROM n""")
 def natural_order(spark, sf):
-    """Names with numbers in them, in the order of the numbers, numbered over the whole table."""
-    name = F.concat("o_orderpriority", F.lit(" Order "), F.col("o_orderkey").cast("string"))
-    return storage.number_rows(_table(spark, sf, "orders").select("o_orderkey", cells.natural_key(name).alias("k")), ["k"], "place").select("place", "o_orderkey")
+    """Names such as Année 3-12 and file 20-007: in the order of the numbers, whatever their zeros, letters' case and accents."""
+    key = F.col("o_orderkey")
+    word = F.get(F.array(*map(F.lit, ("Année", "annee", "ANNÉE", "file", "FILE", "report", "Report"))), (key % 7).cast("int"))
+    number = (key * 37 % 1000).cast("string")
+    name = F.concat(word, F.lit(" "), (key % 5).cast("string"), F.lit("-"), F.when(key % 3 == 0, F.lpad(number, 6, "0")).otherwise(number))
+    return storage.number_rows(_table(spark, sf, "orders").select("o_orderkey", cells.natural_key(name).alias("k")), ["k", "o_orderkey"], "place").select("place", "o_orderkey")
 
 
 @_query("kind_labels", """SELECT event_id, CASE lang WHEN 'ja' THEN CASE kind WHEN 'Formula' THEN '数式' WHEN 'Shape' THEN '図形' ELSE kind END
@@ -254,21 +267,27 @@ def kind_labels(spark, sf):
 # ---------------------------------------------------------------- context
 
 
-@_query("heading_before", rf"""WITH {_PARAS}, t AS (SELECT *, regexp_extract(text, '^(\S+)', 1) AS w FROM u), h AS (
+_HEADINGS = _PARAS + r""", t AS (SELECT *, regexp_extract(text, '^(\S+)', 1) AS w FROM u), hd AS (
   SELECT *, starts_with(text, '#') OR (octet_length(encode(text)) <= 80 AND right(text, 1) NOT IN ('.', '。')
-    AND (right(w, 1) = '.' OR starts_with(text, '第') OR starts_with(text, 'Chapter') OR starts_with(text, 'Section'))) AS is_h FROM t)
-SELECT full_path, row_index, coalesce(last_value(CASE WHEN is_h THEN text END IGNORE NULLS) OVER (PARTITION BY full_path ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Document Section') AS section FROM h""")
+    AND (right(w, 1) = '.' OR starts_with(text, '第') OR starts_with(text, 'Chapter') OR starts_with(text, 'Section'))) AS is_h FROM t), sec AS (
+  SELECT *, coalesce(last_value(CASE WHEN is_h THEN text END IGNORE NULLS) OVER (PARTITION BY full_path ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Document Section') AS section FROM hd)"""
+
+
+@_query("heading_before", f"WITH {_HEADINGS} SELECT full_path, row_index, section FROM sec")
 def heading_before(spark, sf):
     return context.headings_before(document_units(spark, sf)).select("full_path", "row_index", "section")
 
 
 @_query("grid_preview", f"""WITH {_PARTS}, h AS (SELECT r, c FROM cell WHERE contains(lower(v), 'ring'))
-SELECT h.r AS row_index, h.c AS col_index, cell.r, cell.c, cell.v AS text, cell.r = h.r AND cell.c = h.c AS is_target
+SELECT h.r AS row_index, h.c AS col_index, cell.r, cell.c, cell.v AS text, CASE WHEN cell.c = 5 AND cell.r > 1 AND cell.r % 4 = 0 THEN 'D' || cell.r || '*2' END AS cell_formula, cell.r = h.r AND cell.c = h.c AS is_target
 FROM h JOIN cell ON cell.r BETWEEN h.r - 3 AND h.r + 3 AND cell.c BETWEEN h.c - 2 AND h.c + 2""")
 def grid_preview(spark, sf):
+    """The cells around each hit, with the formulas that some prices have."""
     u = part_units(spark, sf)
+    priced = F.when((F.col("p_partkey") + 2) % 4 == 0, F.concat(F.lit("D"), F.col("p_partkey") + 2, F.lit("*2")))
+    formulas = units.sheet_units(_table(spark, sf, "part"), "p_partkey", "part", {"p_retailprice": priced}, header=False).withColumn("unit_kind", F.lit("formula")).withColumn("col_index", F.lit(5))
     found = search.hits(u, SearchRequest("ring")).select(F.struct("row_index", "col_index").alias("id"), "full_path", "sheet_name", "row_index", "col_index")
-    return context.grid_preview(found, u).select("id.row_index", "id.col_index", "r", "c", "text", "is_target")
+    return context.grid_preview(found, u.unionByName(formulas)).select("id.row_index", "id.col_index", "r", "c", "text", "cell_formula", "is_target")
 
 
 @_query("header_context", f"""WITH {_PARTS}, n AS (SELECT r, count(*) AS n FROM cell GROUP BY r), w AS (
@@ -294,30 +313,56 @@ def window_columns(spark, sf):
     return context.window_columns(found, keys, u, window=1).select("c", "gap_before", "gap_after")
 
 
-@_query("word_sections", f"""WITH {_PARAS}, h AS (SELECT *, substr(text, instr(lower(text), 'thatin'), 6) AS hit FROM u WHERE contains(lower(text), 'thatin'))
-SELECT full_path, '### ' || any_value(file_name) || chr(10) || chr(10) || string_agg('- Location: Paragraph ' || row_index || chr(10) || chr(10) || '> ' || replace(text, hit, '**' || hit || '**'), chr(10) || chr(10) ORDER BY row_index) AS section_text
+@_query("word_sections", f"""WITH {_HEADINGS}, h AS (SELECT *, substr(text, instr(lower(text), 'thatin'), 6) AS hit FROM sec WHERE contains(lower(text), 'thatin'))
+SELECT full_path, '### ' || any_value(file_name) || chr(10) || chr(10) || string_agg('- Location: Paragraph ' || row_index || chr(10) || '- Section: ' || section || chr(10) || chr(10) || '### ' || section || chr(10) || '> '
+  || replace(text, hit, '**' || hit || '**'), chr(10) || chr(10) ORDER BY row_index) AS section_text
 FROM h GROUP BY full_path""")
 def word_sections(spark, sf):
+    """Markdown of each document with hits, every hit under the heading before it."""
+    u = document_units(spark, sf)
+    return context.word_context(search.project(search.hits(u, SearchRequest("thatin"))), u)
+
+
+@_query("word_preview", f"""WITH {_PARAS}, h AS (SELECT full_path, min(row_index) AS target_paragraph FROM u WHERE contains(lower(text), 'thanedble') GROUP BY 1)
+SELECT full_path, file_name, target_paragraph, row_index, text, row_index = target_paragraph AS is_target, count(*) OVER (PARTITION BY full_path) AS total_paragraphs FROM u JOIN h USING (full_path)""")
+def word_preview(spark, sf):
+    """The whole document around the first hit in it, that paragraph flagged."""
     u = document_units(spark, sf)
-    found = search.project(search.hits(u, SearchRequest("thatin")))
-    return context.word_context(found, u, headings=False)
+    first = search.hits(u, SearchRequest("thanedble")).groupBy("full_path").agg(F.min("row_index").alias("row_index"))
+    return context.word_preview(first, u)
 
 
-@_query("sheet_sections")
+@_query("sheet_sections", f"""WITH {_PARTS}, n AS (SELECT r, count(*) AS n FROM cell GROUP BY r), w AS (
+  SELECT r, c, v, max(CASE WHEN n >= 2 THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hr FROM cell JOIN n USING (r)
+), h AS (SELECT r, v, hr FROM w WHERE contains(lower(v), 'red widget')), t AS (
+  SELECT string_agg('- Target Cell: [part] A' || h.r || ' (Column: ' || x.v || ', Row: ' || h.v || ')' || chr(10) || '  - Matched Value: **' || h.v || '**', chr(10) ORDER BY h.r) AS lines, arg_min(h.hr, h.r) AS top
+  FROM h JOIN cell x ON x.r = h.hr AND x.c = 1
+), b AS (SELECT string_agg('| **' || h.v || '** | ' || coalesce(y.v, '') || ' | ... |', chr(10) ORDER BY h.r) AS body FROM h LEFT JOIN cell y ON y.r = h.r AND y.c = 2)
+SELECT 'part' AS sheet_name, '### part.xlsx - part' || chr(10) || lines || chr(10) || chr(10) || '| ' || coalesce((SELECT v FROM cell WHERE r = top AND c = 1), 'Column A') || ' | ' || coalesce((SELECT v FROM cell WHERE r = top AND c = 2), 'Column B')
+  || ' | ... |' || chr(10) || '| --- | --- | --- |' || chr(10) || body AS section_text FROM t, b""")
 def sheet_sections(spark, sf):
-    """Markdown of a sheet with hits, its table in a window of columns; the pieces have SQL of their own above."""
+    """Markdown of a sheet with hits, its table in a window of one column beside them."""
     u = part_units(spark, sf)
-    return context.sheet_context(search.search(u, SearchRequest("red widget")), u)
+    return context.sheet_context(search.search(u, SearchRequest("red widget")), u, window=1).select("sheet_name", "section_text")
+
 
+_LINES = """lines AS (SELECT g.r, '| ' || g.r || ' | ' || string_agg(replace(coalesce(cell.v, ''), '|', '\\|'), ' | ' ORDER BY g.c) || ' |' AS line
+  FROM (SELECT r, c FROM range(1, (SELECT max(r) + 1 FROM cell)) t(r), range(1, 6) s(c)) g LEFT JOIN cell USING (r, c) GROUP BY g.r)"""
 
-@_query("sheet_page", f"""WITH {_PARTS} SELECT r AS row_number, '| ' || string_agg(replace(coalesce(cell.v, ''), '|', '\\|'), ' | ' ORDER BY g.c) || ' |' AS line
-FROM (SELECT r, c FROM range(1, 101) t(r), range(1, 6) s(c)) g LEFT JOIN cell USING (r, c) WHERE r IN (SELECT r FROM cell) GROUP BY r""")
+
+@_query("sheet_page", f"WITH {_PARTS}, {_LINES} SELECT r AS row_number, line, (SELECT max(r) FROM cell) AS page_rows, 5 AS page_columns FROM lines WHERE r <= 100")
 def sheet_page(spark, sf):
-    """The first page of a sheet (100 rows: the pager's default) as Markdown lines with all columns."""
-    v = context.values(part_units(spark, sf)).where(F.col("r").between(1, 100))
-    row = F.map_from_entries(F.collect_list(F.struct("c", cells.markdown_preview_cell(F.col("v")))))
-    return v.groupBy("r").agg(row.alias("m")).select(F.col("r").alias("row_number"), F.concat(F.lit("| "), F.array_join(F.transform(
-        F.sequence(F.lit(1), F.lit(5)), lambda c: F.coalesce(F.col("m")[c], F.lit(""))), " | "), F.lit(" |")).alias("line"))
+    """The first page of a sheet (100 rows: the pager's default) as Markdown lines."""
+    return context.sheet_page(part_units(spark, sf)).select("row_number", "line", "page_rows", "page_columns")
+
+
+@_query("sheet_preview", f"""WITH {_PARTS}, {_LINES} SELECT 'part' AS sheet_name, 'Preview of ''part'' in tables/part.xlsx (Rows 51-' || least(120, (SELECT max(r) FROM cell)) || ' of ' || (SELECT max(r) FROM cell) || ', 5 columns):'
+  || chr(10) || chr(10) || '| Row | A | B | C | D | E |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY r) FROM lines WHERE r BETWEEN 51 AND 120) AS page
+UNION ALL SELECT 'nation', 'Preview of ''nation'' in tables/nation.xlsx (Rows 51-' || (max(n_nationkey) + 2) || ' of ' || (max(n_nationkey) + 2) || ', 1 columns):' || chr(10) || chr(10) || '| Row | A |' || chr(10) || '|---|---|' FROM nation""")
+def sheet_preview(spark, sf):
+    """Rows 51 to 120 of two sheets as one text each; the shorter one ends before them."""
+    short = units.sheet_units(_table(spark, sf, "nation"), "n_nationkey", "nation", {"n_name": F.col("n_name")})
+    return context.sheet_preview(part_units(spark, sf).unionByName(short), 51, 70).select("sheet_name", "page")
 
 
 @_query("sheet_list", """SELECT 0 AS sheet_pos, 'nation' AS sheet_name, count(*) * 2 + 2 AS n_cells FROM nation UNION ALL SELECT 1, 'region', count(*) + 1 FROM region""")
@@ -344,6 +389,15 @@ def first_with_total(spark, sf):
     return top.join(F.broadcast(total), F.lit(True)).select("id", "full_path", "row_index", "total", "truncated")
 
 
+@_query("result_text", f"""WITH {_PARAS}, h AS (SELECT *, instr(lower(text), 'thatin') AS p, row_number() OVER (ORDER BY full_path, row_index) AS id, count(*) OVER () AS total FROM u WHERE contains(lower(text), 'thatin')), i AS (
+  SELECT id, total, '- File: ' || full_path || chr(10) || '  Sheet: Word' || chr(10) || '  Cell: - (Row ' || row_index || ', Col 0)' || chr(10) || '  Type: WordText' || chr(10) || '  Content: ' || text
+    || chr(10) || '  Snippet: ' || regexp_replace({_snippet('text', 'p', '6')}, '^\\s+|\\s+$', '', 'g') || chr(10) AS t FROM h WHERE id <= 40)
+SELECT CASE WHEN any_value(total) > 40 THEN 'Found ' || any_value(total) || ' matches (truncated to maximum 40 results):' ELSE 'Found ' || any_value(total) || ' match(es):' END || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY id) AS result_text FROM i""")
+def result_text(spark, sf):
+    """The first 40 matches as one text, with a line that says how many there are (the limit is the feature)."""
+    return search.result_text(search.search(document_units(spark, sf), SearchRequest("thatin")), "thatin", 40)
+
+
 @_query("report_counts", f"""WITH {_PARAS} SELECT (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE n_chars >= 200 OR n_chars IS NULL) AS readable, (SELECT count(*) FROM documents WHERE n_chars < 200) AS failed,
 (SELECT count(*) FROM u WHERE contains(lower(text), 'tion')) AS matches, 1 AS status""")
 def report_counts(spark, sf):
@@ -370,18 +424,24 @@ def json_records(spark, sf):
     return export.json_records(search.search(document_units(spark, sf), SearchRequest("thanedble")))
 
 
-@_query("benchmark_phrases", """WITH b AS (SELECT item_id, regexp_extract(lower(text), '[a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+') AS phrase FROM benchmark)
-SELECT item_id, doc_id, instr(lower(text), phrase) AS hit_pos FROM documents JOIN b ON contains(lower(text), phrase) WHERE phrase <> ''""")
+@_query("benchmark_phrases", r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM benchmark), k AS (
+  SELECT DISTINCT item_id, array_to_string(w[i: i + 3], ' ') AS phrase FROM b, range(1, 100000) t(i) WHERE i <= len(w) - 3
+), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM documents), g AS (
+  SELECT doc_id, i, array_to_string(w[i: i + 3], ' ') AS phrase FROM d, range(1, 100000) t(i) WHERE i <= len(w) - 3)
+SELECT item_id, doc_id, count(DISTINCT phrase) AS phrases, min(i) AS first_word FROM g JOIN k USING (phrase) GROUP BY 1, 2""")
 def benchmark_phrases(spark, sf):
-    """Many keywords at once: candidate positions come from an equi-join on words, not from pairing keywords and texts."""
-    phrase = F.regexp_extract(F.lower("text"), "[a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+ [a-zà-ÿ]+", 0)
-    keys = _table(spark, sf, "benchmark").select("item_id", phrase.alias("phrase")).where("phrase <> ''").withColumn("inner_words", F.substring_index(F.substring_index("phrase", " ", -3), " ", 2))
-    docs = _table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
-    words = F.split("low", "[^a-zà-ÿ]+")
-    # the phrase's second and third word stand whole in the text, one behind the other
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - 1)), lambda k: F.concat_ws(" ", F.get("ws", k - 1), F.get("ws", k))))
-    found = docs.withColumn("ws", words).select("doc_id", "low", F.explode(pairs).alias("inner_words")).join(keys, "inner_words").where(F.contains("low", "phrase"))
-    return found.select("item_id", "doc_id", F.expr("locate(phrase, low)").cast("long").alias("hit_pos"))
+    """Many keywords at once: every run of four words of every benchmark item, looked up in all texts by one equi-join on hashes.
+
+    The keywords are distinct first, so a phrase of many items meets a text's run once, and its items are added at the end.
+    """
+    def runs(df, key):
+        w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)).alias("w")).where(F.size("w") > 3)
+        at = w.select(key, "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1), F.get("w", k + 2), F.get("w", k + 3)))).alias("at", "run"))
+        return at.select(key, (F.col("at") + 1).cast("long").alias("first_word"), "run")
+
+    keys = runs(_table(spark, sf, "benchmark"), "item_id").select("item_id", "run").distinct()
+    found = runs(_table(spark, sf, "documents"), "doc_id").join(keys.select("run").distinct(), "run").groupBy("doc_id", "run").agg(F.min("first_word").alias("first_word"))
+    return found.join(keys, "run").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("phrases"), F.min("first_word").alias("first_word"))
 
 
 @_query("turns_in_order", """SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE contains(lower(coalesce(text, '')), 'th')""")
