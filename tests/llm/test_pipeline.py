@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from textquarry.llm import common
 from textquarry.llm.quality import THRESHOLD, op5_quality_classifier
 
 from test_decontaminate import brute as overlaps
@@ -75,3 +76,49 @@ def test_written_ids_are_the_mixes(stages):
 def test_runs_again_alike(spark, small):
     rows = lambda: sorted(map(tuple, cp.run(spark, small).collect()))
     assert rows() == rows()
+
+
+def tables_left(spark):
+    import pathlib
+
+    return {p.name.rpartition("-")[0] for p in pathlib.Path(common.stored_dir(spark).removeprefix("file://")).glob("*")}
+
+
+def test_stages_leave_nothing_behind(spark, small):
+    common.clear_stored(spark)
+    out = cp.run(spark, small)
+    assert tables_left(spark) == {"mixing", "tokens"}  # the last stage's input and files
+    assert out.count() > 0
+    common.clear_stored(spark)
+    assert tables_left(spark) == set()
+
+
+def odd_docs(docs_of):
+    good = "the quick report explains how the harbour was built and what it cost the town over ten years "
+    rows = [(k, f"{good} number {k} tells more of it, with {k * 7} ships and {k * 3} sailors who came home", ("a", "b", None)[k % 3]) for k in range(40)]
+    rows += [(50, None, "a"), (51, "", "a"), (52, rows[0][1], "b"), (None, rows[1][1], "a"), (None, "a text without an id of its own stays here as it is", "c"),
+             (53, "twice the same row in the table of all documents", "a"), (53, "twice the same row in the table of all documents", "a"), (54, "long words " * 100_000, "b"),
+             (55, "taken from " + " ".join(f"item{k}" for k in range(20)), "a")]
+    return docs_of(rows)
+
+
+def test_odd_rows_and_clashing_columns_in_every_stage(spark, docs_of, empty_docs, tmp_path):
+    docs = odd_docs(docs_of)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(20))), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(cp.STAGES)
+    count = docs.count()
+    for name, _ in cp.STAGES[:-1]:
+        got = stages[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert {r["part"] for r in rows} == {"clash part"}
+        none = stages[name](spark, empty_docs, str(tmp_path))
+        assert none.columns == docs.columns and none.collect() == []
+        ids = [r["doc_id"] for r in rows]
+        if name == "jaccard_join":
+            assert 52 not in ids and ids.count(None) == 1 and ids.count(53) == 1 and {50, 51, 54} <= set(ids)
+        if name == "decontamination":
+            assert len(rows) == count - 1 and 55 not in ids
+    last = stages["token_output"](spark, docs, str(tmp_path))
+    assert last.count() == count and stages["token_output"](spark, empty_docs, str(tmp_path)).collect() == []

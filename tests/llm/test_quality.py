@@ -53,7 +53,7 @@ def test_ftrl_as_written_out():
             g = g0 * v
             z[k] += g - (np.sqrt(s[k] + g * g) - np.sqrt(s[k])) / 0.3 * w[k]
             s[k] += g * g
-    got = train_ftrl(pa.array(texts), np.array(y), p)
+    got = train_ftrl([(pa.array(texts[:1]), np.array(y[:1])), (pa.array(texts[1:]), np.array(y[1:]))], p)
     assert np.allclose(got, [weight(k) for k in range(1025)])
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
-import weakref
 import zipfile
 
 import numpy as np
@@ -13,62 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.operators.storage import clear_stored, discard, scratch, shared_dir, stored_dir  # noqa: F401
+from textquarry.operators.storage import stored as materialize  # noqa: F401
+
 U64 = np.uint64
 
 
 # ---------------------------------------------------------------- session
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session on one machine can do without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.gettempdir()}/textquarry-shared"
-    return path.rstrip("/")
-
-
-_STORED: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
-
-
-def stored_dir(spark: SparkSession) -> str:
-    """The folder of what this application stores."""
-    return f"{shared_dir(spark)}/textquarry-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files every executor can read.
-
-    ``discard`` removes one such table, ``clear_stored`` all of the application.
-    """
-    spark = df.sparkSession
-    path = f"{stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _STORED[out] = path
-    return out
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Remove tables that ``materialize`` returned, once nothing is read from them any more."""
-    for df in frames:
-        path = _STORED.pop(df, None)
-        if path:
-            _remove(df.sparkSession, path)
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Remove everything that this application has stored; results that are still to be computed can't be any more."""
-    _remove(spark, stored_dir(spark))
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started from."""
     sc = spark.sparkContext

@@ -72,8 +72,8 @@ def text_features(buf: np.ndarray, off: np.ndarray, n_features: int) -> tuple[np
     return ids, out_off, n
 
 
-def train_ftrl(texts: pa.Array, labels: np.ndarray, p: dict) -> np.ndarray:
-    """Weights, the bias last; per-coordinate FTRL-proximal, one example after another in the given order."""
+def train_ftrl(parts: list[tuple[pa.Array, np.ndarray]], p: dict) -> np.ndarray:
+    """Weights, the bias last; per-coordinate FTRL-proximal, one example after another in the order of ``parts`` (texts, labels)."""
     size = p["n_features"] + 1
     z, s = np.zeros(size), np.zeros(size)
 
@@ -81,9 +81,9 @@ def train_ftrl(texts: pa.Array, labels: np.ndarray, p: dict) -> np.ndarray:
         zi = z[idx]
         return np.where(np.abs(zi) <= p["l1"], 0.0, -(zi - np.sign(zi) * p["l1"]) / ((p["beta"] + np.sqrt(s[idx])) / p["alpha"] + p["l2"]))
 
-    buf, off = string_buffers(texts)
+    blocks = [(buf, off, labels, i, j) for (buf, off), labels in ((string_buffers(t), y) for t, y in parts) for i, j in runs_of_docs(off, p["block_bytes"])]
     for _ in range(p["epochs"]):
-        for i, j in runs_of_docs(off, p["block_bytes"]):
+        for buf, off, labels, i, j in blocks:
             ids, o, n = text_features(buf[off[i]: off[j]], off[i: j + 1] - off[i], p["n_features"])
             for d in range(j - i):
                 idx, cnt = np.unique(ids[o[d]: o[d + 1]], return_counts=True)
@@ -124,13 +124,12 @@ def fit(labelled: DataFrame, **params) -> bytes:
     def learn(batches):
         got = [b for b in batches if b.num_rows]
         if got:
-            t = pa.Table.from_batches(got).sort_by([("k", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-            w = train_ftrl(t["text"], t["label"].to_numpy(), p)
+            w = train_ftrl([(b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("label")).to_numpy()) for b in got], p)
             hot = np.flatnonzero(w)
             yield pa.RecordBatch.from_pydict({"idx": [hot.astype("<i4").tobytes()], "w": [w[hot].astype("<f8").tobytes()]})
 
-    # the shuffle moves the sample only; the scan before it keeps its tasks
-    found = sample.repartition(1).mapInArrow(tidy(learn), "idx binary, w binary").collect()
+    # the shuffle moves the sample only
+    found = sample.repartition(1).sortWithinPartitions("k", "doc_id", "text").mapInArrow(tidy(learn), "idx binary, w binary").collect()
     out = np.zeros(p["n_features"] + 1)
     for r in found:
         out[np.frombuffer(r["idx"], "<i4")] = np.frombuffer(r["w"], "<f8")
