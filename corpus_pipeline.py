@@ -6,7 +6,17 @@
 4. mixing sources to target weights: each document is taken as often as the balanced sample says (none, once, twice);
 5. token-ID output: the mix is written as entropy-coded token ids and read back, one row per taken document.
 
-Each stage's result is written as Parquet to the shared folder and read again, so a lost executor costs a stage at most.
+Each stage's result is written as Parquet to the shared folder and read again, so a lost executor costs a stage at most. What
+a stage stores on its way, and the result of the one before it, go when its own is there.
+
+Defined cases of every stage
+    Null, empty and very long texts, repeated rows, null or shared doc_ids and empty tables are what the stage's operator says:
+    1. an empty text gets the score of the bias; rows with the same text stay or go together;
+    2. one row of each group of near copies stays, also of equal rows and of rows without doc_id; rows without words all stay;
+    3. rows that share a doc_id (null, too) with one that overlaps an item go with it;
+    4. rows that share a doc_id and source are taken equally often;
+    5. repeated rows follow one another; rows without doc_id come first.
+    All but the last return the columns of the documents, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialize, ship_package, table
+from textquarry.llm.common import discard, materialize, scratch, ship_package, table
 from textquarry.llm.decontaminate import decontaminate
 from textquarry.llm.jaccard_join import drop_near_duplicates
 from textquarry.llm.mixing import mix
@@ -63,5 +73,8 @@ ORACLE_SQL = None  # a trained classifier, balanced sampling and a tokenizer hav
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
