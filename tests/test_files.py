@@ -1,4 +1,5 @@
 import csv
+import io
 import json
 import os
 import zipfile
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.patterns import ALL_EXTENSIONS, PathFilter
 from textquarry.operators import context, units
+from textquarry.operators import search as search_ops
 from textquarry.operators.search import SearchRequest, search
 from textquarry.sinks import export
-from textquarry.sources.office import parse, units_and_issues
+from textquarry.sources.office import checked_roots, parse, units_and_issues
 from textquarry.streaming.incremental import arriving_units, search_stream, write_matches
 
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -64,7 +66,7 @@ def test_files_become_units_and_issues(spark, folder):
         ("book.XLSX", "Data", "value", 2, 1, "inline & more"), ("book.XLSX", "Data", "value", 2, 2, "needle!"), ("book.XLSX", "Data", "formula", 2, 2, 'CONCAT("need","le")'),
         ("book.XLSX", "Data", "value", 2, 3, "true"), ("book.XLSX", "Data", "comment", 2, 1, "a needle note"),
         ("book.XLSX", "Data", "shape", 2, 3, "shape needle\ntwo"), ("book.XLSX", "Data", "shape", 0, 0, "free needle"), ("book.XLSX", "Old", "value", 10, 27, "hidden needle"),
-        ("text.docx", "Word", "word", 1, 0, "revenue grew"), ("text.docx", "Word", "word", 2, 0, " second needle "), ("text.docx", "Word", "shape", 3, 0, "boxed needle"),
+        ("text.docx", "Word", "word", 1, 0, "revenue grew"), ("text.docx", "Word", "shape", 2, 0, "boxed needle"),
         ("text.docx", "Word", "comment", 1, 0, "the budget needle"), ("text.docx", "Word", "word", 1, 0, "header needle")}
     told = {r["full_path"].rpartition("/")[2]: r["cause"] for r in issues.collect()}
     assert set(told) == {"broken.xlsx", "locked.docx"} and "encrypted" in told["locked.docx"]
@@ -159,18 +161,20 @@ def grid(spark, cells):
 
 
 def test_header_and_key_of_a_titled_grid(spark):
-    u = grid(spark, [(1, 1, "A title"), (2, 1, "ID"), (2, 2, "Name"), (2, 3, "Status"), (2, 4, "Amount"), (3, 1, "101"), (3, 2, "Alpha Project"), (3, 3, "Open"), (3, 4, "150000")])
-    got = context.header_context(search(u, SearchRequest("150000")), u).collect()
-    assert [tuple(r)[1:] for r in got] == [(2, 1, "Amount", "101")]
-    got = context.header_context(search(u, SearchRequest("A title")), u).collect()
-    assert [tuple(r)[1:] for r in got] == [(1, 1, "A title", "A title")]
+    u = grid(spark, [(1, 2, "Harbour log"), (3, 1, "Berth"), (3, 2, "Ship"), (3, 3, "Cargo"), (4, 1, "north 2"), (4, 2, "Aurora"), (4, 3, "timber"), (5, 3, "salt"), (6, 2, "Brise")])
+    told = lambda word: [tuple(r)[1:] for r in context.header_context(search(u, SearchRequest(word)), u).collect()]
+    assert told("timber") == [(3, 1, "Cargo", "north 2")]
+    assert told("salt") == [(4, 2, "timber", "Row 5")]  # nothing left of it in its row: the key column is that of the first row
+    assert told("Brise") == [(4, 1, "Aurora", "Row 6")]
+    assert told("Harbour") == [(1, 1, "Harbour log", "Row 1")]
 
 
 def test_markdown_of_a_grid(spark, tmp_path):
-    u = grid(spark, [(1, 1, "Task"), (1, 2, "Cost"), (2, 1, "Design"), (2, 2, "5000")])
-    sections = context.sheet_context(search(u, SearchRequest("5000")), u)
+    u = grid(spark, [(1, 1, "Well"), (1, 2, "Depth"), (2, 1, "Mill lane"), (2, 2, "17 | 18"), (3, 1, "Old square"), (3, 2, "9")])
+    sections = context.sheet_context(search(u, SearchRequest("17")), u)
     text = sections.collect()[0]["section_text"]
-    assert "- Target Cell: [Sheet1] B2 (Column: Cost, Row: Design)" in text and "| Task | Cost |" in text and "| Design | **5000** |" in text
+    assert text == ("### g.xlsx - Sheet1\n- Target Cell: [Sheet1] B2 (Column: Depth, Row: Mill lane)\n  - Matched Value: **17 \\| 18**\n\n"
+                    "| Well | Depth |\n| --- | --- |\n| Mill lane | **17 \\| 18** |")
     export.write_markdown(sections, str(tmp_path / "s.md"))
     assert (tmp_path / "s.md").read_text() == text + "\n"
     export.write_markdown(sections.where("false"), str(tmp_path / "none.md"))
@@ -178,9 +182,92 @@ def test_markdown_of_a_grid(spark, tmp_path):
 
 
 def test_wide_grid_shows_a_window(spark):
-    u = grid(spark, [(1, c + 1, f"Col{c}") for c in range(21)] + [(2, c + 1, str(c * 10)) for c in range(21)])
-    text = context.sheet_context(search(u, SearchRequest("150")), u, window=3).collect()[0]["section_text"]
-    assert "Col0" in text and "..." in text and "**150**" in text and "Col5" not in text and "Col12" in text and "Col18" in text
+    u = grid(spark, [(1, c, f"day {c}") for c in range(1, 31)] + [(2, c, f"t{c:02d}") for c in range(1, 31)])
+    lines = context.sheet_context(search(u, SearchRequest("t17")), u, window=2).collect()[0]["section_text"].splitlines()
+    assert lines[-3:] == ["| day 1 | ... | day 15 | day 16 | day 17 | day 18 | day 19 | ... |", "| " + " | ".join(["---"] * 8) + " |",
+                          "| t01 | ... | t15 | t16 | **t17** | t18 | t19 | ... |"]
+
+
+def test_pages_of_a_sheet(spark):
+    u = grid(spark, [(2, 2, "a|b"), (4, 3, "x\ny"), (5, 1, "end")])
+    page = lambda *a: [(r["row_number"], r["line"]) for r in context.sheet_page(u, *a).orderBy("row_number").collect()]
+    assert page() == page(0, 0) == [(1, "| 1 |  |  |  |"), (2, "| 2 |  | a\\|b |  |"), (3, "| 3 |  |  |  |"), (4, "| 4 |  |  | x y |"), (5, "| 5 | end |  |  |")]
+    assert page(4, 1) == [(4, "| 4 |  |  | x y |")] and page(6, 5) == []
+    text = context.sheet_preview(u, 4, 9).collect()[0]["page"]
+    assert text == "Preview of 'Sheet1' in /g.xlsx (Rows 4-5 of 5, 3 columns):\n\n| Row | A | B | C |\n|---|---|---|---|\n| 4 |  |  | x y |\n| 5 | end |  |  |"
+
+
+def test_result_texts(spark):
+    m = matches(spark)
+    text = search_ops.result_text(m, "line").collect()[0]["result_text"]
+    assert text.startswith("Found 2 match(es):\n\n- File: /f/a.xlsx\n  Sheet: S\n  Cell: B2 (Row 2, Col 2)\n  Type: CellValue\n  Content: Line 1\nLine 2\r\nLine 3\n  Snippet: ")
+    assert "  Formula: A\n1\n" in text
+    assert search_ops.result_text(m, "line", 1).collect()[0]["result_text"].startswith("Found 2 matches (truncated to maximum 1 results):\n\n- File: /f/a.xlsx")
+    assert search_ops.result_text(m.where("id < 0"), "line").collect()[0]["result_text"] == "No matches found for query: 'line'."
+
+
+def test_several_roots_files_and_issues(spark, folder, tmp_path_factory):
+    other = tmp_path_factory.mktemp("other")
+    document(other / "one.docx")
+    workbook(other / "two.xlsx")
+    roots = [folder, f"{folder}/sub", f"{folder}/", f"file:{folder}", str(other / "one.docx"), str(other / "gone"), f"{folder}/sub/text.docx"]
+    good, bad = checked_roots(spark, roots)
+    assert good == [folder, str(other / "one.docx")] and [r for r, _ in bad] == [str(other / "gone")]
+    u, issues = units_and_issues(spark, roots, PathFilter(include="*.docx", ignore="[unclosed", extensions=ALL_EXTENSIONS))
+    assert sorted({r["full_path"] for r in u.select("full_path").collect()}) == sorted([f"{folder}/sub/text.docx", str(other / "one.docx")])
+    assert u.where("text = 'header needle'").count() == 2
+    told = {(r["full_path"].rpartition("/")[2], r["stage"]) for r in issues.collect()}
+    assert told == {("gone", "root"), ("ignore_patterns", "ignore_patterns"), ("locked.docx", "workbook")}
+    u, issues = units_and_issues(spark, [str(other / "gone")], PathFilter())
+    assert u.collect() == [] and issues.count() == 1
+
+
+def test_patterns_that_cant_be_read_let_everything_pass():
+    for bad in ('"open quote', "a[b", "[z-a]x", "dangling\\"):
+        good, issues = PathFilter(include=bad, ignore="ok*").checked()
+        assert good.include == "" and good.ignore == "ok*" and [f for f, _ in issues] == ["file_patterns"], bad
+    assert PathFilter(include="[a-z]*, [!x]?, []a].docx").checked()[1] == []
+
+
+def package(parts):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return raw.getvalue()
+
+
+def test_readings_and_large_integers(tmp_path):
+    book = package({
+        "xl/workbook.xml": f'<workbook xmlns:r="{OFFICE}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(("r1", "worksheet", "worksheets/sheet1.xml")),
+        "xl/sharedStrings.xml": '<sst><si><t>大阪</t><rPh sb="0" eb="2"><t>オオサカ</t></rPh></si></sst>',
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="3"><c t="s"><v>0</v></c><c><v>12345678901234567890</v></c><c r="F3"><v>1e21</v></c><c><v>250</v></c></row>'
+        '<row><c t="inlineStr"><is><r><t>京</t></r><rPh><t>キョウ</t></rPh><r><t>都</t></r></is></c><c><v>-0.5</v></c></row></sheetData></worksheet>'})
+    got = [(r["row_index"], r["col_index"], r["text"]) for r in parse("/b.xlsx", book)]
+    assert got == [(3, 1, "大阪"), (3, 2, "12345678901234567000"), (3, 6, "1000000000000000000000"), (3, 7, "250"), (4, 1, "京都"), (4, 2, "-0.5")]
+
+
+def test_text_boxes_end_first():
+    doc = package({"word/document.xml": "<document><p><r><t>lost before</t></r><drawing><txbxContent><p><r><t>box one</t></r></p><p><r><t>box two</t></r></p></txbxContent></drawing><r><t>after</t></r></p>"
+                   "<p><r><t>plain</t></r></p></document>"})
+    assert [(r["unit_kind"], r["row_index"], r["text"]) for r in parse("/d.docx", doc)] == [("shape", 1, "box one"), ("shape", 2, "box two"), ("word", 3, "after"), ("word", 4, "plain")]
+
+
+def test_damaged_parts_leave_the_others():
+    book = package({
+        "xl/workbook.xml": f'<workbook xmlns:r="{OFFICE}"><sheets><sheet name="A" r:id="r1"/><sheet name="B" r:id="r2"/><sheet name="C" r:id="r9"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": rels(("r1", "worksheet", "worksheets/sheet1.xml"), ("r2", "worksheet", "worksheets/sheet2.xml")),
+        "xl/worksheets/sheet1.xml": '<worksheet><row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2"><v>2</v></c></row><broken', "xl/worksheets/sheet2.xml": '<worksheet><c r="B2"><v>7</v></c></worksheet>',
+        "xl/worksheets/_rels/sheet2.xml.rels": rels(("c", "comments", "../gone.xml"))})
+    rows = parse("/b.xlsx", book)
+    assert [r["text"] for r in rows if "text" in r] == ["1", "2", "7"] and sum("issue" in r for r in rows) == 3
+    doc = package({"word/document.xml": "<d><p><r><t>read</t></r></p><", "word/header1.xml": "<h><p><r><t>head</t></r></p></h>"})
+    rows = parse("/d.docx", doc)
+    assert [r["text"] for r in rows if "text" in r] == ["read", "head"] and sum("issue" in r for r in rows) == 1
+    deep = "<grpSp>" * 200 + "</grpSp>" * 200
+    book = package({"xl/workbook.xml": f'<workbook xmlns:r="{OFFICE}"><sheets><sheet name="A" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels(("r1", "worksheet", "s.xml")),
+                    "xl/s.xml": '<worksheet><c r="A1"><v>1</v></c></worksheet>', "xl/_rels/s.xml.rels": rels(("d", "drawing", "d.xml")), "xl/d.xml": f"<wsDr>{deep}</wsDr>"})
+    assert [r.get("text", r.get("issue")) for r in parse("/b.xlsx", book)] == ["1", "xl/d.xml: ValueError: drawing nested too deeply: xl/d.xml"]
 
 
 def test_stream_finds_each_match_once(spark, tmp_path):

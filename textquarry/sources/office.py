@@ -2,8 +2,8 @@
 
 Sheets, shared strings and document parts are read as streams, whole, of any size; rows leave in chunks. Drawings and comments
 of workbooks are read up to 50 MB a part and 200 MB of each kind a file, as in the reference; one beyond that gives a row with
-``issue`` beside the file's units. A file that can't be read gives such a row too, after the units before the damage; the job
-goes on. Supported: .xlsx, .xlsm (values,
+``issue`` beside the file's units. A file or part that can't be read gives such a row too, after the units before the damage; its other
+parts and the job go on. Supported: .xlsx, .xlsm (values,
 formulas, comments, drawing text) and .docx, .docm (paragraphs, comments, headers and footers, text boxes). Older binary
 formats give an issue.
 """
@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import io
 import itertools
+import os
 import posixpath
 import re
 import zipfile
 from array import array
+from decimal import Decimal
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -28,17 +30,45 @@ from textquarry.operators.units import UNITS
 
 PART_LIMIT, KIND_LIMIT = 50 << 20, 200 << 20  # of drawings and comments of workbooks only
 CHUNK_ROWS = 10_000
+SHAPE_DEPTH = 128
 _COLUMNS = [f.name for f in UNITS.fields]
 PARSED = T.StructType([*UNITS.fields, T.StructField("issue", T.StringType())])
 
 
-def files(spark: SparkSession, root: str, wanted: PathFilter) -> DataFrame:
-    """Files below ``root`` that pass the filter: path, relative_path, length, content. Spark's reader skips names that start with
-    ``_`` or ``.``."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^file:/*", "/", root).rstrip("/")
-    return found.withColumn("full_path", F.regexp_replace("path", r"^file:/*", "/")).withColumn(
-        "relative_path", F.substring(F.col("full_path"), F.lit(len(base) + 2), F.length("full_path"))).where(wanted.accepts(F.col("relative_path")))
+def files(spark: SparkSession, roots: str | list[str], wanted: PathFilter) -> DataFrame:
+    """Files below ``roots`` (folders, none inside another) that pass the filter: path, relative_path, length, content; a root that is a file
+    is one with its own name as relative path. Spark's reader skips names that start with ``_`` or ``.``."""
+    roots = [roots] if isinstance(roots, str) else roots
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    full = F.regexp_replace("path", r"^file:/*", "/")
+    relative = F.substring_index(full, "/", -1)
+    for root in roots:
+        base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
+        relative = F.when(full.startswith(base), F.substring(full, F.lit(len(base) + 1), F.length(full))).otherwise(relative)
+    return found.withColumn("full_path", full).withColumn("relative_path", relative).where(wanted.accepts(F.col("relative_path")))
+
+
+def _plain_root(root: str) -> str:
+    path = os.path.expanduser(root) if root == "~" or root.startswith("~/") else root
+    path = path.rstrip("/") or "/"
+    return re.sub(r"^file:/*", "/", path)
+
+
+def checked_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """(roots that exist, each once and none inside another, in the order given; (root, cause) of the others). ``~`` is the home folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    good, bad = {}, []
+    for root in roots:
+        path = _plain_root(root)
+        at = jvm.org.apache.hadoop.fs.Path(path if path else "/")
+        try:
+            status = at.getFileSystem(conf).getFileStatus(at)
+            good.setdefault(path, status.isDirectory())
+        except Exception as e:  # a missing folder, no permission, an unknown store
+            bad.append((root, str(getattr(e, "java_exception", e)).splitlines()[0]))
+    folders = {p for p, is_dir in good.items() if is_dir}
+    inside = lambda p: any(p[:k] in folders for k in range(1, len(p)) if p[k] == "/") or ("/" in folders and p != "/" and p.startswith("/"))
+    return [p for p in good if not inside(p)], bad
 
 
 def _local(e) -> str:
@@ -60,6 +90,20 @@ class _Package:
     def xml(self, name: str):
         return ET.fromstring(self.z.read(name))
 
+    def events(self, name: str):
+        """("start" or "end", local name, element) of a part as it is read; elements are dropped when they have ended."""
+        around = []
+        with self.z.open(name) as f:
+            for event, e in ET.iterparse(f, ("start", "end")):
+                if event == "start":
+                    around.append(e)
+                    yield event, _local(e), e
+                    continue
+                around.pop()
+                yield event, _local(e), e
+                if around:
+                    around[-1].remove(e)
+
     def fits(self, kind: str, name: str) -> bool:
         """Whether a part is within the limits of its kind; those that are add up."""
         size = self.z.getinfo(name).file_size
@@ -104,6 +148,11 @@ def _text(e) -> str:
     return "".join(x.text or "" for x in e.iter() if _local(x) == "t")
 
 
+def _cell_string(e) -> str:
+    """The text of a string cell, without the readings of its characters (phonetic runs)."""
+    return "".join((x.text or "") if _local(x) == "t" else _cell_string(x) for x in e if _local(x) != "rPh")
+
+
 class _Strings:
     """The shared strings of a workbook in one buffer."""
 
@@ -111,7 +160,7 @@ class _Strings:
         self.raw, self.ends = bytearray(), array("q", [0])
         if "xl/sharedStrings.xml" in package.names:
             for e, _ in package.stream("xl/sharedStrings.xml", "si"):
-                self.raw += _text(e).encode()
+                self.raw += _cell_string(e).encode()
                 self.ends.append(len(self.raw))
 
     def __getitem__(self, k: int) -> str:
@@ -128,21 +177,24 @@ def _place(ref: str) -> tuple[int, int]:
 
 def _number(v: str) -> str:
     try:
-        return format(float(v), ".17g") if "e" not in v.lower() and "." not in v else _plain(float(v))
+        return _plain(float(v))
     except ValueError:
         return v
 
 
 def _plain(x: float) -> str:
-    from decimal import Decimal
-
+    """Shortest decimal text of a double, without exponent."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "NaN" if x != x else str(x)
     s = format(Decimal(repr(x)), "f")
     return s.rstrip("0").rstrip(".") if "." in s else s
 
 
 def _shapes(package: _Package, part: str):
     """(name, text, row, column) of a drawing's shapes; group names lead."""
-    def walk(e, names, at):
+    def walk(e, names, at, depth=0):
+        if depth > SHAPE_DEPTH:
+            raise ValueError(f"drawing nested too deeply: {part}")
         kind = _local(e)
         if kind in ("oneCellAnchor", "twoCellAnchor"):
             start = next((x for x in e if _local(x) == "from"), None)
@@ -160,7 +212,7 @@ def _shapes(package: _Package, part: str):
                 yield " / ".join([*names, name]), text, *at
             return
         for x in e:
-            yield from walk(x, names, at)
+            yield from walk(x, names, at, depth + 1)
 
     yield from walk(package.xml(part), [], (0, 0))
 
@@ -171,60 +223,74 @@ def _workbook(package: _Package):
     sheets = [e for e in book.iter() if _local(e) == "sheet"]
     names = [_attr(e, "name") for e in sheets]
     for pos, e in enumerate(sheets):
-        part, hidden = links[_attr(e, "id")][1], (_attr(e, "state") or "visible") != "visible"
-        base = {"sheet_name": names[pos], "sheet_pos": pos, "sheet_hidden": hidden, "sheets_in_workbook": names}
-        for c, _ in package.stream(part, "c"):
-            row, col = _place(_attr(c, "r"))
-            kind = _attr(c, "t") or "n"
-            raw = next((x.text for x in c if _local(x) == "v"), None)
-            value = _text(c) if kind == "inlineStr" else None if raw is None else strings[int(raw)] if kind == "s" else (
-                "true" if raw == "1" else "false") if kind == "b" else _number(raw) if kind == "n" else raw
-            formula = next((x.text for x in c if _local(x) == "f"), None)
-            at = base | {"row_index": row, "col_index": col, "formula": formula}
-            if value:
-                yield at | {"unit_kind": "value", "text": value}
-            if formula:
-                yield at | {"unit_kind": "formula", "text": formula}
+        base = {"sheet_name": names[pos], "sheet_pos": pos, "sheet_hidden": (_attr(e, "state") or "visible") != "visible", "sheets_in_workbook": names}
+        part = links.get(_attr(e, "id"), ("", ""))[1]
+        yield from _guarded(_sheet(package, part, base, strings), part or names[pos])
         for kind, target in package.links(part).values():
-            if kind in ("comments", "drawing") and not package.fits(kind, target):
-                yield {"issue": f"part too large: {target}"}
-                continue
-            if kind == "comments":
-                for c in (x for x in package.xml(target).iter() if _local(x) == "comment"):
-                    row, col = _place(_attr(c, "ref"))
-                    yield base | {"unit_kind": "comment", "text": _text(c), "row_index": row, "col_index": col}
-            elif kind == "drawing":
-                for name, text, row, col in _shapes(package, target):
-                    yield base | {"unit_kind": "shape", "text": text, "shape_name": name, "row_index": row, "col_index": col}
-
+            if kind in ("comments", "drawing"):
+                if target in package.names and not package.fits(kind, target):
+                    yield {"issue": f"part too large: {target}"}
+                else:
+                    yield from _guarded((_comments if kind == "comments" else _drawing)(package, target, base), target)
 
-def _paragraphs(package: _Package, part: str, unit: str):
-    """Paragraphs of a part that aren't blank, counted from 1; those in text boxes are shapes."""
-    at = 0
-
-    def walk(e, boxed):
-        nonlocal at
-        kind = _local(e)
-        boxed = boxed or kind in ("drawing", "txbxContent")
-        if kind == "p":
-            own = "".join(x.text or "" for x in _own_text(e))
-            if own.strip():
-                at += 1
-                yield {"unit_kind": "shape" if boxed else unit, "text": own, "row_index": at, "shape_name": "TextBox" if boxed else None}
-        for x in e:
-            yield from walk(x, boxed)
 
-    for p, around in package.stream(part, "p"):
-        yield from walk(p, any(_local(x) in ("drawing", "txbxContent") for x in around))
+def _guarded(rows, part: str):
+    """The rows of a part; damage gives an issue row after those read, and the other parts go on."""
+    try:
+        yield from rows
+    except Exception as e:
+        yield {"issue": f"{part}: {type(e).__name__}: {e}"}
+
+
+def _sheet(package: _Package, part: str, base: dict, strings: _Strings):
+    row = col = 0
+    last = None
+    for c, around in package.stream(part, "c"):
+        if around and around[-1] is not last:  # another row: cells without an address follow one another
+            last, col = around[-1], 0
+            row = int(_attr(last, "r") or row + 1) if _local(last) == "row" else row
+        ref = _attr(c, "r")
+        row, col = _place(ref) if ref else (max(row, 1), col + 1)
+        kind = _attr(c, "t") or "n"
+        raw = next((x.text for x in c if _local(x) == "v"), None)
+        value = next((_cell_string(x) for x in c if _local(x) == "is"), "") if kind == "inlineStr" else None if raw is None else strings[int(raw)] if kind == "s" else (
+            "true" if raw == "1" else "false") if kind == "b" else _number(raw) if kind == "n" else raw
+        formula = next((x.text for x in c if _local(x) == "f"), None)
+        at = base | {"row_index": row, "col_index": col, "formula": formula}
+        if value:
+            yield at | {"unit_kind": "value", "text": value}
+        if formula:
+            yield at | {"unit_kind": "formula", "text": formula}
+
+
+def _comments(package: _Package, part: str, base: dict):
+    for c in (x for x in package.xml(part).iter() if _local(x) == "comment"):
+        row, col = _place(_attr(c, "ref"))
+        yield base | {"unit_kind": "comment", "text": _text(c), "row_index": row, "col_index": col}
+
+
+def _drawing(package: _Package, part: str, base: dict):
+    for name, text, row, col in _shapes(package, part):
+        yield base | {"unit_kind": "shape", "text": text, "shape_name": name, "row_index": row, "col_index": col}
 
 
-def _own_text(p):
-    """Text nodes of a paragraph that aren't in a paragraph inside it."""
-    for x in p:
-        if _local(x) == "t":
-            yield x
-        elif _local(x) != "p":
-            yield from _own_text(x)
+def _paragraphs(package: _Package, part: str, unit: str):
+    """Paragraphs of a part that aren't blank, counted from 1 as they end; those that end in a drawing or text box are shapes.
+
+    A paragraph that starts inside another one takes its place: of the outer text only what follows the inner one stays.
+    """
+    at, text, boxes = 0, "", {"drawing": False, "txbxContent": False}
+    for event, name, e in package.events(part):
+        if name in boxes:
+            boxes[name] = event == "start"
+        elif name == "p":
+            if event == "end" and text.strip():
+                at += 1
+                boxed = any(boxes.values())
+                yield {"unit_kind": "shape" if boxed else unit, "text": text, "row_index": at, "shape_name": "TextBox" if boxed else None}
+            text = ""
+        elif name == "t" and event == "end":
+            text += e.text or ""
 
 
 def _document(package: _Package):
@@ -233,8 +299,8 @@ def _document(package: _Package):
     parts += [(n, "word") for n in sorted(package.names) if re.fullmatch(r"word/(header|footer)[^/]*\.xml", n)]
     for part, unit in parts:
         if part in package.names:
-            for row in _paragraphs(package, part, unit):
-                yield base | row
+            for row in _guarded(_paragraphs(package, part, unit), part):
+                yield row if "issue" in row else base | row
 
 
 def rows_of(path: str, content: bytes):
@@ -267,6 +333,18 @@ def parsed(found: DataFrame) -> DataFrame:
     return found.select("full_path", "content").mapInPandas(run, PARSED)
 
 
-def units_and_issues(spark: SparkSession, root: str, wanted: PathFilter) -> tuple[DataFrame, DataFrame]:
-    rows = parsed(files(spark, root, wanted))
-    return rows.where("issue is null").drop("issue"), rows.where("issue is not null").select("full_path", F.lit("workbook").alias("stage"), F.col("issue").alias("cause"))
+def units_and_issues(spark: SparkSession, roots: str | list[str], wanted: PathFilter) -> tuple[DataFrame, DataFrame]:
+    """(units, issues) of all files below the roots; a root may be a folder or a file, roots inside others count once.
+
+    Issues (full_path, stage, cause): of files; of roots that can't be read (stage ``root``); of pattern lists that can't be read,
+    which let every file pass (their field as path and stage).
+    """
+    good, bad = checked_roots(spark, [roots] if isinstance(roots, str) else list(roots))
+    wanted, lists = wanted.checked()
+    other = [(r, "root", c) for r, c in bad] + [(f, f, c) for f, c in lists]
+    told = spark.createDataFrame(other, "full_path string, stage string, cause string")
+    if not good:
+        return spark.createDataFrame([], UNITS), told
+    rows = parsed(files(spark, good, wanted))
+    return rows.where("issue is null").drop("issue"), rows.where("issue is not null").select(
+        "full_path", F.lit("workbook").alias("stage"), F.col("issue").alias("cause")).unionByName(told)
