@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from textquarry.llm.suffix_dedup import NO_ID, mark_repeats, op1_suffix_dedup
+from textquarry.llm.suffix_dedup import DEFAULTS, NO_ID, mark_repeats, op1_suffix_dedup, unit_size
 
 
 def brute(rows, depth=50):
@@ -76,6 +76,19 @@ def test_long_text_is_cut_into_pieces(docs_of):
     assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["n_spans"]) == (0, 200, 1)
 
 
+def test_many_rows_of_one_id_and_without_id_spread(docs_of):
+    """A third of all rows share a doc_id, a third have none, and their texts are equal: they fill several units all the same."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefg ") for _ in range(150)) for _ in range(5)]
+    rows = [(k, texts[k % 5][:120] + str(k)) for k in range(40)] + [(7, texts[0])] * 40 + [(None, texts[1])] * 40
+    df = docs_of(rows)
+    check(df, rows, unit_bytes=900)
+    assert unit_size(30 * 10**9, DEFAULTS) == 8 << 20 and 100 << 20 < unit_size(10**14, DEFAULTS) < 110 << 20 and unit_size(10**18, DEFAULTS) == 256 << 20
+    once = mark_repeats(df, unit_bytes=900)
+    once.collect()
+    assert once._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 2  # the texts are shuffled once
+
+
 def test_empty_table(empty_docs):
     assert mark_repeats(empty_docs).collect() == []
 

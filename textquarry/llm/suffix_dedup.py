@@ -8,9 +8,16 @@ ordered only to that depth, most significant digit first, and leave as soon as t
 2. First digit: the 24-byte head. Suffixes are dealt to buckets by it and sorted there. A head that is in one document only is
    done. A run whose whole content is also in an earlier document is removed as a whole.
 3. Last digit: for heads with several different runs in several documents, the rest of the 50 bytes: their windows are dealt
-   and sorted as before, and equal groups are the repeated strings. Hashes of 72 bits and the bucket's own stand for the bytes.
+   and sorted as before, and equal groups are the repeated strings.
 
-Documents are dealt once to units of about ``unit_bytes``; a unit works in numpy, block by block. What a unit sends to a
+The digits are keyed hashes of their bytes, so that they spread evenly over buckets whatever the texts; their order is not that of the
+bytes, which the result doesn't need. A window's digit has 72 bits besides those of its bucket: over 30 GB (2 billion entries,
+4,000 buckets) any two different windows fall together with a probability of about 1e-7, over 100 TB of about 1e-2. Bytes of
+other units aren't compared, since that would move each repeated passage to each of its copies.
+
+Documents are dealt once to units of about ``unit_bytes``, row by row, so that rows that share a doc_id don't meet in one. By default it
+grows with the square root of all bytes (8 MB up to 0.6 TB, 107 MB at 100 TB, at most ``most_unit_bytes``), which keeps some eight
+entries in a row that a unit sends to a bucket. A unit works in numpy, block by block. What a unit sends to a
 bucket is one packed row, combined first: each distinct (head, run) or window once, with the unit's least doc_id that has it.
 So a text or passage that a third of all documents share is one entry of each unit. A head with over ``many_runs``
 different runs in a unit is sent as one mark, and its runs go straight to the last digit. A bucket answers with flags in the
@@ -18,7 +25,8 @@ order of what it got. All steps are one plan, in which the units' shuffle of tex
 
 Defined cases
     A null text is empty; a text of fewer than 50 bytes keeps all. Rows with the same doc_id never remove from each other,
-    and each gets its row. A null doc_id counts as smaller than all others. Other columns are not read.
+    and each gets its row. A null doc_id counts as smaller than all others. A text longer than a unit is a unit's only large one, read
+    in overlapping pieces. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import U64, mix64, runs_of_docs, splitmix, string_buffers, table, text_bytes, tidy_group, tidy_groups
 
-DEFAULTS = {"depth": 50, "head": 24, "unit_bytes": 8 << 20, "block_bytes": 1_000_000, "many_runs": 64}
+DEFAULTS = {"depth": 50, "head": 24, "unit_bytes": None, "least_unit_bytes": 8 << 20, "most_unit_bytes": 256 << 20, "block_bytes": 1_000_000, "many_runs": 64}
 
 _K = splitmix(0x5F1C, 64) | U64(1)
 _POS_BITS = 22
@@ -359,13 +367,22 @@ def _flags(t: pa.Table, kind: int) -> dict[int, bytes]:
     return dict(zip(t["bucket"].to_pylist(), t["flags"].to_pylist())) if t.num_rows else {}
 
 
+def unit_size(total: int, p: dict) -> int:
+    """Bytes of a unit. Units have an entry for some 14 bytes and there are as many buckets as units, so that a row from a unit to a
+    bucket has size^2 / (14 total) entries: eight or more by this rule."""
+    return int(min(p["most_unit_bytes"], max(p["least_unit_bytes"], (8 * 14 * total) ** 0.5)))
+
+
 def mark_repeats(docs: DataFrame, digest: bool = True, **params) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 (``digest``) or kept (the remaining bytes) of every row."""
     import pyarrow.compute  # noqa: F401
 
     p = DEFAULTS | params
-    units = max(1, -(-text_bytes(docs) // p["unit_bytes"]))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(units)).cast("int").alias("unit"))
+    total = text_bytes(docs)
+    units = max(1, -(-total // (p["unit_bytes"] or unit_size(total, p))))
+    # a row's place in the table: neither a doc_id nor equal rows gather in one unit
+    place = F.monotonically_increasing_id()
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", place), F.lit(units)).cast("int").alias("unit"))
 
     def heads(t: pa.Table) -> pa.Table:
         return _sent(Unit(t, units, p).send_groups(), t["unit"][0].as_py())
