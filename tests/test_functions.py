@@ -115,3 +115,47 @@ def test_refine_and_sort(spark):
     m = search(unit_rows(spark), SearchRequest("needle"))
     assert refine(m, "BOX").count() == 1 and refine(m, " ").count() == m.count() and refine(m, "b.docx").count() == 1
     assert [r["cell_address"] for r in sorted_by(m, "cell_address", descending=True).collect()][:2] == ["B2", "B2"]
+
+
+def test_children_of_what_is_typed(spark):
+    from textquarry.operators import paths
+
+    dirs = spark.createDataFrame([(p,) for p in ("/a/one/x", "/a/one/y", "/a/on", "/a/two", "/b/one", "/a")], "path string")
+    told = lambda t: [r["path"] for r in paths.complete_children(dirs, t).collect()]
+    assert told("/a/on") == ["/a/on", "/a/one"] and told("/a/") == ["/a/on", "/a/one", "/a/two"] and told("/") == ["/a", "/b"]
+    assert told("/a/one/") == ["/a/one/x", "/a/one/y"] and told("a/") == [] and told("") == [] and told("/zz") == []
+
+
+def test_permitted_folders(spark):
+    from textquarry.operators import paths
+
+    df = spark.createDataFrame([(p,) for p in ("/a/b", "/a/bc", "/a/b/c", "/x", "/a")], "path string")
+    folders = spark.createDataFrame([("/a/b/",), ("/x",)], "path string")
+    assert {r["path"] for r in paths.permitted(df, folders).where("allowed").collect()} == {"/a/b", "/a/b/c", "/x"}
+    assert paths.permitted(df, folders.limit(0)).where("allowed").count() == 5
+
+
+def test_a_tagged_search_stops(spark):
+    import threading
+    import time
+
+    from textquarry.operators import runs
+
+    ended = []
+
+    def work():
+        with runs.tagged(spark, "slow-search"):
+            try:
+                spark.range(1 << 40).selectExpr("sum(id % 7 * id)").collect()
+            except Exception as e:
+                ended.append(str(e))
+
+    t = threading.Thread(target=work)
+    t.start()
+    for _ in range(200):
+        time.sleep(0.1)
+        if runs.progress(spark)[1] and runs.cancel(spark, "slow-search"):
+            break
+    t.join(60)
+    assert not t.is_alive() and ended
+    assert runs.progress(spark)[1] >= 0

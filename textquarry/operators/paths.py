@@ -39,6 +39,20 @@ def complete(directories: DataFrame, prefix: str, limit: int = 10, column: str =
     return directories.where(F.col(column).startswith(prefix)).select(column).distinct().orderBy(column).limit(limit)
 
 
+def complete_children(directories: DataFrame, typed: str, limit: int = 10, column: str = "path") -> DataFrame:
+    """The first ``limit`` folders directly below what is typed up to its last ``/`` whose names start with the rest, in order.
+
+    Only an absolute path is completed; every ancestor of a known directory is a folder. The limit is the feature.
+    """
+    parent, _, start = typed.rpartition("/")
+    if not typed.startswith("/"):
+        return directories.select(column).limit(0)
+    below = F.substring(F.col(column), F.lit(len(parent) + 2), F.length(column))
+    name = F.substring_index(below, "/", 1)
+    return directories.where(F.col(column).startswith(parent + "/")).where((name != "") & name.startswith(start)).select(
+        F.concat(F.lit(parent + "/"), name).alias(column)).distinct().orderBy(column).limit(limit)
+
+
 def most_recent(history: DataFrame, value: str, at: str, limit: int = 20) -> DataFrame:
     """Distinct values, the latest used first; equal times by value."""
     return history.where(F.trim(F.col(value)) != "").groupBy(value).agg(F.max(at).alias("last_used")).orderBy(

@@ -203,6 +203,15 @@ def path_completion(spark, sf):
     return paths.complete(p, "blog.")
 
 
+@_query("folder_completion", rf"""WITH {_URLS} SELECT DISTINCT '/' || regexp_extract(path, '^[^/]+/[^/]+') AS path FROM p WHERE starts_with(path, (SELECT min(regexp_extract(path, '^[^/]+/')) FROM p WHERE regexp_matches(path, '^[^/]+/[^/]+/')))
+  AND regexp_matches(path, '^[^/]+/[^/]+/') ORDER BY 1 LIMIT 10""")
+def folder_completion(spark, sf):
+    """Child folders of the first host that has some, as a path field offers them (at most ten: the feature)."""
+    p = _table(spark, sf, "pages").select(F.concat(F.lit("/"), _url_path(F.col("url"))).alias("path")).where(F.col("path").rlike("^/[^/]+/[^/]+/"))
+    host = p.agg(F.min(F.regexp_extract("path", "^/[^/]+/", 0))).first()[0]
+    return paths.complete_children(p, host or "/")
+
+
 @_query("display_paths", r"SELECT page_id, '\\server\' || page_id AS shown FROM pages")
 def display_paths(spark, sf):
     raw = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("\\\\?\\UNC\\server\\")).otherwise(F.lit("\\\\?\\\\\\server\\")), F.col("page_id"))
