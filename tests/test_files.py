@@ -286,6 +286,16 @@ def test_stream_finds_each_match_once(spark, tmp_path):
     assert run() == ["needle one", "needle two"]
 
 
+def test_stream_with_a_bounded_state(spark, tmp_path):
+    u = grid(spark, [(1, 1, "needle one"), (2, 1, "needle two")])
+    for k in "ab":
+        u.write.parquet(str(tmp_path / "in" / k))
+    found = search_stream(arriving_units(spark, str(tmp_path / "in/*"), max_files=1), SearchRequest("needle"), within="1 hour")
+    q = write_matches(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert q.awaitTermination(120)
+    assert [r["full_content"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("full_content").collect()] == ["needle one", "needle two"]
+
+
 def test_heading_before(spark):
     u = units.paragraph_units(spark.createDataFrame([("d", "# Top\ntext\n1. Part\nmore")], "k string, t string"), F.col("k"), F.col("k"), F.col("t"))
     assert [r["section"] for r in context.headings_before(u).orderBy("row_index").collect()] == ["Document Section", "# Top", "# Top", "1. Part"]

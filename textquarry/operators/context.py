@@ -129,7 +129,8 @@ def word_context(matches: DataFrame, units: DataFrame, headings: bool = True) ->
 def sheet_context(matches: DataFrame, units: DataFrame, table: bool = True, window: int = WINDOW_DEFAULT) -> DataFrame:
     """One Markdown section per sheet with hits: target lines, then (``table``) the hit rows in a window of columns.
 
-    The header row and key column of the table are those of the sheet's first hit.
+    The header row and key column of the table are those of the sheet's first hit. A section is one text, so a sheet's hits and the
+    cells shown beside them meet in one row.
     """
     m = stored(matches.select("id", "file_name", *SHEET, "cell_address", "row_index", "col_index", "full_content"), "matches")
     v = values_of_hit_sheets(m, units)

@@ -434,9 +434,9 @@ def json_records(spark, sf):
 
 
 @_query("benchmark_phrases", r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM benchmark), k AS (
-  SELECT DISTINCT item_id, array_to_string(w[i: i + 3], ' ') AS phrase FROM b, range(1, 100000) t(i) WHERE i <= len(w) - 3
+  SELECT DISTINCT item_id, array_to_string(w[i: i + 3], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM b WHERE len(w) > 3)
 ), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS w FROM documents), g AS (
-  SELECT doc_id, i, array_to_string(w[i: i + 3], ' ') AS phrase FROM d, range(1, 100000) t(i) WHERE i <= len(w) - 3)
+  SELECT doc_id, i, array_to_string(w[i: i + 3], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) > 3))
 SELECT item_id, doc_id, count(DISTINCT phrase) AS phrases, min(i) AS first_word FROM g JOIN k USING (phrase) GROUP BY 1, 2""")
 def benchmark_phrases(spark, sf):
     """Many keywords at once: every run of four words of every benchmark item, looked up in all texts by one equi-join on hashes.

@@ -20,10 +20,18 @@ def match_key(df: DataFrame) -> DataFrame:
     return df.withColumn("match_key", F.xxhash64("full_path", "sheet_name", "match_type", "row_index", "col_index", "shape_name", "full_content"))
 
 
-def search_stream(units: DataFrame, request: SearchRequest, distinct: bool = True) -> DataFrame:
-    """Matches of a stream; ``distinct`` keeps one of matches that come again (state: one key per match)."""
+def search_stream(units: DataFrame, request: SearchRequest, distinct: bool = True, within: str | None = None) -> DataFrame:
+    """Matches of a stream; ``distinct`` keeps one of matches that come again.
+
+    Its state is one key per match; with ``within`` (as "1 day") a key is forgotten that long after the match was first seen,
+    so that the state is that of the matches of such a time.
+    """
     found = match_key(project(hits(units, request)).drop("sheet_pos", "kind_pos"))
-    return found.dropDuplicates(["match_key"]) if distinct else found
+    if not distinct:
+        return found
+    if within is None:
+        return found.dropDuplicates(["match_key"])
+    return found.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", within).dropDuplicatesWithinWatermark(["match_key"]).drop("seen_at")
 
 
 def write_matches(matches: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
