@@ -83,6 +83,40 @@ def test_query_as_every_path(spark, small):
         assert got[i]["viterbi_score"] == pytest.approx(best[-1][0])
 
 
+def library(path):
+    """The tokenizers library's unigram tokenizer with the vocabulary and scores of a sentencepiece file, bytes for characters without a piece."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocab = []
+    for i in range(sp.get_piece_size()):
+        piece, score = sp.id_to_piece(i), float(sp.get_score(i))
+        if sp.is_control(i):
+            piece = f"\x00control {i}"  # in no text
+        vocab.append((piece, 0.0 if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) else score))
+    return Tokenizer(models.Unigram(vocab, 0, True))
+
+
+def test_query_as_the_library(spark, small):
+    tok = library(default_model())
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in op8_token_counts(spark, small).collect():
+        text = texts[r["doc_id"]]
+        assert r["n_tokens"] == (len(tok.encode(M + text.replace(" ", M), add_special_tokens=False).ids) if text else 0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=("Cs", "Cc")), min_size=1, max_size=40))
+def test_any_text_as_the_library(text):
+    if "lib" not in _made:
+        _made["lib"], _made["own"] = library(default_model()), Counter(*load_vocabulary(default_model()))
+    assert _made["own"].count(text)[0] == len(_made["lib"].encode(M + text.replace(" ", M), add_special_tokens=False).ids)
+
+
+_made = {}
+
+
 def test_odd_rows(docs_of, empty_docs):
     df = docs_of([(1, None), (2, ""), (3, "same words"), (3, "same words"), (None, "x"), (5, "word " * 300_000)])
     got = count_tokens(df)

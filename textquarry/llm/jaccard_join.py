@@ -38,7 +38,7 @@ from textquarry.llm.common import (U64, WORD_BYTE, materialize, mix64, runs_of_d
 from textquarry.llm.components import components
 from textquarry.llm.fingerprint import _FOLD
 
-DEFAULTS = {"threshold": 0.8, "width": 5, "rows": 5, "bands": 28, "tolerance": 1e-9, "step": 20, "block": 512, "most_blocks": 64,
+DEFAULTS = {"threshold": 0.8, "width": 5, "rows": 5, "bands": 28, "tolerance": 1e-9, "step": 20, "block": 256, "most_blocks": 64,
             "block_bytes": 8 << 20, "broadcast_rows": 400_000, "read_bytes": 1 << 20}
 
 
