@@ -445,8 +445,8 @@ def benchmark_phrases(spark, sf):
     """
     def runs(df, key):
         w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]+"), F.lit(0)).alias("w")).where(F.size("w") > 3)
-        at = w.select(key, "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1), F.get("w", k + 2), F.get("w", k + 3)))).alias("at", "run"))
-        return at.select(key, (F.col("at") + 1).cast("long").alias("first_word"), "run")
+        at = w.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 4)).alias("at"))
+        return at.select(key, (F.col("at") + 1).cast("long").alias("first_word"), F.xxhash64(*[F.col("w")[F.col("at") + k] for k in range(4)]).alias("run"))
 
     keys = runs(_table(spark, sf, "benchmark"), "item_id").select("item_id", "run").distinct()
     found = runs(_table(spark, sf, "documents"), "doc_id").join(keys.select("run").distinct(), "run").groupBy("doc_id", "run").agg(F.min("first_word").alias("first_word"))
