@@ -173,6 +173,24 @@ def test_very_long_texts(docs_of):
     assert got(docs_of(rows)) == [(1, 1, 1, 1), (2, 1, 2, 1), (3, 3, 3, 0), (4, 4, 4, 0)]
 
 
+def test_components_of_chains_stars_and_rings(spark, monkeypatch):
+    from textquarry.llm import components as c
+
+    rnd = random.Random(4)
+    edges, of = [], {}
+    for g in range(12):
+        ids = rnd.sample(range(g * 1000, g * 1000 + 900), rnd.choice([2, 3, 40, 200]))
+        kind = g % 4
+        pairs = [(ids[0], x) for x in ids[1:]] if kind == 0 else list(zip(ids, ids[1:])) if kind == 1 else list(zip(ids, ids[1:] + ids[:1])) if kind == 2 else [
+            (ids[k], ids[rnd.randrange(k)]) for k in range(1, len(ids))]
+        edges += [p if rnd.random() < 0.5 else p[::-1] for p in pairs] + pairs[:1]
+        of |= {i: min(ids) for i in ids}
+    df = spark.createDataFrame(edges + [(5, 5)], "a long, b long")
+    for few in (400_000, 0):
+        monkeypatch.setattr(c, "FEW", few)
+        assert {r["node"]: r["root"] for r in c.components(df).collect()} == of
+
+
 def test_empty_table(empty_docs):
     assert near_duplicates(empty_docs).collect() == []
     assert drop_near_duplicates(empty_docs).collect() == []
