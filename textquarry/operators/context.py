@@ -195,6 +195,7 @@ def word_preview(targets: DataFrame, units: DataFrame) -> DataFrame:
     row_index, text, is_target, total_paragraphs. ``targets``: full_path, row_index."""
     t = targets.select("full_path", F.col("row_index").alias("target_paragraph")).distinct()
     paras = units.where(F.col("unit_kind").isin("word", "shape") & (F.col("sheet_name") == "Word"))
-    total = paras.join(t.select("full_path").distinct(), "full_path", "left_semi").groupBy("full_path").agg(F.count(F.lit(1)).alias("total_paragraphs"))
-    return paras.join(t, "full_path").join(total, "full_path").select(
+    shown = stored(paras.join(t, "full_path").select("full_path", "file_name", "target_paragraph", "row_index", "text"), "preview")
+    total = shown.groupBy("full_path", "target_paragraph").agg(F.count(F.lit(1)).alias("total_paragraphs"))
+    return shown.join(total, ["full_path", "target_paragraph"]).select(
         "full_path", "file_name", "target_paragraph", "row_index", "text", (F.col("row_index") == F.col("target_paragraph")).alias("is_target"), "total_paragraphs")
