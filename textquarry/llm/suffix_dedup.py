@@ -26,7 +26,8 @@ order of what it got. All steps are one plan, in which the units' shuffle of tex
 Defined cases
     A null text is empty; a text of fewer than 50 bytes keeps all. Rows with the same doc_id never remove from each other,
     and each gets its row. A null doc_id counts as smaller than all others. A text longer than a unit is a unit's only large one, read
-    in overlapping pieces. An empty table gives no rows. Other columns are not read.
+    in overlapping pieces. An empty table gives no rows. Other columns are not read. Rows must be in the same places of their partitions when
+    a lost task reads them again, as those of files are; store the result of a shuffle first.
 """
 
 from __future__ import annotations
