@@ -162,6 +162,12 @@ def sheet_context(matches: DataFrame, units: DataFrame, table: bool = True, wind
     return head.join(tables, SHEET).select(*SHEET, F.concat_ws("\n", title, F.col("ls.line"), F.lit(""), F.col("ts.t")).alias("section_text"))
 
 
+def sheet_list(units: DataFrame) -> DataFrame:
+    """The sheets of each workbook that hold anything, in order: full_path, sheet_pos, sheet_name, sheet_hidden, n_cells."""
+    return units.where(F.col("unit_kind") != "word").groupBy("full_path", "sheet_pos", "sheet_name", "sheet_hidden").agg(
+        F.count_if(F.col("unit_kind") == "value").alias("n_cells"))
+
+
 def sheet_page(units: DataFrame, start_row: int = 1, max_rows: int = 100) -> DataFrame:
     """A page of each sheet as Markdown lines: full_path, sheet_name, row_number, line; 0 for ``start_row`` or ``max_rows`` is
     their default. All columns up to the last used one, and blank rows too; page_rows and page_columns say how many there are."""

@@ -374,11 +374,12 @@ def sheet_preview(spark, sf):
     return context.sheet_preview(part_units(spark, sf).unionByName(short), 51, 70).select("sheet_name", "page")
 
 
-@_query("sheet_list", """SELECT 0 AS sheet_pos, 'nation' AS sheet_name, count(*) * 2 + 2 AS n_cells FROM nation UNION ALL SELECT 1, 'region', count(*) + 1 FROM region""")
+@_query("sheet_list", """SELECT 'tables/nation.xlsx' AS full_path, 0 AS sheet_pos, 'nation' AS sheet_name, false AS sheet_hidden, count(*) * 2 + 2 AS n_cells FROM nation
+UNION ALL SELECT 'tables/region.xlsx', 1, 'region', true, count(*) FROM region""")
 def sheet_list(spark, sf):
     a = units.sheet_units(_table(spark, sf, "nation"), "n_nationkey", "nation", {"n_name": F.col("n_name"), "n_regionkey": F.col("n_regionkey")})
-    b = units.sheet_units(_table(spark, sf, "region"), "r_regionkey", "region", {"r_name": F.col("r_name")}).withColumn("sheet_pos", F.lit(1))
-    return a.unionByName(b).groupBy("sheet_pos", "sheet_name").agg(F.count(F.lit(1)).alias("n_cells"))
+    b = units.sheet_units(_table(spark, sf, "region"), "r_regionkey", "region", {"r_name": F.col("r_name")}, hidden=True, header=False).withColumn("sheet_pos", F.lit(1))
+    return context.sheet_list(a.unionByName(b))
 
 
 # ---------------------------------------------------------------- reports and exports
