@@ -105,3 +105,35 @@ def test_query_on_tables(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = op6_fingerprint(spark, small).collect()
     assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in got} == brute_edits(rows)
+
+
+def test_patterned_words_differ():
+    """Words of a Thue-Morse pattern and their complements, alone and inside the same text."""
+    for n in (256, 1024, 4096):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        two = one.translate({97: 98, 98: 97})
+        assert estimate(one, one) == 1.0 and estimate(one, two) < 0.2
+        assert estimate(f"x y z {one}", f"x y z {two}") < 0.2
+
+
+def test_many_texts_without_words_need_no_cells():
+    """Empty and one-letter texts never fill a block of bytes: no cells for the first, few rows at a time for the others."""
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    code, some = codes(*string_buffers(pa.array([""] * n, pa.large_string())), DEFAULTS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert code.shape == (n, DEFAULTS["bins"]) and not some.any() and peak < 1.5 * n * DEFAULTS["bins"]
+
+
+def test_rows_with_one_id_and_without(docs_of):
+    rows = [(None, "null one"), (3, "b text"), (3, "a text"), (9, ""), (10, "the last of them")]
+    got = sorted(map(tuple, edited_likeness(docs_of(rows)).select("doc_id", "n_chars", "edited_sha256").collect()), key=repr)
+    order = [(None, "null one"), (3, "a text"), (3, "b text"), (9, ""), (10, "the last of them")]
+    want = []
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + order[(k + 1) % 5][1][:half]).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)

@@ -3,7 +3,7 @@
 A shingle is five consecutive words (runs of letters and digits, ASCII case folded; a text of fewer words, but any, has one
 shingle of them all). Every shingle is hashed once: the top bits say its bin, the rest is its value, each bin keeps its
 least. An empty bin takes the value of the first filled bin in its own fixed random order of bins. The low ``bits`` bits of
-each bin are packed to a hex string; two fingerprints' share m of equal bins estimates the likeness as
+each bin's value, mixed with the bin's number, are packed to a hex string; two fingerprints' share m of equal bins estimates the likeness as
 (m - 2^-bits) / (1 - 2^-bits), which takes out the equalities by chance.
 
 Defined cases
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import (U64, replacing, runs_of_docs, shingle_hashes, span_hashes, splitmix, string_buffers, table, tidy,
+from textquarry.llm.common import (U64, mix64, replacing, runs_of_docs, shingle_hashes, span_hashes, splitmix, string_buffers, table, tidy,
                                    text_bytes, word_spans)
 from textquarry.llm.token_output import with_parts
 
@@ -71,7 +71,9 @@ def codes(buf: np.ndarray, off: np.ndarray, p: dict) -> tuple[np.ndarray, np.nda
         hit = filled[at]
         least[empty[hit]] = least[at[hit]]
         empty, row, col = empty[~hit], row[~hit], col[~hit]
-    out[with_words] = (least & U64((1 << p["bits"]) - 1)).astype(np.uint8).reshape(n, k)
+    # mixed with the bin, so that a value that fills several bins meets another one by chance in each of them independently
+    least = mix64(least.reshape(n, k) + splitmix(0xB17, k))
+    out[with_words] = (least & U64((1 << p["bits"]) - 1)).astype(np.uint8)
     return out, some
 
 
