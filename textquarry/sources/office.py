@@ -48,27 +48,25 @@ def files(spark: SparkSession, roots: str | list[str], wanted: PathFilter) -> Da
     return found.withColumn("full_path", full).withColumn("relative_path", relative).where(wanted.accepts(F.col("relative_path")))
 
 
-def _plain_root(root: str) -> str:
-    path = os.path.expanduser(root) if root == "~" or root.startswith("~/") else root
-    path = path.rstrip("/") or "/"
-    return re.sub(r"^file:/*", "/", path)
-
-
 def checked_roots(spark: SparkSession, roots: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
     """(roots that exist, each once and none inside another, in the order given; (root, cause) of the others). ``~`` is the home folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    good, bad = {}, []
+    good, folders, bad = {}, set(), []
     for root in roots:
-        path = _plain_root(root)
-        at = jvm.org.apache.hadoop.fs.Path(path if path else "/")
+        path = os.path.expanduser(root) if root == "~" or root.startswith("~/") else root
+        path = path.rstrip("/") or "/"
         try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
             status = at.getFileSystem(conf).getFileStatus(at)
-            good.setdefault(path, status.isDirectory())
         except Exception as e:  # a missing folder, no permission, an unknown store
             bad.append((root, str(getattr(e, "java_exception", e)).splitlines()[0]))
-    folders = {p for p, is_dir in good.items() if is_dir}
-    inside = lambda p: any(p[:k] in folders for k in range(1, len(p)) if p[k] == "/") or ("/" in folders and p != "/" and p.startswith("/"))
-    return [p for p in good if not inside(p)], bad
+            continue
+        full = status.getPath().toString()  # with its store, so that two ways to name it are one
+        good.setdefault(full, path)
+        if status.isDirectory():
+            folders.add(full)
+    inside = lambda full: any(full[:k] in folders for k, c in enumerate(full) if c == "/" and k)
+    return [path for full, path in good.items() if not inside(full)], bad
 
 
 def _local(e) -> str:
