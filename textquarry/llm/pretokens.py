@@ -163,7 +163,7 @@ class _Pool:
 
 
 class BatchTokenizer:
-    KEPT_BYTES = 96 << 20
+    KEPT_BYTES = 64 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
