@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -37,8 +38,10 @@ def rows_of(frame):
     cols = sorted(frame.columns)
 
     def plain(v):
-        if isinstance(v, float):
-            return None if v != v else float(f"{v:.9g}")
+        if v is pandas.NA:
+            return None
+        if isinstance(v, float):  # whole numbers beside nulls come as floats
+            return None if v != v else int(v) if v.is_integer() and abs(v) < 1e9 else float(f"{v:.9g}")
         if hasattr(v, "tolist"):
             v = v.tolist()
         if isinstance(v, (list, tuple)):
