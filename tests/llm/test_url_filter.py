@@ -1,0 +1,75 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.llm.url_filter import ORACLE_SQL, RULES, judge, op11_url_filter, rule_table
+
+ODD = [None, "", "no scheme", "://", "http://", "http://NET/a", "HTTP://A.Net", "http://a.net/", "http://a.net?x=/en/", "http://a.net#/", "http://net-foo/x", "http://netx/", "http://xnet/", "http://net./",
+       "http://a..net/q", "x://y.example.net/en/a://b/c", "//example.net/en/", "http://example.net:80/en/", "http://u@example.net/en/", "http://example.net/EN/", "http://example.net/en", "http://éxample.net/en/ü?z",
+       "http://sub.org/fr/", "http://org/fr/x#y", "http://ORG/FR/", "http://example.com/de/", "http://a\nb.net/x\ny?z", "ftp://a.b.c.d.e.f.example.com/de/" + "z" * 5000]
+
+
+def expected(url, rules, default="allow"):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fits = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best[3] if best else None, best[2] if best else default
+
+
+def check(spark, urls, rules, default="allow", **params):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").select(
+        "*", *[F.lit(f"clash {c}").alias(c) for c in ("host", "rule", "verdict", "_row", "key", "open", "_kind", "_of", "best", "stack")])
+    got = judge(pages, rule_table(spark, rules), default, **params)
+    assert "html" not in got.columns and got.columns[-4:] == ["host", "path", "rule", "verdict"]
+    rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()}
+    assert rows == {k: expected(u, rules, default) for k, u in enumerate(urls)}
+
+
+def test_odd_urls(spark):
+    check(spark, ODD, RULES)
+
+
+def test_random_nested_rules_in_small_blocks(spark):
+    rnd = random.Random(3)
+    labels = ["a", "b", "c", "a-b", "ab", "é"]
+    host = lambda n: ".".join(rnd.choice(labels) for _ in range(rnd.randint(1, n)))
+    path = lambda: rnd.choice(["", "/", "/a", "/a/", "/a/b", "/a/b/c", "/ab", "/é", "/a/b/c/d"])
+    rules = {}
+    while len(rules) < 60:
+        rules[host(3), path()] = rnd.choice(["allow", "block"])
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [f"http://{host(5)}{path()}{rnd.choice(['', 'x', '/x', '?q', '#f'])}" for _ in range(400)] + ["http://c.b.a/a/b/c/d"] * 300
+    check(spark, urls, rules, "block", block=4)
+
+
+def test_rules_repeat_or_lack_parts(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://b.org/y"), (None, None)], "page_id long, url string")
+    rules = rule_table(spark, [("a.net", "/", "allow"), ("A.net", "/", "block"), ("a.net", "/", "allow"), ("org", None, "block"), (None, "/q", "block")])
+    got = sorted(((r["page_id"], r["rule"], r["verdict"]) for r in judge(pages, rules).collect()), key=repr)
+    assert got == sorted([(1, "a.net/", "block"), (1, "a.net/", "block"), (None, "org", "block"), (None, None, "allow")], key=repr)
+
+
+def test_no_rules_and_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    assert [tuple(r) for r in judge(pages, rule_table(spark, [])).collect()] == [(1, "http://a.net/x", "a.net", "/x", None, "allow")]
+    assert judge(pages.limit(0), rule_table(spark)).collect() == []
+
+
+def test_no_python_in_the_plan(spark, small):
+    plan = op11_url_filter(spark, small)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_as_sql(spark, same_as_sql, medium, tmp_path, odd):
+    if odd:
+        spark.createDataFrame(list(enumerate(ODD)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/out")
+        (tmp_path / "pages.parquet").write_bytes(next((tmp_path / "out").glob("*.parquet")).read_bytes())
+    same_as_sql(op11_url_filter, ORACLE_SQL["op11_url_filter"], str(tmp_path) if odd else medium)
