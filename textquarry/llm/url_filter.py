@@ -131,7 +131,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         F.monotonically_increasing_id().alias("_probe"), F.col("_row").alias("_of"), F.concat("_in", "_path").alias("key"))
     probes = materialize(probes, "probes").withColumnRenamed("_probe", "_row")
     found = sweep(probes, rules.select("key", "rule", "verdict"), **params).where(F.size("open") > 0).select("_of", F.element_at("open", -1).alias("r"))
-    best = found.groupBy("_of").agg(F.max(F.struct(F.length("r.rule").alias("n"), F.length("r.key").alias("m"), F.instr("r.rule", "/").alias("h"), "r")).alias("best"))
+    best = found.groupBy("_of").agg(F.max(F.struct(F.length("r.rule").alias("n"), F.length(F.substring_index("r.rule", "/", 1)).alias("of_host"), "r")).alias("best"))
     return kept.join(best, F.col("_row") == F.col("_of"), "left").select(
         "_page.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("best.r.rule").alias("rule"),
         F.coalesce(F.col("best.r.verdict"), F.lit(default)).alias("verdict"))
