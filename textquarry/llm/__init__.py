@@ -8,11 +8,11 @@ from __future__ import annotations
 
 
 def _modules():
-    from textquarry.llm import (chat_format, decontaminate, fingerprint, importance, jaccard_join, language_id, mixing,
+    from textquarry.llm import (chat_format, decontaminate, fingerprint, importance, jaccard_join, language_id, mixing, prefix_trie,
                                 quality, suffix_dedup, token_counts, token_output, url_filter)
 
     return (suffix_dedup, token_output, mixing, decontaminate, quality, fingerprint, language_id, token_counts,
-            chat_format, jaccard_join, url_filter, importance)
+            chat_format, jaccard_join, url_filter, prefix_trie, importance)
 
 
 def queries() -> dict:
