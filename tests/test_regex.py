@@ -1,0 +1,78 @@
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.functions import matching
+from textquarry.functions.regex import InvalidPattern, compile_pattern
+from textquarry.operators.search import SearchRequest
+
+#: pattern, case matters, texts that match, texts that don't
+TABLE = [
+    ("[[:digit:]]+", True, ["room 5"], ["the needle", "d:", "٣"]),
+    ("[[:^alpha:][:space:]]x", True, ["1x", " x"], ["ax"]),
+    ("^[[:upper:]][[:lower:]]+$", True, ["Tale"], ["tale", "Tale\n", "TALE"]),
+    (r"\pL\pN", True, ["é5", "x٣"], ["5é"]),
+    (r"\p{Greek}+\P{Greek}", True, ["αβ!"], ["ab!", "αβ"]),
+    (r"\p{Uppercase_Letter}\p{gc=Ll}", True, ["Ab"], ["ab", "AB"]),
+    (r"\p{^L}\p{sc!=Latin}", True, ["1α"], ["1a"]),
+    (r"(?P<word>\w+)-(?<n_1>\d+)", True, ["café-12"], ["café-x"]),
+    (r"\x41\x{42}\u0043\u{44}\U00000045", True, ["ABCDE"], ["abcde"]),
+    ("a.b", True, ["a\rb", "a\u2028b"], ["a\nb"]),
+    ("(?s)a.b", True, ["a\nb"], ["ab"]),
+    ("x$", True, ["yx"], ["x\n"]),
+    ("(?m)^x$", True, ["a\nx\nb", "x\n", "y\nx"], ["ax", "x\r\n"]),
+    (r"\Ax\z", True, ["x"], ["x\n"]),
+    ("(?m)^$", True, ["", "a\n", "\na"], ["a"]),
+    ("a++b", True, ["aab"], ["b"]),
+    ("(?i)STRASSE(?-i)n", True, ["strassen"], ["strasseN"]),
+    ("k(?-i:K)", False, ["KK", "kK"], ["kk"]),
+    ("ÉTÉ", False, ["été"], ["ete"]),
+    ("(?x) a [ b c ] # note\n d", True, ["abd", "acd"], ["a b d", "a d"]),
+    ("[a-z&&[^aeiou]]{2}", True, ["xy"], ["ae", "xa"]),
+    ("[a-z--[aeiou]]{2}", True, ["xy"], ["ae"]),
+    ("[ab~~bc]x", True, ["ax", "cx"], ["bx"]),
+    ("[^a[bc]]x", True, ["dx"], ["ax", "bx"]),
+    ("[]a]]", True, ["]]", "a]"], ["b]"]),
+    (r"[\]\-\\^]+z", True, ["-z", "\\z", "^z", "]z"], ["az"]),
+    ("[a-]b", True, ["-b"], ["cb"]),
+    (r"\bcat\b{end}", True, ["a cat."], ["cats"]),
+    (r"\<cat\>", True, ["a cat."], ["cats", "xcat"]),
+    ("(?-u:\\w)é", True, ["aé"], ["éé"]),
+    (r"x{2}y{1,}z{0,1}", True, ["xxy"], ["xy"]),
+    ("(|a)b", True, ["b", "ab"], ["a"]),
+    ("}", True, ["}"], ["{"]),
+    ("(?U)<.+>", True, ["<a>"], ["<>"]),
+    ("quick|slow (fox|dog)s?", False, ["QUICK", "slow dogs"], ["slow cat"]),
+    (r"\.\*\[\/\#\ ", True, [".*[/# "], [".*"]),
+]
+BROKEN = ["(unclosed", "a)", "[a", "[]", "*a", "a|*", "(?", "(?z)", "a{2,1}", "a{x}", "a{", r"\Q*\E", r"\h", r"\1", r"\k<n>", "(?=a)", "(?!a)", "(?<=a)", "(?<!a)", "(?>a)", r"\Z", r"\G", r"\R", r"\X",
+          r"\07", "[[:nope:]]", r"\p{Nope}", r"\p{foo=bar}", "[z-a]", r"[a-\d]", r"\x{110000}", r"\xZZ", "(?<n>a)(?<n>b)", "(?<1>a)", "\\", r"(?-u:\W)", r"\e", r"\cA", r"[\b]", "(" * 300 + ")" * 300]
+
+
+def test_table_of_patterns(spark):
+    rows = [(k, t, want) for k, (_, _, yes, no) in enumerate(TABLE) for want, ts in ((True, yes), (False, no)) for t in ts]
+    df = spark.createDataFrame(rows, "k int, t string, want boolean")
+    got = F.lit(None).cast("boolean")
+    plain = got
+    for k, (pattern, case, _, _) in enumerate(TABLE):
+        got = F.when(F.col("k") == k, matching.regex_matches(F.col("t"), pattern, case)).otherwise(got)
+        plain = F.when(F.col("k") == k, F.col("t").rlike(matching.java_pattern(pattern, case))).otherwise(plain)
+    wrong = df.withColumn("got", got).withColumn("plain", plain).where("not (got <=> want) or not (plain <=> want)").collect()
+    assert [(TABLE[r["k"]][0], r["t"], r["want"], r["got"], r["plain"]) for r in wrong] == []
+
+
+@pytest.mark.parametrize("pattern", BROKEN)
+def test_broken_patterns_are_request_errors(spark, pattern):
+    with pytest.raises(InvalidPattern):
+        SearchRequest(pattern, is_regex=True).validated()
+
+
+@pytest.mark.parametrize("pattern, case, literals", [
+    ("needle[0-9]+", True, ("needle",)), ("needle[0-9]+", False, ("needle",)), ("(abc|defg)x*", True, ("abc", "defg")), ("a?b*", True, ()), ("ab|c*", True, ()),
+    ("x(long one)+y", True, ("long one",)), ("skis", False, ()), ("task force", False, (" force",)), ("[ab]cde[f]", True, ("cde",)), ("(?i)abc", True, ("abc",)), ("été|x", False, ())])
+def test_literals_that_every_match_holds(spark, pattern, case, literals):
+    assert compile_pattern(pattern, case).literals == literals
+
+
+def test_the_literal_is_looked_for_first(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).where(matching.regex_matches(F.col("t"), "needle[0-9]+", True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("needle)") < plan.index("RLIKE")

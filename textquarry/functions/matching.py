@@ -6,11 +6,11 @@ position is one in the lower-cased text (they differ only where lower-casing cha
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textquarry.functions.regex import InvalidPattern, compile_pattern  # noqa: F401
+
 SNIPPET_CONTEXT = 30
 ELLIPSIS = "..."
 # fixed values: the markup around a hit in a snippet
@@ -18,24 +18,21 @@ MARK_OPEN = "<mark class='bg-yellow-500/30 text-yellow-300 px-0.5 rounded font-s
 MARK_CLOSE = "</mark>"
 
 
-class InvalidPattern(ValueError):
-    """A regular expression outside the supported dialect."""
-
-
 def java_pattern(pattern: str, match_case: bool = False) -> str:
-    """``pattern`` with Unicode-aware classes, and case folding unless ``match_case``.
-
-    Look-around, back-references, possessive quantifiers and atomic groups are rejected: results are those of a linear-time
-    engine.
-    """
-    bare = re.sub(r"\\\\", "", pattern)
-    if re.search(r"\(\?(?:[=!>]|<[=!])", bare):
-        raise InvalidPattern(f"look-around and atomic groups are not supported: {pattern}")
-    if re.search(r"\\[1-9]|\\k[<{']|\(\?P=", bare):
-        raise InvalidPattern(f"back-references are not supported: {pattern}")
-    if re.search(r"(?<!\\)[*+?}]\+", bare):
-        raise InvalidPattern(f"possessive quantifiers are not supported: {pattern}")
-    return ("(?U)" if match_case else "(?iuU)") + pattern
+    """``pattern``, of the linear-time dialect of functions.regex, for Spark's expressions; case is folded unless ``match_case``."""
+    return compile_pattern(pattern, match_case).java
+
+
+def regex_matches(text: Column, pattern: str, match_case: bool = False) -> Column:
+    """Whether ``pattern`` is in ``text``; it is only tried on texts that hold one of the literals that every match needs."""
+    found = compile_pattern(pattern, match_case)
+    tried = text.rlike(found.java)
+    if not found.literals:
+        return tried
+    held, low = F.lit(False), F.lower(text) if found.fold else text
+    for x in found.literals:
+        held |= F.contains(low, F.lit(x))
+    return held & tried
 
 
 def literal_position(text: Column, keyword: str, match_case: bool = False) -> Column:

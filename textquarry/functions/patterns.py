@@ -144,19 +144,24 @@ class PathFilter:
 
     def accepts(self, relative_path: Column) -> Column:
         """Lock files out, then extension and include, then ignore, as one predicate on a relative path column."""
+        lock = F.substring_index(relative_path, "/", -1).startswith("~$")
+        return ~lock & self.included(relative_path) & ~self.ignored(relative_path)
+
+    def included(self, relative_path: Column) -> Column:
+        """Extension and include patterns alone."""
         name = F.substring_index(relative_path, "/", -1)
-        ok = ~name.startswith("~$")
         ext = F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1)))
-        ok &= ext.isin(*self.allowed_extensions())
+        ok = ext.isin(*self.allowed_extensions())
         wanted = self.include_regexes()
         if wanted:
             hit = F.lit(False)
             for rx in wanted:
                 hit |= relative_path.rlike(rx)
             ok &= hit
-        return ok & ~self.ignored(relative_path)
+        return ok
 
-    def _decided(self, path: Column, is_dir: bool) -> Column:
+    def decided(self, path: Column, is_dir: bool) -> Column:
+        """What the last ignore rule that fits the path itself says, not looking at the folders above it."""
         out = F.lit(False)
         for rx, negated, only_dirs in self.ignore_rules():
             if is_dir or not only_dirs:
@@ -170,4 +175,4 @@ class PathFilter:
         parts = F.split(relative_path, "/")
         above = F.when(F.size(parts) > 1, F.transform(
             F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
-        return F.exists(above, lambda d: self._decided(d, True)) | self._decided(relative_path, False)
+        return F.exists(above, lambda d: self.decided(d, True)) | self.decided(relative_path, False)

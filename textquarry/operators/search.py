@@ -51,7 +51,7 @@ def hits(units: DataFrame, request: SearchRequest) -> DataFrame:
     text = F.col("text")
     rows = units.where(request.in_scope()).where((text != "") | (F.col("unit_kind") == "comment"))
     if request.is_regex:
-        rows = rows.where(text.rlike(matching.java_pattern(request.keyword, request.match_case)))
+        rows = rows.where(matching.regex_matches(text, request.keyword, request.match_case))
         hit = F.coalesce(matching.regex_hit(text, request.keyword, request.match_case), F.lit(""))  # an empty hit is null there
         pos = matching.regex_position(text, request.keyword, request.match_case)
         return rows.withColumn("hit_pos", F.greatest(pos, F.lit(1))).withColumn("hit_len", F.length(hit))

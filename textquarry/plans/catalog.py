@@ -124,6 +124,17 @@ def regex_any_case(spark, sf):
     return search.hits(document_units(spark, sf), SearchRequest("CIÓN(ue|OS) [a-z]", is_regex=True)).select("full_path", "row_index")
 
 
+_DIALECT = r"(?P<stem>[[:alpha:]]{3,})(?P<end>ing|tion)[[:punct:]][[:space:]]+([[:upper:]]|th)[[:^digit:]]"
+
+
+@_query("regex_dialect", rf"""WITH {_PARAS}, h AS (SELECT *, regexp_extract(text, '{_DIALECT}') AS hit FROM u WHERE regexp_matches(text, '{_DIALECT}'))
+SELECT full_path, row_index, instr(text, hit) AS hit_pos, length(hit) AS hit_len FROM h""")
+def regex_dialect(spark, sf):
+    """POSIX classes, named groups and alternatives; texts without one of the literals never meet the expression."""
+    found = search.hits(document_units(spark, sf), SearchRequest(_DIALECT, is_regex=True, match_case=True))
+    return found.select("full_path", "row_index", F.col("hit_pos").cast("long").alias("hit_pos"), F.col("hit_len").cast("long").alias("hit_len"))
+
+
 @_query("cells_match", f"WITH {_PARTS} SELECT r AS row_index, c AS col_index, chr(64 + c) || r AS cell_address, v AS full_content FROM cell WHERE contains(lower(v), 'ring')")
 def cells_match(spark, sf):
     return search.project(search.hits(part_units(spark, sf), SearchRequest("RING"))).select("row_index", "col_index", "cell_address", "full_content")
@@ -188,13 +199,40 @@ def root_prune(spark, sf):
     return paths.prune_nested(roots)
 
 
-@_query("permitted_paths", rf"""WITH {_URLS}, f AS (SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') AS folder FROM p WHERE page_id % 40 = 0 AND regexp_matches(path, '^[^/]+/[^/]+'))
-SELECT page_id, EXISTS (SELECT 1 FROM f WHERE path = folder OR starts_with(path, folder || '/')) AS allowed FROM p""")
+#: ways to name the same or another path with . and .. in it
+_DOTTED = r"CASE page_id % 4 WHEN 1 THEN regexp_replace(path, '/', '/./x/../') WHEN 2 THEN path || '/../../other/' || page_id WHEN 3 THEN '../' || path ELSE path END"
+
+
+@_query("permitted_paths", rf"""WITH {_URLS}, d AS (SELECT page_id, {_DOTTED} AS path FROM p), c AS (SELECT page_id, array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(path, '/'), lambda x: [x])),
+  lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' THEN a[1: len(a) - 1] ELSE list_concat(a, x) END), '/') AS path FROM d),
+f AS (SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') AS folder FROM p WHERE page_id % 40 = 0 AND regexp_matches(path, '^[^/]+/[^/]+'))
+SELECT page_id, EXISTS (SELECT 1 FROM f WHERE path = folder OR starts_with(path, folder || '/')) AS allowed FROM c""")
 def permitted_paths(spark, sf):
-    """Which paths lie in permitted folders: the folders of every fortieth page."""
+    """Which paths, some with ``.`` and ``..``, lie in permitted folders: the folders of every fortieth page."""
     p = _table(spark, sf, "pages").select("page_id", _url_path(F.col("url")).alias("path"))
     folders = p.where("page_id % 40 = 0").select(F.regexp_extract("path", "^[^/]*/[^/]*", 0).alias("path")).where(F.col("path").rlike("^[^/]+/[^/]+"))
-    return paths.permitted(p, folders).select("page_id", "allowed")
+    k, path = F.col("page_id") % 4, F.col("path")
+    first = F.concat(F.substring_index(path, "/", 1), F.when(F.instr(path, "/") > 0, F.concat(F.lit("/./x/../"), path.substr(F.instr(path, "/") + 1, F.length(path)))).otherwise(""))
+    dotted = F.when(k == 1, first).when(k == 2, F.concat(path, F.lit("/../../other/"), F.col("page_id"))).when(k == 3, F.concat(F.lit("../"), path)).otherwise(path)
+    return paths.permitted(p.select("page_id", dotted.alias("path")), folders).select("page_id", "allowed")
+
+
+def _many_rules() -> list[str]:
+    forms = ("{k}.html", "*/fr/{k}", "{k}/", "!*{k}.html", "{k}")
+    return [forms[k % 5].format(k=k) for k in range(1000)]
+
+
+@_query("ignore_many_rules", rf"""WITH {_URLS}, e AS (SELECT DISTINCT path AS entry, false AS is_dir FROM p
+  UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1: n], '/'), true FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS n FROM p)),
+r AS (SELECT k, k % 5 AS form, k::VARCHAR AS t FROM range(1000) q(k)), m AS (
+  SELECT entry, is_dir, max(k) AS k FROM (SELECT *, regexp_extract(entry, '[^/]*$') AS name FROM e) JOIN r ON CASE form WHEN 0 THEN name = t || '.html' WHEN 1 THEN regexp_matches(entry, '^[^/]*/fr/' || t || '$')
+    WHEN 2 THEN is_dir AND name = t WHEN 3 THEN ends_with(name, t || '.html') ELSE name = t END GROUP BY 1, 2),
+i AS (SELECT entry, is_dir FROM m WHERE k % 5 <> 3)
+SELECT page_id, path IN (SELECT entry FROM i WHERE NOT is_dir) OR EXISTS (SELECT 1 FROM i WHERE is_dir AND starts_with(path, entry || '/')) AS ignored FROM p""")
+def ignore_many_rules(spark, sf):
+    """1,000 ignore rules: names, folders, globs and exceptions."""
+    p = _table(spark, sf, "pages").select("page_id", _url_path(F.col("url")).alias("path"))
+    return paths.ignored_by_rules(p, _many_rules()).select("page_id", "ignored")
 
 
 @_query("path_completion", rf"""WITH {_URLS} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM p WHERE starts_with(regexp_replace(path, '/[^/]*$', ''), 'blog.') ORDER BY 1 LIMIT 10""")
