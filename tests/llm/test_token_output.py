@@ -12,14 +12,13 @@ from textquarry.llm.common import shared_dir, string_buffers
 from textquarry.llm.pretokens import BatchTokenizer
 from textquarry.llm.token_output import default_tokenizer, op2_token_output, read_tokens, token_id_output, with_parts, write_tokens
 
-ODD = ["", None, " ", "\n\n\n", "it's we'll they're I'D don't 'til 've'sx", "  two  spaces \t tabs\n new", "<|endoftext|> stays text", "naïve café 東京  nbsp 　wide",
+ODD = ["", None, " ", "\n\n\n", "it's we'll they're I'D don't 'til 've'sx", "  two  spaces \t tabs\n new", "<|endoftext|> is a token", "x<|endoftext|>", "a<|endoftext|>b", " <|endoftext|><|endoftext|> ", "<|endoftext|>", "<|endof", "text|> x", "'s<|endoftext|>'s", "<|<|endoftext|>text|>", "\n <|endoftext|>\n", "naïve café 東京  nbsp 　wide",
        "a" * 5000, "1234567890 12 ½ ²", "'s at start", "x 's 't", " line sep", "🙂🙂 emoji👨‍👩‍👧", "tail space ", " \n mixed \r\n end", "don''t '' 'll 'l", "é's è're", "\x00\x01"]
 
 
 def library():
-    tok = Tokenizer.from_file(default_tokenizer())
-    tok.encode_special_tokens = True
-    return tok
+    """The tokenizer as it comes from its file."""
+    return Tokenizer.from_file(default_tokenizer())
 
 
 def brute(rows):
@@ -56,6 +55,25 @@ def test_tokenizer_on_any_text(texts):
         assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", "<|", "|>", " ", "a", "'s", "\n", "é", "12"]), max_size=8).map("".join), max_size=8))
+def test_added_tokens_anywhere(texts):
+    test_tokenizer_on_any_text.hypothesis.inner_test(texts)
+
+
+def test_several_added_tokens(tmp_path):
+    """One that begins like another, and one that is a part of it."""
+    import pyarrow as pa
+    from tokenizers import AddedToken
+
+    lib = library()
+    lib.add_tokens([AddedToken("<|end|>", normalized=False), AddedToken("<|end|>of", normalized=False), AddedToken("end", normalized=False), AddedToken("é é", normalized=False)])
+    lib.save(str(tmp_path / "more.json"))
+    tok, texts = BatchTokenizer(str(tmp_path / "more.json")), ["a <|end|>of the end", "<|end", "|> end", "é", " é é é", "", "bend<|end|>"]
+    ids, off = tok.encode(*string_buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 _once = {}
 
 

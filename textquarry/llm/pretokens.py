@@ -5,12 +5,16 @@ pre-tokens' ids in order. ``cut`` finds the cuts of a whole batch in numpy on UT
 (contractions; letters, numbers or other characters with at most one space before them; white space, less its last
 character where something follows). Pre-tokens are looked up by a 64-bit hash, and a hit counts only if its bytes are the same;
 the unseen ones go to the library. What is kept is bounded in bytes.
+
+Added tokens (as ``<|endoftext|>``) are ids of their own wherever their text stands, as the library has it: texts are cut at them first,
+the longest of those that begin at the same place, and what lies between them is cut as if it were texts of their own.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -170,7 +174,12 @@ class BatchTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder()
+        if self.tok.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("a tokenizer that changes texts, or whose added tokens take in what is around them, is not supported")
+        self.added = {t.content.encode(): k for k, t in added.items()}
+        self.added_at = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.tok.encode_special_tokens = True  # they are found here
         self.n_ids = self.tok.get_vocab_size()
         self.forget()
 
@@ -224,8 +233,40 @@ class BatchTokenizer:
         out[order] = number
         return out
 
+    def _added_spans(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the added tokens in concatenated texts, in order; none reaches over two texts."""
+        if self.added_at is None:
+            return []
+        raw = buf.tobytes()
+        seen = [m.span() for m in self.added_at.finditer(raw)]
+        if not seen:
+            return []
+        # the texts that these touch are searched one by one: one over a seam would hide another
+        a, b = np.array(seen).T
+        touched = np.unique(np.concatenate([np.searchsorted(off, a, side="right") - 1, np.searchsorted(off, b - 1, side="right") - 1]))
+        return [(m.start(), m.end(), self.added[m[0]]) for t in touched.tolist() for m in self.added_at.finditer(raw, int(off[t]), int(off[t + 1]))]
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint32, offsets per text) of concatenated UTF-8 texts."""
+        spans = self._added_spans(buf, off)
+        if not spans:
+            return self._encode(buf, off)
+        begin, end, own = np.array(spans, np.int64).T
+        pieces = np.unique(np.concatenate([off, begin, end]))
+        ids, at = self._encode(buf, pieces)
+        special = np.searchsorted(pieces, begin)
+        lens = np.diff(at)
+        # an added token's piece is its one id
+        first = np.zeros(len(ids) + 1, bool)
+        first[at[special]] = True
+        inside = np.repeat(np.isin(np.arange(len(lens)), special), lens)
+        ids[at[special]] = own
+        keep = ~inside | first[:-1]
+        lens[special] = 1
+        done = np.concatenate([[0], np.cumsum(lens)])
+        return ids[keep], done[np.searchsorted(pieces, off)]
+
+    def _encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = cut(buf, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)

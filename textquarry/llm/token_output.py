@@ -11,7 +11,8 @@ File format
     first block freq (the shared table, little-endian uint32, zlib). Ascending (part, block) is ascending doc_id.
 
 Defined cases
-    A null or empty text is the end id alone. Documents with the same doc_id (or a null one, which sorts first) are kept, one
+    A null or empty text is the end id alone. The text of an added token, as ``<|endoftext|>``, is that token, wherever it stands, as in the
+    library's own call. Documents with the same doc_id (or a null one, which sorts first) are kept, one
     after another in the order of their ids. An empty table writes no block. A very long text is a block of its own. doc_ids of 2^53
     and more keep their order (ranges are cut on doubles, which keep it too). Other columns are not read.
 """
