@@ -206,3 +206,38 @@ def test_empty_table(empty_docs):
 def test_query_on_tables(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted(map(tuple, op2_token_output(spark, small).collect())) == brute(rows)
+
+
+def parts_of(docs, n_parts, max_ranges):
+    from pyspark.sql import functions as F
+
+    from textquarry.llm.common import materialize
+
+    stored = materialize(docs.select("doc_id", F.length("text").alias("size")), "sized")
+    return [tuple(r) for r in with_parts(stored, n_parts, max_ranges, "size").select("doc_id", "size", "part").collect()]
+
+
+@pytest.mark.parametrize("max_ranges", [1000, 16])
+def test_parts_stay_even(docs_of, max_ranges):
+    """A third of null ids, one id that many rows share, outlying ids, and a few long texts."""
+    rnd = random.Random(8)
+    ids = [None] * 2000 + [77] * 1000 + [rnd.randint(1000, 9000) for _ in range(3000)] + [10 ** 15 + k for k in range(10)] + [-(10 ** 15)]
+    docs = docs_of([(i, "x" * (20 if rnd.random() < 0.99 else 400)) for i in ids])
+    rows = parts_of(docs, 40, max_ranges)
+    assert len(rows) == len(ids)
+    load, span = {}, {}
+    for i, n, part in rows:
+        load[part] = load.get(part, 0) + n
+        span.setdefault(part, []).append(-(1 << 62) if i is None else i)
+    middle = sorted(load.values())[len(load) // 2]
+    assert max(load.values()) <= 3 * max(middle, sum(load.values()) // 40) and len(load) >= 25
+    at = [(min(x), max(x)) for _, x in sorted(span.items())]
+    assert all(a[1] <= b[0] for a, b in zip(at, at[1:]))
+
+
+def test_heavy_ids_come_back_whole(docs_of):
+    rows = [(None, f"null {k}") for k in range(60)] + [(5, f"five {k}") for k in range(60)] + [(k, f"own {k}") for k in range(6, 66)]
+    got = sorted(token_id_output(docs_of(rows), part_bytes=60, max_ranges=30).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 60 + [5] * 60 + list(range(6, 66))
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert sorted((r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((n, c) for _, _, n, c in brute(rows))

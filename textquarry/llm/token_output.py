@@ -13,7 +13,7 @@ File format
 Defined cases
     A null or empty text is the end id alone. The text of an added token, as ``<|endoftext|>``, is that token, wherever it stands, as in the
     library's own call. Documents with the same doc_id (or a null one, which sorts first) are kept, one
-    after another in the order of their ids. An empty table writes no block. A very long text is a block of its own. doc_ids of 2^53
+    after another in the order of their ids (in no fixed order where one doc_id fills several parts). An empty table writes no block. A very long text is a block of its own. doc_ids of 2^53
     and more keep their order (ranges are cut on doubles, which keep it too). Other columns are not read.
 """
 
@@ -24,11 +24,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import rans
-from textquarry.llm.common import discard, materialize, runs_of_docs, stored_dir, string_buffers, table, tidy, tidy_group
+from textquarry.llm.common import checked_broadcast, discard, materialize, runs_of_docs, stored_dir, string_buffers, table, tidy, tidy_group
+from textquarry.operators.scan import running
 
 DEFAULTS = {"end_id": 0, "part_bytes": 8 << 20, "max_ranges": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
 
@@ -41,35 +42,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000) -> DataFrame:
-    """``docs`` with ``part``: ranges of doc_id of about equal counts, ascending, nulls in the first.
+LEAST = -1.7976931348623157e308  # the place of a null doc_id among doubles
 
-    Up to ``max_ranges`` bounds are quantiles on the driver; for more parts each such range is cut evenly between its bounds.
+
+def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000, size: str | None = None) -> DataFrame:
+    """``docs`` with ``part``: ranges of doc_id of about equal counts, or sums of the column ``size``, ascending, nulls first.
+
+    Up to ``max_ranges`` bounds are quantiles on the driver; for more parts each such range is cut at its own quantiles. With ``size``, a
+    doc_id (null, too) that holds more than two parts, and one in ``max_ranges`` of all, is a range of its own, its rows dealt to pieces; ``docs``
+    must then be stored, since rows are dealt by their places.
     """
     from pyspark.ml.feature import Bucketizer
 
-    key = F.col("doc_id").cast("double")
-    bounds = []
+    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(LEAST))
+    docs = docs.withColumn("part_key", key)
     ranges = min(n_parts, max_ranges)
-    if ranges > 1:
-        known = docs.select(key.alias("k")).where(F.col("k").isNotNull())
-        # the first and last value bound the outer ranges
-        at = [i / ranges for i in range(ranges + 1)]
-        bounds = sorted(set(known.approxQuantile("k", at, 0.2 / ranges)))
-    if len(bounds) < 3:
-        return docs.withColumn("part", F.lit(0))
-    low, inner = bounds[0], bounds[1:-1]
-    splits = [-float("inf"), *inner, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="part_key", outputCol="part", handleInvalid="keep")
-    out = cut.transform(docs.withColumn("part_key", F.coalesce(key, F.lit(-1.7976931348623157e308))))
-    part = F.col("part").cast("int")
+    if ranges < 2:
+        return docs.withColumn("part", F.lit(0)).drop("part_key")
+    known, heavy = docs.select("part_key"), []
+    if size:
+        total = docs.agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        one = docs.groupBy("part_key").agg(F.sum(size).alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        # at most half as many as ranges; from 2^53 on, several ids may be one double
+        heavy = [(r["part_key"], min(1 << 20, -(-r["b"] * n_parts // total["b"]))) for r in one.where(
+            (F.col("b") * F.lit(ranges) > F.lit(2 * total["b"])) & F.col("low").eqNullSafe(F.col("high"))).collect()] if total["b"] else []
+        # a row of twice the mean size counts twice
+        known = docs.select("part_key", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(10_000), F.floor(F.col(size) * total["n"] / max(1, total["b"] or 0)) + 1).cast("int")))).select("part_key")
+    at = [i / ranges for i in range(ranges + 1)]
+    bounds = known.where(F.col("part_key") > LEAST).approxQuantile("part_key", at, 0.2 / ranges)
+    edges = {x for k, _ in heavy for x in (k, float(np.nextafter(k, np.inf)))}
+    inner = sorted(({*bounds[1:-1]} | edges) - {LEAST, min(bounds, default=LEAST)})
+    if not inner:
+        return docs.withColumn("part", F.lit(0)).drop("part_key")
+    cut = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="part_key", outputCol="part", handleInvalid="keep")
+    out = cut.transform(docs).withColumn("part", F.col("part").cast("int"))
     pieces = -(-n_parts // ranges)
+    if not heavy and pieces == 1:
+        return out.drop("part_key")
+    most = max([pieces, *(n for _, n in heavy)])
+    place = F.lit(0)
     if pieces > 1:
-        edges = F.lit([low, *inner, bounds[-1]])
-        frm, to = F.get(edges, part), F.get(edges, part + 1)
-        inside = F.floor((F.col("part_key") - frm) / F.greatest(to - frm, F.lit(1.0)) * pieces)
-        part = part * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), inside)).cast("int")
-    return out.withColumn("part", part).drop("part_key")
+        within = out.groupBy(F.col("part").alias("_range")).agg(F.percentile_approx("part_key", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_cuts"))
+        out = out.join(checked_broadcast(within, max_ranges * 2), F.col("part") == F.col("_range")).drop("_range")  # one row per range
+        place = F.size(F.filter("_cuts", lambda x: x < F.col("part_key")))
+    dealt = F.lit(1)
+    for k, n in heavy[:100]:
+        dealt = F.when(F.col("part_key") == k, F.lit(n)).otherwise(dealt)
+    if len(heavy) > 100:
+        table = docs.sparkSession.createDataFrame(heavy[100:], "_heavy double, _n int")
+        out = out.join(F.broadcast(table), F.col("part_key") == F.col("_heavy"), "left")  # fewer than ranges
+        dealt = F.coalesce("_n", dealt)
+    place = F.when(dealt > 1, F.pmod(F.xxhash64(F.monotonically_increasing_id()), dealt)).otherwise(place)
+    return out.withColumn("part", F.col("part").cast("long") * most + place).drop("part_key", "_cuts", "_heavy", "_n")
 
 
 def tokenize(docs: DataFrame, path: str, col: str = "text", **params) -> DataFrame:
@@ -124,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
     tokens = materialize(tokenize(docs.select("doc_id", "text"), tokenizer, **p), "token-ids")
     freq = docs.sparkSession.sparkContext.broadcast(rans.normalise(frequencies(tokens, n_ids)).astype("<u4").tobytes())
     n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    dealt = with_parts(tokens, max(1, -(-n_bytes // p["part_bytes"])), p["max_ranges"])
+    dealt = with_parts(tokens.withColumn("n_bytes", F.octet_length("ids")), max(1, -(-n_bytes // p["part_bytes"])), p["max_ranges"], "n_bytes").drop("n_bytes")
 
     def encode(t: pa.Table) -> pa.Table:
         out = {k: [] for k in ("part", "block", "part_offset", "n_tokens", "doc_ids", "lengths", "payload", "freq")}
@@ -158,11 +182,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
             out["payload"].append(rans.encode(block, coder))
             out["freq"].append(zlib.compress(freq.value, 6) if k == 0 else None)
             done += len(block)
-        types = {"part": pa.int32(), "block": pa.int32(), "part_offset": pa.int64(), "n_tokens": pa.int64()}
+        types = {"part": pa.int64(), "block": pa.int32(), "part_offset": pa.int64(), "n_tokens": pa.int64()}
         return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
     blocks = dealt.groupBy("part").applyInArrow(
-        tidy_group(encode), "part int, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
+        tidy_group(encode), "part long, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
     blocks.write.option("compression", "none").parquet(path)
     discard(tokens)
 
@@ -172,17 +196,11 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     blocks = spark.read.parquet(path)
     table_row = blocks.where(F.col("freq").isNotNull()).select("freq").limit(1).collect()
     freq = spark.sparkContext.broadcast(table_row[0]["freq"] if table_row else b"")  # bounded by the vocabulary
-    # ids before each part: sums of thousands of parts on the driver, sums within these by a window
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("thousand", F.floor(F.col("part") / 1000))
-    base, starts = 0, []
-    for r in totals.groupBy("thousand").agg(F.sum("n").alias("n")).orderBy("thousand").collect():
-        starts.append((r["thousand"], base))
-        base += r["n"]
-    before = Window.partitionBy("thousand").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begin = totals.join(F.broadcast(spark.createDataFrame(starts, "thousand long, base long")), "thousand").select(
-        "part", (F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("part_start"))
-    # a row of 12 bytes per part
-    few = begin.count() <= MAX_BROADCAST_PARTS
+    # ids before each part, any number of them
+    totals = materialize(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")), "part-sizes")
+    begin = running(totals, [], ["part"], {"upto": ("sum", F.col("n"))}).select("part", (F.col("upto") - F.col("n")).alias("part_start"))
+    # a row of 16 bytes per part
+    few = totals.count() <= MAX_BROADCAST_PARTS
 
     def decode(batches):
         coder = None
