@@ -137,3 +137,25 @@ def test_rows_with_one_id_and_without(docs_of):
         half = len(t) // 2
         want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + order[(k + 1) % 5][1][:half]).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
+
+
+def test_texts_of_few_words_take_the_same_values(monkeypatch):
+    """Looked up by rank or probed for: the same codes, and much less time."""
+    import time
+
+    import numpy as np
+
+    from textquarry.llm import fingerprint as fp
+
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 9)) for _ in range(n)) for n in [1, 2, 3, 5, 6, 7, 12, 30, 69, 70, 200, 900] * 3 + [0]]
+    buf, off = string_buffers(pa.array(texts))
+    quick = fp.codes(buf, off, fp.DEFAULTS)
+    monkeypatch.setattr(fp, "FEW_BINS", 0)
+    slow = fp.codes(buf, off, fp.DEFAULTS)
+    assert (quick[0] == slow[0]).all() and (quick[1] == slow[1]).all()
+    monkeypatch.setattr(fp, "FEW_BINS", 64)
+    buf, off = string_buffers(pa.array([f"two w{k}" for k in range(2048)]))
+    start = time.process_time()
+    fp.codes(buf, off, fp.DEFAULTS)
+    assert time.process_time() - start < 1.5

@@ -106,17 +106,41 @@ def test_inclusion_probabilities_are_kept():
 
 
 def test_rows_come_as_often_as_taken(docs_of):
-    rows = table_of(5, 400) + [(9001, None, "a"), (9001, "x y", "a"), (9002, "", None), (None, "null id", "b")]
+    rows = table_of(5, 400) + [(9001, None, "a"), (9001, "x y", "a"), (9002, "", None), (None, "null id", "b"), (None, "null id", "b"), (None, "null id", "b"), (3, "other text", "a")]
     df = docs_of(rows)
     out = mix(df)
     assert out.columns == df.columns
-    taken = {(r["doc_id"], r["source"]): r["copies"] for r in mix_decisions(df).collect()}
-    times = {}
+    key = lambda r: (r["doc_id"], r["source"], r["size"])
+    times, taken = {}, {}
     for r in out.collect():
-        times[r["doc_id"], r["source"], r["text"]] = times.get((r["doc_id"], r["source"], r["text"]), 0) + 1
+        k = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        times[k] = times.get(k, 0) + 1
         assert r["_k"] == "clash _k"
+    for r in mix_decisions(df).collect():
+        taken[key(r)] = taken.get(key(r), 0) + r["copies"]
+    assert times == {k: n for k, n in taken.items() if n}
+
+
+def test_null_and_shared_ids_are_documents_of_their_own(docs_of):
+    """A third of the rows without id, an id that many share, equal rows: a row each, near the target."""
+    rnd = random.Random(4)
+    text = lambda: "w " * rnd.randint(1, 40)
+    rows = [(None, text(), rnd.choice("ab")) for _ in range(500)] + [(7, text(), rnd.choice("ab")) for _ in range(300)] + [(100 + k, text(), rnd.choice("abc")) for k in range(600)]
+    rows += [(8, "same words here", "a")] * 101
+    got = mix_decisions(docs_of(rows), block_rows=100, hold=10).collect()
+    want, found = {}, {}
     for i, t, s in rows:
-        assert times.get((i, s, t), 0) == taken[i, s]
+        want[i, s, len(t.split())] = want.get((i, s, len(t.split())), 0) + 1
+    for r in got:
+        found[r["doc_id"], r["source"], r["size"]] = found.get((r["doc_id"], r["source"], r["size"]), 0) + 1
+        assert 0 <= r["copies"] <= 2
+    assert found == want
+    for s in "abc":
+        rs = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in rs) - rs[0]["target"]) <= 3
+        assert abs(sum(r["copies"] for r in rs) - rs[0]["target"] / rs[0]["source_size"] * len(rs)) < 30
+    equal = [r["copies"] for r in got if r["doc_id"] == 8]
+    assert max(equal) - min(equal) <= 1
 
 
 def test_empty_and_wordless(docs_of, empty_docs):

@@ -29,10 +29,21 @@ from textquarry.llm.token_output import with_parts
 
 DEFAULTS = {"bins": 512, "bits": 4, "width": 5, "block_bytes": 1 << 20, "part_bytes": 8 << 20, "max_parts": 20_000, "block_rows": 2048}
 
+#: texts of this many filled bins, or fewer, look up their empty bins' sources instead of probing for them
+FEW_BINS = 64
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+@functools.lru_cache(4)
+def _ranks(bins: int) -> np.ndarray:
+    """The place of each bin (column) in each bin's order."""
+    out = np.empty((bins, bins), np.int16 if bins < 1 << 15 else np.int32)
+    np.put_along_axis(out, _probes(bins), np.arange(bins, dtype=out.dtype)[None, :], axis=1)
+    return out
+
+
 @functools.lru_cache(4)
 def _probes(bins: int) -> np.ndarray:
     """For each bin its own random order of all bins."""
@@ -61,7 +72,17 @@ def codes(buf: np.ndarray, off: np.ndarray, p: dict) -> tuple[np.ndarray, np.nda
     cell = np.repeat(np.arange(n, dtype=np.int64) * k, np.diff(o)[with_words]) + (h >> shift).astype(np.int64)
     np.minimum.at(least, cell, h & U64((1 << int(shift)) - 1))
     filled = least != none
-    empty = np.flatnonzero(~filled)
+    # with few filled bins most probes would miss: the one of least rank is taken
+    by_doc, n_filled = filled.reshape(n, k), filled.reshape(n, k).sum(axis=1)
+    one = np.flatnonzero(n_filled == 1)
+    least.reshape(n, k)[one] = least.reshape(n, k)[one, by_doc[one].argmax(axis=1)][:, None]
+    ranks = _ranks(k)
+    for d in np.flatnonzero((n_filled > 1) & (n_filled <= FEW_BINS)):
+        own = np.flatnonzero(by_doc[d])
+        values = least[d * k + own]
+        least[d * k: (d + 1) * k] = values[ranks[:, own].argmin(axis=1)]  # a filled bin comes first in its own order, or is set again
+        least[d * k + own] = values
+    empty = np.flatnonzero(~(by_doc | (n_filled <= FEW_BINS)[:, None]).ravel())
     row, col = empty - empty % k, empty % k
     probes = _probes(k)
     for t in range(k):

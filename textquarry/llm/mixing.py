@@ -11,13 +11,14 @@ about the smallest one's size. Random choices come from a generator seeded by a
 Up to ``max_sources`` sources are told their targets from the driver. Beyond that the targets are columns of a table of sources,
 the shares come from sums over it, and it is joined by a shuffle, except for the few sources with a large part of the rows.
 
-The words of every text are counted once; (doc_id, source, size) is stored, and only that moves, never a text, until a caller
-joins the decisions to its documents.
+The words of every text are counted once; (doc_id, source, size, hash of the text) is stored, and only that moves, never a text, until a
+caller joins the decisions to its documents.
 
 Defined cases
     A null text has size 0; a document of size 0 adds no words and is still taken or not. Null sources are one source,
-    last in order. Rows that share a doc_id (null, too) and source are one unit: their sizes add up and all are taken alike. A text of
-    any length is one unit. An empty table gives an empty mix. Other columns are not read.
+    last in order. Rows that share a doc_id (null, too) are documents of their own. Equal rows (same doc_id, source and text) are decided
+    together, since they can't be told apart: of their copies some get one more than others, none more than any document may. A text
+    of any length is one document. An empty table gives an empty mix. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import materialize, mix64, table
+from textquarry.operators.scan import running, with_row_ids
 
 WEIGHTS = (3.0, 1.0, 2.0)
 DEFAULTS = {"weights": WEIGHTS, "share": 1.5, "most": 2.0, "block_rows": 2_000, "hold": 64, "seed": 41, "max_sources": 100_000}
@@ -132,8 +134,8 @@ def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int
     """Decide all entries: a flight, then the few left are settled one by one, large ones first, each by its own probability.
 
     What a settled one takes too much or too little of the words is spread over the probabilities of those after it. Where
-    they can't make up for it, decisions are turned that bring the words nearer, large ones first. The error of the whole is
-    about the smallest one's size.
+    they can't make up for it, decisions are turned that bring the words nearer, large ones first, and a larger one for
+    several small ones. The error of the whole is about the smallest one's size.
     """
     p, x = flight(prob, size, rng, max(hold, len(prob) // 4)), np.asarray(size, float)
     open_ = np.flatnonzero((prob > EPS) & (prob < 1 - EPS))
@@ -151,18 +153,42 @@ def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, hold: int
         p[k] = v
     p = np.round(p)
     error = float((prob * x).sum() - (p * x).sum())
-    for k in open_[np.argsort(-x[open_], kind="stable")]:
+    p, error = _turned(p, x, open_, error)
+    sizes = np.sort(x[open_][x[open_] > 0])
+    if len(sizes) and abs(error) > sizes[0]:
+        # one is turned the other way, and the others make up for it: of some small ones the best
+        start, best = p, (abs(error), p)
+        for k in open_[np.argsort(x[open_], kind="stable")]:
+            gain = x[k] if start[k] == 0 else -x[k]
+            if gain * error > 0:
+                q = start.copy()
+                q[k] = 1 - q[k]
+                q, left = _turned(q, x, open_[open_ != k], error - gain)
+                best = min(best, (abs(left), q), key=lambda b: b[0])
+                if best[0] <= sizes[0]:
+                    break
+        p = best[1]
+    return p
+
+
+def _turned(p: np.ndarray, x: np.ndarray, at: np.ndarray, error: float) -> tuple[np.ndarray, float]:
+    """Decisions turned, large ones first, wherever that brings the words nearer; and what is still lacking."""
+    p = p.copy()
+    for k in at[np.argsort(-x[at], kind="stable")]:
         gain = x[k] if p[k] == 0 else -x[k]
         if abs(error - gain) < abs(error):
             p[k], error = 1 - p[k], error - gain
-    return p
+    return p, error
 
 
-def mix_decisions(docs: DataFrame, **params) -> DataFrame:
-    """One row per (doc_id, source): size, source_size, target, copies (0, 1 or 2)."""
+KEY = ["doc_id", "source", "text_hash"]
+
+
+def class_decisions(docs: DataFrame, **params) -> DataFrame:
+    """One row per distinct (doc_id, source, text), as its hash: size, n_rows of them, source_size, target, and the copies of all of them."""
     p = DEFAULTS | params
-    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    units = sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
+    units = sizes.groupBy(*KEY).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
     sources = sizes.groupBy("source").agg(
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     units = units.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
@@ -185,17 +211,18 @@ def mix_decisions(docs: DataFrame, **params) -> DataFrame:
         told = units.join(F.broadcast(large), on).unionByName(
             units.join(F.broadcast(large.select(*on)), on, "left_anti").join(plan.drop("n"), on))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    told = told.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("int")).withColumn(
-        "prob", F.col("rate") - F.col("base"))
-    cell = F.struct("source", "no_source", F.pmod(F.xxhash64("doc_id", F.lit(p["seed"])), F.col("blocks")).alias("block"))
+    # the copies of all equal rows together
+    told = told.withColumn("rate", rate * F.col("n_rows")).withColumn("base", F.floor("rate")).withColumn(
+        "prob", F.col("rate") - F.col("base")).withColumn("unit", F.xxhash64(*KEY, "no_source"))
+    cell = F.struct("source", "no_source", F.pmod(F.xxhash64("unit", F.lit(p["seed"])), F.col("blocks")).alias("block"))
     rows = told.withColumn("cell", cell)
-    fields = "doc_id long, source string, no_source boolean, size long, source_size long, target double, base int, prob double"
+    fields = "unit long, doc_id long, source string, text_hash long, no_source boolean, size long, n_rows long, source_size long, target double, base long, prob double"
     names = [f.split()[0] for f in fields.split(", ")]
 
     def flown(last: bool):
         def fly(t: pa.Table) -> pa.Table:
             t = t.select(names)
-            ids = t["doc_id"].fill_null(-(1 << 62)).to_numpy()
+            ids = t["unit"].to_numpy()
             key = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(p["seed"] * 7919))
             order = np.lexsort((ids, key))
             prob, size = t["prob"].to_numpy()[order], t["size"].to_numpy()[order]
@@ -205,32 +232,56 @@ def mix_decisions(docs: DataFrame, **params) -> DataFrame:
 
         return fly
 
-    first = rows.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields)
+    first = materialize(rows.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields), "flown")
     first = first.withColumn("undecided", (F.col("prob") > 0) & (F.col("prob") < 1))
     # undecided: at most hold + 2 rows of a block; they are dealt to blocks again until a source's are one block
     open_ = first.where("undecided").drop("undecided")
     decided = [first.where(~F.col("undecided")).drop("undecided")]
     while (most := -(-most // p["block_rows"]) * (p["hold"] + 2)) > p["block_rows"]:
         groups = -(-most // p["block_rows"])
-        again = open_.withColumn("cell", F.struct("source", "no_source", F.pmod(F.xxhash64("doc_id", F.lit(most)), F.lit(groups)).alias("block")))
+        again = open_.withColumn("cell", F.struct("source", "no_source", F.pmod(F.xxhash64("unit", F.lit(most)), F.lit(groups)).alias("block")))
         flown_again = materialize(again.select("cell", *names).groupBy("cell").applyInArrow(flown(False), fields), "mixing")
         inside = (F.col("prob") > 0) & (F.col("prob") < 1)
         decided.append(flown_again.where(~inside))
         open_ = flown_again.where(inside)
     landed = open_.withColumn("cell", F.struct("source", "no_source")).select("cell", *names).groupBy("cell").applyInArrow(flown(True), fields)
     return functools.reduce(DataFrame.unionByName, [*decided, landed]).select(
-        "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
-        (F.col("base") + F.col("prob").cast("int")).alias("copies"))
+        "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "text_hash", "size", "n_rows", "source_size", "target",
+        (F.col("base") + F.round("prob").cast("long")).alias("copies"))
+
+
+def _times(df: DataFrame, n: str, step: int = 1 << 16) -> DataFrame:
+    """Each row ``n`` times, however often that is: in steps of bounded arrays."""
+    steps = df.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
+    here = F.least(F.lit(step).cast("long"), F.col(n) - F.col("_step") * step)
+    return steps.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop("_step", "_each")
+
+
+def mix_decisions(docs: DataFrame, **params) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (0, 1 or 2)."""
+    told = class_decisions(docs, **params)
+    least, more = F.floor(F.col("copies") / F.col("n_rows")), F.col("copies") % F.col("n_rows")
+    some = F.array(F.struct((F.col("n_rows") - more).alias("n"), least.alias("of_each")), F.struct(more.alias("n"), (least + 1).alias("of_each")))
+    shares = told.select("doc_id", "source", "size", "source_size", "target", F.inline(F.filter(some, lambda x: x["n"] > 0)))
+    return _times(shares, "n").select("doc_id", "source", "size", "source_size", "target", F.col("of_each").cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed documents: each row of ``docs`` as many times as it is taken."""
-    cols = docs.columns
-    told = mix_decisions(docs, **params).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    joined = docs.join(told, docs["doc_id"].eqNullSafe(told["_id"]) & docs["source"].eqNullSafe(told["_source"]))
-    return joined.select(
-        F.struct(*[docs[c] for c in cols]).alias("row"), F.explode(F.sequence(F.lit(1), told["_copies"]))).select("row.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_h"))
+    told = materialize(class_decisions(docs, **params).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("n_rows").alias("_rows"), F.col("copies").alias("_copies")), "taken")
+
+    def joined(told: DataFrame) -> DataFrame:
+        on = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash"))
+        return packed.join(told, on).select("row", "_id", "_source", "_hash", "_rows", "_copies")
+
+    even = joined(told.where("_copies % _rows = 0")).withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")))
+    # equal rows of which only some get one more are numbered
+    odd = with_row_ids(joined(told.where("_copies % _rows <> 0")), "_row")
+    odd = running(odd, ["_id", "_source", "_hash"], ["_row"], {"_place": ("sum", F.lit(1).cast("long"))}, keep=["row", "_rows", "_copies"])
+    odd = odd.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long"))
+    return even.select("row", "_n").unionByName(odd.select("row", "_n")).where("_n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
