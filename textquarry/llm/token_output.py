@@ -65,9 +65,9 @@ def with_parts(docs: DataFrame, n_parts: int, max_ranges: int = 20_000, size: st
         one = docs.groupBy("part_key").agg(F.sum(size).alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         # at most half as many as ranges; from 2^53 on, several ids may be one double
         heavy = [(r["part_key"], min(1 << 20, -(-r["b"] * n_parts // total["b"]))) for r in one.where(
-            (F.col("b") * F.lit(ranges) > F.lit(2 * total["b"])) & F.col("low").eqNullSafe(F.col("high"))).collect()] if total["b"] else []
+            (F.col("b") > F.lit(2 * total["b"] / ranges)) & F.col("low").eqNullSafe(F.col("high"))).collect()] if total["b"] else []
         # a row of twice the mean size counts twice
-        known = docs.select("part_key", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(10_000), F.floor(F.col(size) * total["n"] / max(1, total["b"] or 0)) + 1).cast("int")))).select("part_key")
+        known = docs.select("part_key", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(10_000), F.floor(F.col(size) * F.lit(total["n"] / max(1, total["b"] or 0))) + 1).cast("int")))).select("part_key")
     at = [i / ranges for i in range(ranges + 1)]
     bounds = known.where(F.col("part_key") > LEAST).approxQuantile("part_key", at, 0.2 / ranges)
     edges = {x for k, _ in heavy for x in (k, float(np.nextafter(k, np.inf)))}
