@@ -35,7 +35,6 @@ def test_text_rules(spark):
     assert one(spark, cells.markdown_preview_cell(F.col("x")), "a|b\r\nc ") == ["a\\|b  c "]
     assert one(spark, cells.display_path(F.col("x")), r"\\?\C:\a", r"\\?\UNC\srv\b", "//?/C:/x", "/plain") == [r"C:\a", r"\\srv\b", "C:/x", "/plain"]
     assert one(spark, cells.is_heading(F.col("x")), "# t", "1. Intro", "Chapter two", "第1章", "1. Ends.", "plain", "Section " + "x" * 90) == [True, True, True, True, False, False, False]
-    assert one(spark, cells.natural_key(F.col("x")), "b10")[0] > one(spark, cells.natural_key(F.col("x")), "B9")[0]
 
 
 def test_snippets(spark):
@@ -176,3 +175,39 @@ def test_a_tagged_search_stops(spark):
     t.join(60)
     assert not t.is_alive() and ended
     assert runs.progress(spark)[1] >= 0
+
+
+def test_natural_order(spark):
+    names = ["", "9", "10", "010", "a", "Ą", "ą1", "a2", "A10", "a10b", "b 9", "B 123456789012345678901234567890", "b 123456789012345678901234567891", "Łódź", "lodz 2", "ō", "P", "x007y", "X7z"]
+    got = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").orderBy(cells.natural_key(F.col("n")), "k").collect()
+    assert [r["n"] for r in got] == names
+
+
+def test_a_long_column_is_scanned_in_parts(spark):
+    """The header of a hit far down a column, and of hits in the first row, against a plain walk."""
+    from textquarry.operators import context
+
+    rnd = random.Random(2)
+    grid = {(r, c): f"v{r}.{c}" for r in range(1, 400) for c in range(1, 4) if rnd.random() < (0.05 if r > 20 else 0.7)}
+    rows = [("/f", "f", "S", 0, False, "value", r, c, v, None, None, ["S"]) for (r, c), v in grid.items()]
+    hits_ = spark.createDataFrame([(r * 10 + c, "/f", "S", r, c) for r, c in grid], "id long, full_path string, sheet_name string, row_index long, col_index long")
+    got = {r["id"]: (r["header_row"], r["column_header"]) for r in context.header_context(hits_, spark.createDataFrame(rows, units.UNITS)).collect()}
+    size = {r: sum((r, c) in grid for c in range(1, 4)) for r, _ in grid}
+    first = min(size)
+    for (r, c), v in grid.items():
+        above = [q for q in range(r - 1, 0, -1) if (q, c) in grid]
+        dense = next((q for q in above if size[q] >= 2), None)
+        best = max(above, key=lambda q: (size[q], q), default=None)
+        row = r if r <= first else dense or best or first
+        assert got[r * 10 + c] == (row, grid.get((row, c), "Column " + "ABC"[c - 1])), (r, c)
+
+
+def test_counters_come_from_the_write(spark, tmp_path):
+    from textquarry.operators import report
+
+    matches = spark.range(25).select("id")
+    files = spark.createDataFrame([("a", None), ("b", "broken"), ("b", "again"), ("c", None)], "full_path string, cause string")
+    got = report.written(matches, files, lambda df: df.write.parquet(f"{tmp_path}/out")).first()
+    assert tuple(got) == (3, 2, 1, 25, report.PARTIAL)
+    assert report.written(matches.limit(0), files.where("full_path = 'b'"), lambda df: df.write.parquet(f"{tmp_path}/none")).first()["status"] == report.FAILURE
+    assert tuple(report.written(matches, files.where("cause is null"), lambda df: df.write.format("noop").mode("overwrite").save()).first()) == (2, 2, 0, 25, report.SUCCESS)

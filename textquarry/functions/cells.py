@@ -127,8 +127,18 @@ def target_line(sheet: Column, address: Column, column_header: Column, row_key:
         F.lit(" (Column: "), column_header, F.lit(", Row: "), row_key, F.lit(")"))
 
 
+COLLATION = "UNICODE_CI_AI"
+_UNACCENTED = {"ł": "l", "đ": "d", "ø": "o", "ħ": "h", "ı": "i", "ŧ": "t"}  # letters that aren't made of a letter and a mark
+
+
 def natural_key(text: Column) -> Column:
-    """Sort key: case and accents ignored, runs of digits by value (to 20 digits). An approximation of locale collation."""
-    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    padded = F.regexp_replace(folded, r"([0-9]+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"0*([0-9]{20})(?![0-9])", "$1")
+    """Sort key: pieces of text and runs of digits in turn; text by the root collation without case and accents, digits by value
+    whatever their number: (text, digits without zeros in front: how many, then themselves)."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([^0-9]*)([0-9]*)"), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(p, r"([0-9]*)$", 1), r"^0+(?=[0-9])", "")
+        words = F.translate(F.regexp_replace(p, r"[0-9]+$", ""), "".join([*_UNACCENTED, *map(str.upper, _UNACCENTED)]), "".join([*_UNACCENTED.values()] * 2))
+        return F.struct(F.collate(words, COLLATION).alias("words"), F.length(digits).alias("size"), digits.alias("digits"))
+
+    return F.transform(pieces, piece)

@@ -2,7 +2,7 @@
 
 All are joins, windows and aggregates on units. Hits meet only the cells of their own rows and columns: band joins go over
 exploded neighbour keys, header look-ups over aggregates of the sheets that have hits, whose values are stored once; no sheet
-is gathered.
+and no column is gathered.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import cells
+from textquarry.operators.scan import running
 from textquarry.operators.storage import stored
 
 SHEET = ["full_path", "sheet_name"]
@@ -59,17 +60,13 @@ def header_rows(hits: DataFrame, all_values: DataFrame) -> DataFrame:
     h = hits.select("id", *SHEET, F.col("row_index").alias("hr"), F.col("col_index").alias("hc")).join(edge, SHEET, "left").select(
         "id", *SHEET, "hr", "hc", F.coalesce("first_row", "hr").alias("first_row"), F.coalesce("first_col", "hc").alias("first_col"), "last_col")
     by_col = v.join(filled, [*SHEET, "r"]).select(*SHEET, "r", F.col("c").alias("hc"), "v", "n")
-    # per (sheet, column), rows in order: the last row of two cells or more so far, and the fullest (latest on ties)
-    at = Window.partitionBy(*SHEET, "hc").orderBy("r")
-    ahead = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = by_col.withColumn("dense", F.last(F.when(F.col("n") >= 2, F.struct("r", "v")), ignorenulls=True).over(ahead)).withColumn(
-        "best", F.max(F.struct("n", "r", "v")).over(ahead)).select(*SHEET, "hc", "r", F.lit(None).cast("long").alias("id"), "dense", "best")
-    # as-of: each hit takes what was known at the last row above it
-    asked = h.select(*SHEET, "hc", (F.col("hr") - 1).alias("r"), "id", F.lit(None).cast(known.schema["dense"].dataType).alias("dense"),
-                     F.lit(None).cast(known.schema["best"].dataType).alias("best"))
-    order = Window.partitionBy(*SHEET, "hc").orderBy(F.col("r"), F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = known.unionByName(asked).select(
-        "id", F.last("dense", ignorenulls=True).over(order).alias("dense"), F.last("best", ignorenulls=True).over(order).alias("best")).where("id is not null")
+    # as-of: along each column, cells and then the hits of the next row; a hit takes the last row so far of two cells or more, and the
+    # fullest (latest on ties). A column may be as long as it likes: it is scanned part by part
+    cells_ = by_col.withColumn("_asks", F.lit(0))
+    asked = h.select(*SHEET, "hc", F.col("hr").alias("r"), "id", F.lit(-1).alias("_asks"))  # before the cells of its own row
+    found = running(cells_.unionByName(asked, allowMissingColumns=True), [*SHEET, "hc"], ["r", "_asks", "id"], {
+        "dense": ("last", F.when(F.col("n") >= 2, F.struct("r", "v"))), "best": ("max", F.when(F.col("n").isNotNull(), F.struct("n", "r", "v")))},
+        keep=["id", "_asks"]).where("_asks < 0").select("id", "dense", "best")
     h = h.join(found, "id").withColumn("header_row", F.when(F.col("hr") <= F.col("first_row"), F.col("hr")).otherwise(
         F.coalesce("dense.r", "best.r", "first_row"))).withColumn("header", F.when(F.col("hr") > F.col("first_row"), F.coalesce("dense.v", "best.v")))
     own = v.select(*SHEET, F.col("r").alias("hr"), F.col("c").alias("hc"), F.col("v").alias("own"))

@@ -7,6 +7,7 @@ comments, page addresses are paths. All queries read their whole tables.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -290,14 +291,16 @@ def markdown_cells(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", cells.markdown_cell(F.col("text")).alias("cell"), cells.markdown_preview_cell(F.col("text")).alias("preview"))
 
 
-@_query("natural_order", """WITH n AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey % 5 AS a, o_orderkey * 37 % 1000 AS b FROM orders)
-SELECT row_number() OVER (ORDER BY CASE WHEN k IN (0, 1, 2) THEN 'annee' WHEN k IN (3, 4) THEN 'file' ELSE 'report' END, a, b, o_orderkey) AS place, o_orderkey FROM n""")
+@_query("natural_order", """WITH n AS (SELECT o_orderkey, o_orderkey % 11 AS k, o_orderkey % 5 AS a, o_orderkey * 37 % 1000 AS b, o_orderkey % 4 AS z FROM orders)
+SELECT row_number() OVER (ORDER BY ['annee', 'annee', 'annee', 'file', 'file', 'lodz', 'lodz', 'nguyen', 'nguyen', 'report', 'report'][k + 1], a, CASE z WHEN 3 THEN 1 ELSE 0 END, b, o_orderkey) AS place, o_orderkey FROM n""")
 def natural_order(spark, sf):
-    """Names such as Année 3-12 and file 20-007: in the order of the numbers, whatever their zeros, letters' case and accents."""
+    """Names such as Année 3-12 and Łódź 20-007: in the order of the numbers, however long and whatever their zeros, letters' case and accents."""
     key = F.col("o_orderkey")
-    word = F.get(F.array(*map(F.lit, ("Année", "annee", "ANNÉE", "file", "FILE", "report", "Report"))), (key % 7).cast("int"))
+    word = F.get(F.array(*map(F.lit, ("Année", "annee", "ANNÉE", "file", "FILE", "Łódź", "lodz", "Nguyễn", "NGUYEN", "report", "Report"))), (key % 11).cast("int"))
     number = (key * 37 % 1000).cast("string")
-    name = F.concat(word, F.lit(" "), (key % 5).cast("string"), F.lit("-"), F.when(key % 3 == 0, F.lpad(number, 6, "0")).otherwise(number))
+    # every fourth number has 30 digits
+    number = F.when(key % 4 == 3, F.concat(F.lit("123456789012345678901234567"), F.lpad(number, 3, "0"))).when(key % 3 == 0, F.lpad(number, 26, "0")).otherwise(number)
+    name = F.concat(word, F.lit(" "), (key % 5).cast("string"), F.lit("-"), number)
     return storage.number_rows(_table(spark, sf, "orders").select("o_orderkey", cells.natural_key(name).alias("k")), ["k", "o_orderkey"], "place").select("place", "o_orderkey")
 
 
@@ -446,12 +449,28 @@ def result_text(spark, sf):
     return search.result_text(search.search(document_units(spark, sf), SearchRequest("thatin")), "thatin", 40)
 
 
-@_query("report_counts", f"""WITH {_PARAS} SELECT (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE n_chars >= 200 OR n_chars IS NULL) AS readable, (SELECT count(*) FROM documents WHERE n_chars < 200) AS failed,
-(SELECT count(*) FROM u WHERE contains(lower(text), 'tion')) AS matches, 1 AS status""")
+@_query("report_counts", f"""WITH {_PARAS}, s AS (SELECT coalesce(source, '') AS src, count(*) AS discovered, count(*) FILTER (n_chars < CASE WHEN source = 'src0' THEN 0 WHEN source = 'src1' THEN 1000000 ELSE 200 END) AS failed FROM documents GROUP BY 1),
+m AS (SELECT split_part(full_path, '/', 1) AS src, count(*) AS matches FROM u WHERE contains(lower(text), 'tion') GROUP BY 1)
+SELECT src, discovered, discovered - failed AS readable, failed, coalesce(matches, 0)::BIGINT AS matches, CASE WHEN failed = discovered THEN 2 WHEN failed > 0 THEN 1 ELSE 0 END AS status FROM s LEFT JOIN m USING (src)""")
 def report_counts(spark, sf):
-    """Counters and exit status; short documents stand for files with issues."""
+    """Counters and exit status of each source; short documents stand for files with issues: in one source none, in another all of them."""
+    source = F.coalesce("source", F.lit(""))
+    docs = _table(spark, sf, "documents").select(source.alias("src"), F.concat(source, F.lit("/"), F.col("doc_id"), F.lit(".docx")).alias("full_path"), "n_chars")
+    short = F.col("n_chars") < F.when(F.col("src") == "src0", 0).when(F.col("src") == "src1", 1_000_000).otherwise(200)
+    found = search.hits(document_units(spark, sf), SearchRequest("tion")).withColumn("src", F.substring_index("full_path", "/", 1))
+    return report.counts(docs, found, docs.where(short), by=["src"])
+
+
+@_query("observed_counts", f"""WITH {_PARAS} SELECT (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE n_chars >= 200 OR n_chars IS NULL) AS readable, (SELECT count(*) FROM documents WHERE n_chars < 200) AS failed,
+(SELECT count(*) FROM u WHERE contains(lower(text), 'thanedble')) AS matches, 1 AS status, (SELECT count(*) FROM u WHERE contains(lower(text), 'thanedble')) AS rows_written""")
+def observed_counts(spark, sf):
+    """The counters of a search come from the write of its matches, which runs once; the rows it wrote are counted beside them."""
     docs = _table(spark, sf, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id"), F.lit(".docx")).alias("full_path"), "n_chars")
-    return report.counts(docs, search.hits(document_units(spark, sf), SearchRequest("tion")), docs.where("n_chars < 200"))
+    found = search.project(search.hits(document_units(spark, sf), SearchRequest("thanedble")))
+    files = docs.select("full_path", F.when(F.col("n_chars") < 200, "short").alias("cause"))
+    target = f"{storage.stored_dir(spark)}/observed-{uuid.uuid4().hex}"
+    counted = report.written(found, files, lambda df: df.write.parquet(target))
+    return counted.crossJoin(spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows_written")))  # one row each
 
 
 @_query("issue_dedup", """SELECT path, code, ts, event_id FROM (SELECT 'user/' || user_id AS path, event_type AS code, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
