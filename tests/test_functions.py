@@ -211,3 +211,19 @@ def test_counters_come_from_the_write(spark, tmp_path):
     assert tuple(got) == (3, 2, 1, 25, report.PARTIAL)
     assert report.written(matches.limit(0), files.where("full_path = 'b'"), lambda df: df.write.parquet(f"{tmp_path}/none")).first()["status"] == report.FAILURE
     assert tuple(report.written(matches, files.where("cause is null"), lambda df: df.write.format("noop").mode("overwrite").save()).first()) == (2, 2, 0, 25, report.SUCCESS)
+
+
+def test_positions_where_lower_casing_changes_a_length(spark):
+    def span(text, word):
+        low, at = text.lower(), text.lower().find(word.lower())
+        ends = [len(text[: k + 1].lower()) for k in range(len(text))]
+        first = sum(e < at + 1 for e in ends)
+        return first + 1, sum(e - len(c.lower()) < at + len(word.lower()) for e, c in zip(ends, text)) - first
+
+    texts = ["İİ needle", "needle İ", "xİneedleİ", "🙂İ NEEDLE", "no İ but needle İ needle", "plain needle"]
+    u = spark.createDataFrame([("/f", "f", "Word", 0, False, "word", k, 0, t, None, None, ["Word"]) for k, t in enumerate(texts)], units.UNITS)
+    for word in ("needle", "e İ", "İ", "i\u0307"):
+        got = {r["row_index"]: (r["hit_pos"], r["hit_len"]) for r in hits(u, SearchRequest(word)).collect()}
+        assert got == {k: span(t, word) for k, t in enumerate(texts) if word.lower() in t.lower()}, word
+    shown = project(hits(u, SearchRequest("needle"))).where("row_index = 0").first()["snippet"]
+    assert shown == "İİ " + matching.MARK_OPEN + "needle" + matching.MARK_CLOSE

@@ -1,7 +1,7 @@
 """Match predicates and snippets as column expressions.
 
-Positions are 1-based and count characters; 0 means no match. A case-insensitive literal compares lower-cased text, so its
-position is one in the lower-cased text (they differ only where lower-casing changes a text's length) and is clamped to it.
+Positions are 1-based and count characters; 0 means no match. A case-insensitive literal compares lower-cased text; where lower-casing
+changes a text's length, ``original_span`` leads back to the characters that were lower-cased.
 """
 
 from __future__ import annotations
@@ -42,6 +42,22 @@ def literal_position(text: Column, keyword: str, match_case: bool = False) -> Co
     return F.call_function("locate", F.lower(F.lit(keyword)), F.lower(text))
 
 
+def original_span(text: Column, position: Column, length: Column) -> Column:
+    """struct(hit_pos, hit_len) in ``text`` of a span of the lower-cased text: the characters that it came from, in whole.
+
+    Only a text whose length changes is taken apart: running sums of its characters' lower-cased lengths say where each of them went.
+    """
+    sizes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.length(F.lower(c)))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("end"), zero.alias("before"), zero.alias("upto"))
+    last = (position + length - 1).cast("int")
+    told = F.aggregate(sizes, start, lambda a, n: F.struct(
+        (a["end"] + n).alias("end"), (a["before"] + (a["end"] + n < position).cast("int")).alias("before"), (a["upto"] + (a["end"] < last).cast("int")).alias("upto")),
+        lambda a: F.struct((a["before"] + 1).alias("hit_pos"), (a["upto"] - a["before"]).alias("hit_len")))
+    same = F.struct(position.cast("int").alias("hit_pos"), length.cast("int").alias("hit_len"))
+    return F.when(F.length(F.lower(text)) == F.length(text), same).otherwise(told)
+
+
 def regex_position(text: Column, pattern: str, match_case: bool = False) -> Column:
     return F.regexp_instr(text, F.lit(java_pattern(pattern, match_case)))
 

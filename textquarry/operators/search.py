@@ -56,7 +56,11 @@ def hits(units: DataFrame, request: SearchRequest) -> DataFrame:
         pos = matching.regex_position(text, request.keyword, request.match_case)
         return rows.withColumn("hit_pos", F.greatest(pos, F.lit(1))).withColumn("hit_len", F.length(hit))
     pos = matching.literal_position(text, request.keyword, request.match_case)
-    return rows.withColumn("hit_pos", pos).where(F.col("hit_pos") > 0).withColumn("hit_len", F.lit(len(request.keyword)))
+    found = rows.withColumn("hit_pos", pos).where(F.col("hit_pos") > 0)
+    if request.match_case:
+        return found.withColumn("hit_len", F.lit(len(request.keyword)))
+    spans = found.withColumn("_span", matching.original_span(text, F.col("hit_pos"), F.length(F.lower(F.lit(request.keyword)))))
+    return spans.withColumn("hit_pos", F.col("_span.hit_pos")).withColumn("hit_len", F.col("_span.hit_len")).drop("_span")
 
 
 def match_type() -> Column:

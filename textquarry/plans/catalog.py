@@ -125,6 +125,18 @@ def regex_any_case(spark, sf):
     return search.hits(document_units(spark, sf), SearchRequest("CIÓN(ue|OS) [a-z]", is_regex=True)).select("full_path", "row_index")
 
 
+@_query("folded_positions", f"""WITH {_PARAS}, t AS (SELECT full_path, row_index, replace(replace(text, 'on ', 'İn '), 'The', 'TİİE') AS text FROM u), h AS (
+  SELECT *, instr(lower(replace(text, 'İ', '_')), 'er ') AS p FROM t WHERE contains(lower(replace(text, 'İ', '_')), 'er '))
+SELECT full_path, row_index, p AS hit_pos, 3::BIGINT AS hit_len, substr(text, p, 3) AS hit FROM h""")
+def folded_positions(spark, sf):
+    """Hits behind letters that become two when they are lower-cased lie in the text as it is."""
+    u = document_units(spark, sf)
+    u = u.withColumn("text", F.replace(F.replace("text", F.lit("on "), F.lit("İn ")), F.lit("The"), F.lit("TİİE")))
+    found = search.hits(u, SearchRequest("ER "))
+    return found.select("full_path", "row_index", F.col("hit_pos").cast("long").alias("hit_pos"), F.col("hit_len").cast("long").alias("hit_len"),
+                        F.substring(F.col("text"), F.col("hit_pos"), F.col("hit_len")).alias("hit"))
+
+
 _DIALECT = r"(?P<stem>[[:alpha:]]{3,})(?P<end>ing|tion)[[:punct:]][[:space:]]+([[:upper:]]|th)[[:^digit:]]"
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textquarry.functions.patterns import PathFilter
+from textquarry.operators.shipping import ship_package
 from textquarry.operators.units import UNITS
 
 PART_LIMIT, KIND_LIMIT = 50 << 20, 200 << 20  # of drawings and comments of workbooks only
@@ -337,6 +338,7 @@ def units_and_issues(spark: SparkSession, roots: str | list[str], wanted: PathFi
     Issues (full_path, stage, cause): of files; of roots that can't be read (stage ``root``); of pattern lists that can't be read,
     which let every file pass (their field as path and stage).
     """
+    ship_package(spark)
     good, bad = checked_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     wanted, lists = wanted.checked()
     other = [(r, "root", c) for r, c in bad] + [(f, f, c) for f, c in lists]
