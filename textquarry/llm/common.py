@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators.storage import clear_stored, discard, scratch, shared_dir, stored_dir  # noqa: F401
-from textquarry.operators.storage import stored as materialize  # noqa: F401
+from textquarry.operators.shipping import ship_package
+from textquarry.operators.storage import clear_stored, discard, scratch, shared_dir, stored, stored_dir  # noqa: F401
 
 U64 = np.uint64
 
@@ -20,23 +16,10 @@ U64 = np.uint64
 # ---------------------------------------------------------------- session
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started from."""
-    sc = spark.sparkContext
-    if getattr(sc, "_textquarry_shipped", False):
-        return
-    import textquarry
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(textquarry.__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="textquarry-"), "textquarry_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "textquarry")):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(target)
-    sc._textquarry_shipped = True
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stored table; its Python workers get the package first, wherever the caller's frames come from."""
+    ship_package(df.sparkSession)
+    return stored(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -239,5 +222,6 @@ def replacing(docs: DataFrame, **new: str) -> tuple[DataFrame, "StructType"]:
     """(docs without columns of the new names, its schema with them appended): added columns replace clashing ones."""
     from pyspark.sql.types import StructType
 
+    ship_package(docs.sparkSession)
     rest = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in new}])
     return rest, StructType(list(rest.schema.fields) + StructType.fromDDL(", ".join(f"{k} {v}" for k, v in new.items())).fields)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialize, replacing, runs_of_docs, string_buffers, table, tidy, word_spans
+from textquarry.llm.common import replacing, runs_of_docs, ship_package, string_buffers, table, tidy, word_spans
 from textquarry.operators.scan import running, with_row_ids
 
 DEFAULTS = {"n_buckets": 10_000, "order": 1, "block_bytes": 4 << 20, "fan_in": 64, "least_words": 20, "percent": 10, "seed": 2024}
@@ -105,6 +105,7 @@ def _blocks(column: pa.Array, p: dict):
 def bucket_counts(docs: DataFrame, col: str = "text", **params) -> np.ndarray:
     """Features in each bucket, over all of ``docs``."""
     p = DEFAULTS | params
+    ship_package(docs.sparkSession)
 
     def count(batches):
         total = np.zeros(p["n_buckets"], np.int64)

@@ -277,11 +277,14 @@ def mix(docs: DataFrame, **params) -> DataFrame:
         return packed.join(told, on).select("row", "_id", "_source", "_hash", "_rows", "_copies")
 
     even = joined(told.where("_copies % _rows = 0")).withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")))
+    once = lambda df: df.where("_n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("row.*")
+    if not told.where("_copies % _rows <> 0").limit(1).count():
+        return once(even)
     # equal rows of which only some get one more are numbered
     odd = with_row_ids(joined(told.where("_copies % _rows <> 0")), "_row")
     odd = running(odd, ["_id", "_source", "_hash"], ["_row"], {"_place": ("sum", F.lit(1).cast("long"))}, keep=["row", "_rows", "_copies"])
     odd = odd.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long"))
-    return even.select("row", "_n").unionByName(odd.select("row", "_n")).where("_n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("row.*")
+    return once(even.select("row", "_n").unionByName(odd.select("row", "_n")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
