@@ -8,7 +8,7 @@ format in ``rans``: interleaved lanes, checkpoints, checksums. Blocks hold whole
 File format
     A Parquet folder written by Spark's committer, one row per block: part, block, part_offset (ids of the part before
     the block), n_tokens, doc_ids and lengths (little-endian int64, zlib), payload (the coded block), and on a part's
-    first block freq (the shared table, little-endian uint32, zlib). Ascending (part, block) is ascending doc_id.
+    first block freq (the shared table, little-endian uint32, zlib). Its folder _starts has the ids before each part. Ascending (part, block) is ascending doc_id.
 
 Defined cases
     A null or empty text is the end id alone. The text of an added token, as ``<|endoftext|>``, is that token, wherever it stands, as in the
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import rans
-from textquarry.llm.common import checked_broadcast, discard, materialize, runs_of_docs, stored_dir, string_buffers, table, tidy, tidy_group
+from textquarry.llm.common import checked_broadcast, discard, materialize, runs_of_docs, scratch, stored_dir, string_buffers, table, tidy, tidy_group
 from textquarry.operators.scan import running
 
 DEFAULTS = {"end_id": 0, "part_bytes": 8 << 20, "max_ranges": 20_000, "block_tokens": 1 << 20, "read_block": 1_000_000}
@@ -189,6 +189,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, n_ids: int, **param
         tidy_group(encode), "part long, block int, part_offset long, n_tokens long, doc_ids binary, lengths binary, payload binary, freq binary")
     blocks.write.option("compression", "none").parquet(path)
     discard(tokens)
+    spark = docs.sparkSession
+    with scratch():  # ids before each part, any number of parts
+        totals = materialize(spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")), "part-sizes")
+        starts = running(totals, [], ["part"], {"upto": ("sum", F.col("n"))}).select("part", (F.col("upto") - F.col("n")).alias("part_start"))
+        starts.write.parquet(f"{path}/_starts")
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -196,11 +201,9 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     blocks = spark.read.parquet(path)
     table_row = blocks.where(F.col("freq").isNotNull()).select("freq").limit(1).collect()
     freq = spark.sparkContext.broadcast(table_row[0]["freq"] if table_row else b"")  # bounded by the vocabulary
-    # ids before each part, any number of them
-    totals = materialize(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")), "part-sizes")
-    begin = running(totals, [], ["part"], {"upto": ("sum", F.col("n"))}).select("part", (F.col("upto") - F.col("n")).alias("part_start"))
+    begin = spark.read.schema("part long, part_start long").parquet(f"{path}/_starts")
     # a row of 16 bytes per part
-    few = totals.count() <= MAX_BROADCAST_PARTS
+    few = begin.count() <= MAX_BROADCAST_PARTS
 
     def decode(batches):
         coder = None
