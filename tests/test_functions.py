@@ -183,10 +183,12 @@ def test_natural_order(spark):
     assert [r["n"] for r in got] == names
 
 
-def test_a_long_column_is_scanned_in_parts(spark):
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_a_long_column_is_scanned_in_blocks(spark, monkeypatch, block):
     """The header of a hit far down a column, and of hits in the first row, against a plain walk."""
     from textquarry.operators import context
 
+    monkeypatch.setattr(context, "BLOCK_ROWS", block)
     rnd = random.Random(2)
     grid = {(r, c): f"v{r}.{c}" for r in range(1, 400) for c in range(1, 4) if rnd.random() < (0.05 if r > 20 else 0.7)}
     rows = [("/f", "f", "S", 0, False, "value", r, c, v, None, None, ["S"]) for (r, c), v in grid.items()]

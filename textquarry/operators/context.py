@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import cells
-from textquarry.operators.scan import running
 from textquarry.operators.storage import stored
 
 SHEET = ["full_path", "sheet_name"]
 PREVIEW_ROWS, PREVIEW_COLS = 3, 2
 WINDOW_DEFAULT, WINDOW_MIN, WINDOW_MAX = 5, 1, 20
+BLOCK_ROWS = 1 << 16  # rows of a column in one window
 
 
 def values(units: DataFrame) -> DataFrame:
@@ -55,29 +55,28 @@ def header_rows(hits: DataFrame, all_values: DataFrame) -> DataFrame:
     the hit in its row; else in the sheet's first row; else the first column.
     """
     v = all_values.where(cells.trim_unicode(F.col("v")) != "")
-    edge = v.groupBy(*SHEET).agg(F.min("r").alias("first_row"), F.min("c").alias("first_col"), F.max("c").alias("last_col"))
-    filled = v.groupBy(*SHEET, "r").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(v.groupBy(*SHEET, "r").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("left")), "sheet-rows")
+    edge = rows.groupBy(*SHEET).agg(F.min("r").alias("first_row"), F.min("left").alias("first_col"), F.min_by("left", "r").alias("top_left"))
     h = hits.select("id", *SHEET, F.col("row_index").alias("hr"), F.col("col_index").alias("hc")).join(edge, SHEET, "left").select(
-        "id", *SHEET, "hr", "hc", F.coalesce("first_row", "hr").alias("first_row"), F.coalesce("first_col", "hc").alias("first_col"), "last_col")
-    by_col = v.join(filled, [*SHEET, "r"]).select(*SHEET, "r", F.col("c").alias("hc"), "v", "n")
-    # as-of: along each column, cells and then the hits of the next row; a hit takes the last row so far of two cells or more, and the
-    # fullest (latest on ties). A column may be as long as it likes: it is scanned part by part
-    cells_ = by_col.withColumn("_asks", F.lit(0))
-    asked = h.select(*SHEET, "hc", F.col("hr").alias("r"), "id", F.lit(-1).alias("_asks"))  # before the cells of its own row
-    found = running(cells_.unionByName(asked, allowMissingColumns=True), [*SHEET, "hc"], ["r", "_asks", "id"], {
-        "dense": ("last", F.when(F.col("n") >= 2, F.struct("r", "v"))), "best": ("max", F.when(F.col("n").isNotNull(), F.struct("n", "r", "v")))},
-        keep=["id", "_asks"]).where("_asks < 0").select("id", "dense", "best")
-    h = h.join(found, "id").withColumn("header_row", F.when(F.col("hr") <= F.col("first_row"), F.col("hr")).otherwise(
-        F.coalesce("dense.r", "best.r", "first_row"))).withColumn("header", F.when(F.col("hr") > F.col("first_row"), F.coalesce("dense.v", "best.v")))
-    own = v.select(*SHEET, F.col("r").alias("hr"), F.col("c").alias("hc"), F.col("v").alias("own"))
-    h = h.join(own, [*SHEET, "hr", "hc"], "left").withColumn("header", F.when(F.col("hr") <= F.col("first_row"), F.col("own")).otherwise(F.col("header"))).drop("own")
-    left = v.groupBy(*SHEET, "r").agg(F.min(F.struct("c", "v")).alias("k"))
-    h = h.join(left.select(*SHEET, F.col("r").alias("hr"), F.col("k").alias("own_key")), [*SHEET, "hr"], "left").join(
-        left.select(*SHEET, F.col("r").alias("first_row"), F.col("k").alias("top_key")), [*SHEET, "first_row"], "left")
-    own_key = F.when(F.col("own_key.c") < F.col("hc"), F.col("own_key.c"))
-    top_key = F.when(F.col("top_key.c") < F.col("hc"), F.col("top_key.c"))
-    key = F.when(F.col("hc") <= F.col("first_col"), F.col("hc")).otherwise(F.coalesce(own_key, top_key, F.col("first_col")))
-    h = h.withColumn("key_col", key)
+        "id", *SHEET, "hr", "hc", F.coalesce("first_row", "hr").alias("first_row"), F.coalesce("first_col", "hc").alias("first_col"), "top_left")
+    # as-of: along each column with hits, the cells above a hit: the last row of two cells or more, or the last at all (where no row has
+    # two, all are as full). Rows go in blocks, so a window holds a block of a column; one row per block carries what lies above it
+    in_columns = v.select(*SHEET, F.col("c").alias("hc"), "r").join(hits.select(*SHEET, F.col("col_index").alias("hc")).distinct(), [*SHEET, "hc"], "left_semi")
+    cells_ = in_columns.join(rows.select(*SHEET, "r", "n"), [*SHEET, "r"]).withColumn("_asks", F.lit(0))
+    asked = h.withColumn("r", F.col("hr")).withColumn("_asks", F.lit(-1))  # before the cells of its own row
+    along = asked.unionByName(cells_, allowMissingColumns=True).select("*", F.floor(F.col("r") / BLOCK_ROWS).alias("block"))
+    seen = {"dense": F.when(F.col("n") >= 2, F.col("r")), "any": F.when(F.col("n").isNotNull(), F.col("r"))}
+    block = [*SHEET, "hc", "block"]
+    above = Window.partitionBy(*SHEET, "hc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = along.groupBy(*block).agg(*[F.max(c).alias(x) for x, c in seen.items()]).select(*block, *[F.max(x).over(above).alias(f"{x}_above") for x in seen])
+    inside = Window.partitionBy(*block).orderBy("r", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    h = along.select(*h.columns, "block", "_asks", *[F.max(c).over(inside).alias(x) for x, c in seen.items()]).where("_asks < 0").join(carried, block, "left")
+    h = h.select(*asked.drop("r", "_asks").columns, *[F.coalesce(x, f"{x}_above").alias(x) for x in seen])
+    h = h.withColumn("header_row", F.when(F.col("hr") <= F.col("first_row"), F.col("hr")).otherwise(F.coalesce("dense", "any", "first_row")))
+    h = h.join(v.select(*SHEET, F.col("r").alias("header_row"), F.col("c").alias("hc"), F.col("v").alias("header")), [*SHEET, "header_row", "hc"], "left")
+    h = h.join(rows.select(*SHEET, F.col("r").alias("hr"), F.col("left").alias("own_left")), [*SHEET, "hr"], "left")
+    left = [F.when(F.col(c) < F.col("hc"), F.col(c)) for c in ("own_left", "top_left")]
+    h = h.withColumn("key_col", F.when(F.col("hc") <= F.col("first_col"), F.col("hc")).otherwise(F.coalesce(*left, F.col("first_col"))))
     key_cell = v.select(*SHEET, F.col("r").alias("hr"), F.col("c").alias("key_col"), F.col("v").alias("key_text"))
     return h.join(key_cell, [*SHEET, "hr", "key_col"], "left").select(
         "id", "header_row", "key_col", F.coalesce("header", F.concat(F.lit(cells.COLUMN_PREFIX), cells.column_name(F.col("hc") - 1))).alias("column_header"),

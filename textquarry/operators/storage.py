@@ -84,11 +84,14 @@ def number_rows(df: DataFrame, order: list[Column | str], column: str = "id") ->
     """``df`` with 1..N in ``order`` as ``column``, without bringing all rows to one task.
 
     The rows are stored first, since a range shuffle reads its input twice (it samples); then it sorts, each partition numbers its own rows; the partitions' counts (one small row each) give the offsets.
+    Only the sorted rows stay stored.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = stored(df, "unnumbered").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    unnumbered = stored(df, "unnumbered")
+    dealt = unnumbered.repartitionByRange(n, *order).sortWithinPartitions(*order)
     dealt = stored(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    discard(unnumbered)
     counts = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for part, rows in counts:
