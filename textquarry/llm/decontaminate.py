@@ -11,8 +11,9 @@ An item of fewer than 7 words, too short for the masks, is looked for as an exac
 
 Documents are read twice: once for seeds, then those with an alignment for its check. Seeds stream through one generated
 stage into the join, none is shuffled while the benchmark's seeds are counted to be under ``broadcast_rows``; beyond that the join
-shuffles. Likewise for the ids of the documents to check, and for the items' words, which are counted in bytes as well. Short items
-cost one more read, only where the benchmark has some.
+shuffles. Likewise for the ids of the documents to check, and for the items' words, which are counted in bytes as well. Alignments
+that share fewer words than a window are dropped before they are stored; of a document only the aligned words go beyond its own join.
+Short items cost one more read, only where the benchmark has some.
 
 Defined cases
     A null text has no words. An item of one word is found wherever that word stands. Rows that share a doc_id count as one
@@ -71,23 +72,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """(doc_id, item_id, doc_word, n_equal): overlapping pairs, with the first word of the first such window in the document
     and the greatest number of equal words on one alignment that has such a window."""
     p = DEFAULTS | params
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= LEAST).distinct()
-    item_seeds = seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = seeds(texts, "doc_id").join(checked_broadcast(item_seeds, p["broadcast_rows"]), "seed").select(
-        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= LEAST).distinct().withColumn("m", F.size("w"))
+    item_seeds = seeds(items, "item_id", "m").select("item_id", "m", F.col("pos").alias("item_pos"), "seed").distinct()
+    texts = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    # the aligned words are those from lo to hi of the item, from lo + shift of the document
+    lo = F.greatest(F.lit(0), -F.col("shift"))
+    hi = F.least(F.col("m"), F.col("n") - F.col("shift"))
+    size = F.least(F.lit(WINDOW), F.col("m"))
+    hits = seeds(texts, "doc_id", "n").join(checked_broadcast(item_seeds, p["broadcast_rows"]), "seed").select(
+        "doc_id", "n", "item_id", "m", (F.col("pos") - F.col("item_pos")).alias("shift")).where(hi - lo >= size).distinct()
     hits = materialize(hits, "alignments")
     ids = hits.select(F.col("doc_id").alias("hit_id")).distinct()
     check = texts.join(checked_broadcast(ids, p["broadcast_rows"]), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-    h = hits.select(F.col("doc_id").alias("hit_id"), F.col("item_id").alias("hit_item"), "shift")
-    pairs = check.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id"))).join(
-        checked_broadcast(items.select("item_id", F.col("w").alias("b"), F.octet_length(F.concat_ws(" ", "w")).alias("n_bytes")), p["broadcast_rows"], "n_bytes"), F.col("item_id").eqNullSafe(F.col("hit_item")))
-    lo = F.greatest(F.lit(0), -F.col("shift"))
-    hi = F.least(F.size("b"), F.size("w") - F.col("shift"))
-    size = F.least(F.lit(WINDOW), F.size("b"))
-    ranged = pairs.select("doc_id", "item_id", "shift", "w", "b", lo.alias("lo"), hi.alias("hi"), size.alias("size")).where(F.col("hi") - F.col("lo") >= F.col("size"))
-    equal = ranged.withColumn("eq", F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda k: (
-        F.get("w", k + F.col("shift")) == F.get("b", k)).cast("int")))
+    h = hits.select(F.col("doc_id").alias("hit_id"), F.col("n").alias("hit_n"), F.col("item_id").alias("hit_item"), F.col("m").alias("hit_m"), "shift", lo.alias("lo"), (hi - lo).alias("len"), size.alias("size"))
+    # of a document only the aligned words go on
+    parts = check.join(h, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("n") == F.col("hit_n"))).select(
+        "doc_id", "hit_item", "hit_m", "shift", "lo", "len", "size", F.slice("w", F.col("lo") + F.col("shift") + 1, F.col("len")).alias("part"))
+    pairs = parts.join(
+        checked_broadcast(items.select("item_id", "m", F.col("w").alias("b"), F.octet_length(F.concat_ws(" ", "w")).alias("n_bytes")), p["broadcast_rows"], "n_bytes"),
+        F.col("item_id").eqNullSafe(F.col("hit_item")) & (F.col("m") == F.col("hit_m")))
+    equal = pairs.select("doc_id", "item_id", "shift", "lo", "size", F.zip_with("part", F.slice("b", F.col("lo") + 1, F.col("len")), lambda x, y: (x == y).cast("int")).alias("eq"))
     starts = F.filter(F.sequence(F.lit(0), F.size("eq") - F.col("size")), lambda s: F.aggregate(
         F.slice("eq", s + 1, F.col("size")), F.lit(0), lambda a, x: a + x) >= F.col("size") - allowed(F.col("size")))
     good = equal.select(
