@@ -12,7 +12,7 @@ from textquarry.operators import context, units
 from textquarry.operators import search as search_ops
 from textquarry.operators.search import SearchRequest, search
 from textquarry.sinks import export
-from textquarry.sources.office import checked_roots, parse, units_and_issues
+from textquarry.sources.office import checked_roots, parse, units_and_issues, units_of_tree
 from textquarry.streaming.incremental import arriving_units, search_stream, write_matches
 
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -112,8 +112,8 @@ def test_large_parts_are_read_whole(spark, tmp_path):
 
 
 def matches(spark):
-    rows = [("/f/a.xlsx", "a.xlsx", "S", 0, False, "value", 2, 2, " Line 1\nLine 2\r\nLine 3 ", "A\n1", None, ["S"]),
-            ("/f/b.docx", "b.docx", "Word", 0, False, "word", 3, 0, 'Line "q", 猫', None, None, ["Word"])]
+    rows = [("/f/a.xlsx", "a.xlsx", "S", 0, False, "value", 2, 2, " sow in line\n\nwater \r\nwait ", "B\r7", None, ["S"]),
+            ("/f/b.docx", "b.docx", "Word", 0, False, "word", 3, 0, 'straight line, "weir" 畑', None, None, ["Word"])]
     return search(spark.createDataFrame(rows, units.UNITS), SearchRequest("line"))
 
 
@@ -123,16 +123,16 @@ def test_csv_json_and_xlsx(spark, tmp_path):
     raw = (tmp_path / "o.csv").read_bytes()
     assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\n") == 3
     rows = list(csv.reader(raw.decode("utf-8-sig").splitlines()))
-    assert rows[0][1] == "ファイル名" and rows[1][6:] == ["値", "Line 1 Line 2 Line 3", "A 1"] and rows[2][7] == 'Line "q", 猫'
+    assert rows[0][1] == "ファイル名" and rows[1][6:] == ["値", "sow in line  water  wait", "B 7"] and rows[2][7] == 'straight line, "weir" 畑'
     export.write_json(m, str(tmp_path / "o.json"))
     got = json.loads((tmp_path / "o.json").read_text())
-    assert got["total_matches"] == 2 and got["matches"][1]["full_content"] == 'Line "q", 猫' and "formula" not in got["matches"][1]
+    assert got["total_matches"] == 2 and got["matches"][1]["full_content"] == 'straight line, "weir" 畑' and "formula" not in got["matches"][1]
     export.write_json(m.where("id < 0"), str(tmp_path / "e.json"))
     assert json.loads((tmp_path / "e.json").read_text()) == {"total_matches": 0, "matches": []}
     export.write_xlsx(m, str(tmp_path / "o.xlsx"))
     back = [r for r in parse("/o.xlsx", (tmp_path / "o.xlsx").read_bytes())]
     assert [r["text"] for r in back if r["row_index"] == 1][:2] == ["ID", "File name"]
-    assert [r["text"] for r in back if r["col_index"] == 8][1] == " Line 1\nLine 2\r\nLine 3 ".replace("\r\n", "\n")
+    assert [r["text"] for r in back if r["col_index"] == 8][1] == " sow in line\n\nwater \r\nwait ".replace("\r\n", "\n")
     export.write_json_lines(m, str(tmp_path / "lines"))
     export.write_csv_parts(m, str(tmp_path / "parts"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
@@ -200,8 +200,8 @@ def test_pages_of_a_sheet(spark):
 def test_result_texts(spark):
     m = matches(spark)
     text = search_ops.result_text(m, "line").collect()[0]["result_text"]
-    assert text.startswith("Found 2 match(es):\n\n- File: /f/a.xlsx\n  Sheet: S\n  Cell: B2 (Row 2, Col 2)\n  Type: CellValue\n  Content: Line 1\nLine 2\r\nLine 3\n  Snippet: ")
-    assert "  Formula: A\n1\n" in text
+    assert text.startswith("Found 2 match(es):\n\n- File: /f/a.xlsx\n  Sheet: S\n  Cell: B2 (Row 2, Col 2)\n  Type: CellValue\n  Content: sow in line\n\nwater \r\nwait\n  Snippet: ")
+    assert "  Formula: B\r7\n" in text
     assert search_ops.result_text(m, "line", 1).collect()[0]["result_text"].startswith("Found 2 matches (truncated to maximum 1 results):\n\n- File: /f/a.xlsx")
     assert search_ops.result_text(m.where("id < 0"), "line").collect()[0]["result_text"] == "No matches found for query: 'line'."
 
@@ -299,3 +299,44 @@ def test_stream_with_a_bounded_state(spark, tmp_path):
 def test_heading_before(spark):
     u = units.paragraph_units(spark.createDataFrame([("d", "# Top\ntext\n1. Part\nmore")], "k string, t string"), F.col("k"), F.col("k"), F.col("t"))
     assert [r["section"] for r in context.headings_before(u).orderBy("row_index").collect()] == ["Document Section", "# Top", "# Top", "1. Part"]
+
+
+def test_units_of_a_listed_tree(spark, tmp_path):
+    """Names that Spark's reader skips, links, two names of a file, ignored folders, an explicit lock file, damage and missing roots."""
+    root = tmp_path / "in"
+    for folder in ("a/b", "_under", ".dot", "skip/more"):
+        (root / folder).mkdir(parents=True)
+    workbook(root / "a/one.xlsx")
+    for name in ("_under/_u.xlsx", "skip/more/in.xlsx", "a/~$lock.xlsx"):
+        workbook(root / name)
+    document(root / ".dot/.d.docx")
+    (root / "a/b/broken.xlsx").write_bytes(b"no archive")
+    os.link(root / "a/one.xlsx", root / "a/two.xlsx")
+    os.symlink(root / "a", root / "link")
+    workbook(tmp_path / "~$named.xlsx")
+    roots, wanted = [str(root), str(tmp_path / "~$named.xlsx"), str(tmp_path / "none"), str(root / "a")], PathFilter(ignore="skip/", extensions=ALL_EXTENSIONS)
+    u, issues = units_of_tree(spark, roots, wanted)
+    by_file = {os.path.relpath(r["full_path"], tmp_path): r["count"] for r in u.groupBy("full_path").count().collect()}
+    each = len([r for r in parse("/x.xlsx", (root / "a/one.xlsx").read_bytes()) if "issue" not in r])
+    text = len(parse("/x.docx", (root / ".dot/.d.docx").read_bytes()))
+    assert by_file == {"in/a/one.xlsx": each, "in/_under/_u.xlsx": each, "in/.dot/.d.docx": text, "~$named.xlsx": each}
+    told = {(os.path.relpath(r["full_path"], tmp_path), r["stage"]) for r in issues.collect()}
+    assert told == {("in/a/b/broken.xlsx", "workbook"), ("none", "root")}
+    both = units_of_tree(spark, [str(root / "a")], wanted, once=False)[0]
+    assert sorted(r[0].rpartition("/")[2] for r in both.select("full_path").distinct().collect()) == ["one.xlsx", "two.xlsx"]
+    found = search(u, SearchRequest("needle", hidden_sheets=True)).groupBy("file_name").count().collect()
+    assert {r["file_name"] for r in found} == {"one.xlsx", "_u.xlsx", ".d.docx", "~$named.xlsx"}
+
+
+def test_a_listed_file_that_is_gone_is_an_issue(spark, tmp_path):
+    from textquarry.sources.listing import list_tree
+    from textquarry.sources.office import parsed_listing
+
+    workbook(tmp_path / "here.xlsx")
+    workbook(tmp_path / "gone.xlsx")
+    listed = list_tree(spark, [str(tmp_path)], PathFilter())
+    os.remove(tmp_path / "gone.xlsx")
+    rows = parsed_listing(listed).collect()
+    assert {r["full_path"].rpartition("/")[2] for r in rows if r["issue"]} == {"gone.xlsx"} and len({r["full_path"] for r in rows}) == 2
+    u, issues = units_of_tree(spark, [str(tmp_path / "none")], PathFilter())
+    assert u.count() == 0 and [r["stage"] for r in issues.collect()] == ["root"]

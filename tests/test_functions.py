@@ -55,8 +55,11 @@ def test_regex_dialect(spark):
 
 def test_token_lists():
     assert patterns.split_list('a, "b,c" ,, "d ""q"""') == ["a", "b,c", 'd "q"']
-    with pytest.raises(ValueError):
-        patterns.split_list('a, "b')
+    assert patterns.split_list(r'm\"n,o", "p\"q"') == [r'm\n,o', 'p"q']
+    assert patterns.split_roots('/srv/maps, "/srv/old, new"') == ["/srv/maps", "/srv/old, new"]
+    for none in ('a, "b', "", " ", ' ,"",, '):
+        with pytest.raises(ValueError):
+            patterns.split_roots(none)
     assert patterns.complement(["plan?", "harvest.XLS", "dot..", "a.b"], [".xlsm", ".docx"]) == ["plan?.xlsm", "plan?.docx", "harvest.XLS", "dot.xlsm", "dot.docx", "a.b.xlsm", "a.b.docx"]
 
 

@@ -15,11 +15,11 @@ ALL_EXTENSIONS = SPREADSHEET_EXTENSIONS + WORD_EXTENSIONS
 
 
 def split_list(text: str, escapes: bool = True) -> list[str]:
-    """Comma-separated tokens; double quotes protect commas, ``""`` and (with ``escapes``) ``\\"`` are a quote inside them."""
+    """Comma-separated tokens; double quotes protect commas, ``""`` and (with ``escapes``) ``\\"`` are a quote inside them only."""
     tokens, cur, quoted, i = [], "", False, 0
     while i < len(text):
         c = text[i]
-        if quoted and c == '"' and text[i + 1: i + 2] == '"' or escapes and c == "\\" and text[i + 1: i + 2] == '"':
+        if quoted and text[i + 1: i + 2] == '"' and (c == '"' or escapes and c == "\\"):
             cur, i = cur + '"', i + 2
             continue
         if c == '"':
@@ -35,6 +35,14 @@ def split_list(text: str, escapes: bool = True) -> list[str]:
     return [t for t in [*tokens, cur.strip()] if t]
 
 
+def split_roots(text: str) -> list[str]:
+    """The folders and files of a request, as ``split_list`` reads them; none is an error."""
+    roots = split_list(text)
+    if not roots:
+        raise ValueError("no folder or file to search")
+    return roots
+
+
 def join_list(tokens: list[str]) -> str:
     return ", ".join('"' + t.replace('"', '""') + '"' if re.search(r'[,"\s]', t) else t for t in tokens)
 

@@ -18,6 +18,7 @@ import re
 import zipfile
 from array import array
 from decimal import Decimal
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -27,10 +28,13 @@ from pyspark.sql import types as T
 
 from textquarry.functions.patterns import PathFilter
 from textquarry.operators.shipping import ship_package
+from textquarry.operators.storage import stored
 from textquarry.operators.units import UNITS
+from textquarry.sources.listing import distinct_files, list_tree
 
 PART_LIMIT, KIND_LIMIT = 50 << 20, 200 << 20  # of drawings and comments of workbooks only
 CHUNK_ROWS = 10_000
+TASK_BYTES = 64 << 20  # of files as they lie in the store
 SHAPE_DEPTH = 128
 _COLUMNS = [f.name for f in UNITS.fields]
 PARSED = T.StructType([*UNITS.fields, T.StructField("issue", T.StringType())])
@@ -79,8 +83,8 @@ def _attr(e, name: str):
 
 
 class _Package:
-    def __init__(self, content: bytes):
-        self.z = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, opened: BinaryIO):
+        self.z = zipfile.ZipFile(opened)
         self.names = set(self.z.namelist())
         self.read = {}
         if "EncryptedPackage" in self.names:
@@ -302,22 +306,28 @@ def _document(package: _Package):
                 yield row if "issue" in row else base | row
 
 
-def rows_of(path: str, content: bytes):
-    """Rows of one file as they are read: its units, and a row with an issue for what can't be read."""
+def rows_of(path: str, opener: Callable[[], BinaryIO]):
+    """Rows of one file as they are read: its units, and a row with an issue for what can't be read. ``opener`` opens it."""
     own = {"full_path": path, "file_name": path.rpartition("/")[2], "col_index": 0, "row_index": 0}
     try:
         ext = path.lower().rpartition(".")[2]
         if ext not in ("xlsx", "xlsm", "docx", "docm"):
             raise ValueError(f"format not supported: .{ext}")
-        package = _Package(content)
-        for r in (_workbook if ext in ("xlsx", "xlsm") else _document)(package):
-            yield own | r
+        with opener() as opened:
+            for r in (_workbook if ext in ("xlsx", "xlsm") else _document)(_Package(opened)):
+                yield own | r
     except Exception as e:  # any damage in a file is an issue of that file
         yield own | {"issue": f"{type(e).__name__}: {e}"}
 
 
 def parse(path: str, content: bytes) -> list[dict]:
-    return list(rows_of(path, content))
+    return list(rows_of(path, lambda: io.BytesIO(content)))
+
+
+def _frames(rows):
+    """Rows of a file in frames of bounded length."""
+    for some in itertools.batched(rows, CHUNK_ROWS):
+        yield pd.DataFrame(some).reindex(columns=[*_COLUMNS, "issue"]).astype(object).where(lambda d: d.notna(), None)
 
 
 def parsed(found: DataFrame) -> DataFrame:
@@ -326,12 +336,27 @@ def parsed(found: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for path, content in zip(pdf["full_path"], pdf["content"]):
-                for rows in itertools.batched(rows_of(path, content), CHUNK_ROWS):
-                    yield pd.DataFrame(rows).reindex(columns=[*_COLUMNS, "issue"]).astype(object).where(lambda d: d.notna(), None)
+                yield from _frames(rows_of(path, lambda: io.BytesIO(content)))
 
     return found.select("full_path", "content").mapInPandas(run, PARSED)
 
 
+def parsed_listing(listed: DataFrame) -> DataFrame:
+    """Units and issues of listed files (full_path, size), which the tasks open under their paths and read as streams: no file is a row.
+
+    Files are dealt by path, about ``TASK_BYTES`` to a task.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            for path in pdf["full_path"]:
+                yield from _frames(rows_of(path, lambda: open(path, "rb")))
+
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(listed.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return listed.select("full_path").repartition(tasks, "full_path").mapInPandas(run, PARSED)
+
+
 def units_and_issues(spark: SparkSession, roots: str | list[str], wanted: PathFilter) -> tuple[DataFrame, DataFrame]:
     """(units, issues) of all files below the roots; a root may be a folder or a file, roots inside others count once.
 
@@ -339,12 +364,37 @@ def units_and_issues(spark: SparkSession, roots: str | list[str], wanted: PathFi
     which let every file pass (their field as path and stage).
     """
     ship_package(spark)
+    good, wanted, told = _request(spark, roots, wanted)
+    if not good:
+        return spark.createDataFrame([], UNITS), told
+    units, issues = _split(parsed(files(spark, good, wanted)))
+    return units, issues.unionByName(told)
+
+
+def units_of_tree(spark: SparkSession, roots: str | list[str], wanted: PathFilter, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(units, issues) as ``units_and_issues`` gives them, of a listing by ``listing.list_tree``.
+
+    So ignored folders are not entered, links are not followed, names that start with ``_`` or ``.`` count, a folder that can't be read is
+    an issue (stage ``listing``), a file named as a root (in no other root) is not tested for being a lock file, and with ``once`` a file that several names
+    lead to is read under the first of them. Needs local or mounted folders, at the same paths on every executor.
+    """
+    ship_package(spark)
+    good, wanted, told = _request(spark, roots, wanted)
+    listed = list_tree(spark, good, wanted)
+    found = stored(distinct_files(listed) if once else listed, "files")
+    units, issues = _split(parsed_listing(found.where("kind = 'file'")))
+    unread = found.where("kind = 'issue'").select("full_path", F.lit("listing").alias("stage"), "cause")
+    return units, issues.unionByName(unread).unionByName(told)
+
+
+def _request(spark: SparkSession, roots: str | list[str], wanted: PathFilter) -> tuple[list[str], PathFilter, DataFrame]:
+    """(roots to read, the filter without lists that can't be read, issues of both)."""
     good, bad = checked_roots(spark, [roots] if isinstance(roots, str) else list(roots))
     wanted, lists = wanted.checked()
     other = [(r, "root", c) for r, c in bad] + [(f, f, c) for f, c in lists]
-    told = spark.createDataFrame(other, "full_path string, stage string, cause string")
-    if not good:
-        return spark.createDataFrame([], UNITS), told
-    rows = parsed(files(spark, good, wanted))
+    return good, wanted, spark.createDataFrame(other, "full_path string, stage string, cause string")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("issue is null").drop("issue"), rows.where("issue is not null").select(
-        "full_path", F.lit("workbook").alias("stage"), F.col("issue").alias("cause")).unionByName(told)
+        "full_path", F.lit("workbook").alias("stage"), F.col("issue").alias("cause"))
