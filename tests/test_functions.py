@@ -33,7 +33,9 @@ def test_text_rules(spark):
     assert one(spark, cells.csv_field(F.col("x")), "\u00a0 a\r\nb\rc\nd \n") == ["a b c d"]
     assert one(spark, cells.markdown_cell(F.col("x")), "\t|left| right\r\n\nlow\rend ") == ["\\|left\\| right<br><br>low<br>end"]
     assert one(spark, cells.markdown_preview_cell(F.col("x")), "a|b\r\nc ") == ["a\\|b  c "]
-    assert one(spark, cells.display_path(F.col("x")), r"\\?\C:\a", r"\\?\UNC\srv\b", "//?/C:/x", "/plain") == [r"C:\a", r"\\srv\b", "C:/x", "/plain"]
+    shapes = [r"\\?\C:\a", r"\\?\UNC\srv\b", r"\\?\unc\srv\b", "//?/C:/x", "//?/uNC/srv/b", r"\/?\x", "/plain", "", None]
+    assert one(spark, cells.display_path(F.col("x")), *shapes) == [r"C:\a", r"\\srv\b", r"\\srv\b", "C:/x", r"\\srv/b", r"\/?\x", "/plain", "", None]
+    assert one(spark, cells.export_path(F.col("x")), *shapes) == [r"C:\a", r"\\srv\b", r"unc\srv\b", "//?/C:/x", "//?/uNC/srv/b", r"\/?\x", "/plain", "", None]
     assert one(spark, cells.is_heading(F.col("x")), "# t", "1. Intro", "Chapter two", "第1章", "1. Ends.", "plain", "Section " + "x" * 90) == [True, True, True, True, False, False, False]
 
 

@@ -97,12 +97,23 @@ def markdown_preview_cell(text: Column) -> Column:
 
 
 def display_path(path: Column) -> Column:
-    """Windows' verbatim prefixes off, in either slash direction."""
+    """As shown to a reader: Windows' verbatim prefixes off, all in backslashes or all in slashes; of shares in any case."""
     low = F.lower(path)
-    slashed = F.replace(low, F.lit("/"), F.lit("\\"))
-    return (
-        F.when(slashed.startswith("\\\\?\\unc\\"), F.concat(F.lit("\\\\"), path.substr(F.lit(9), F.length(path))))
-        .when(slashed.startswith("\\\\?\\"), path.substr(F.lit(5), F.length(path))).otherwise(path))
+    share = low.startswith("\\\\?\\unc\\") | low.startswith("//?/unc/")
+    return F.when(share, _share(path)).when(path.startswith("\\\\?\\") | path.startswith("//?/"), _local(path)).otherwise(path)
+
+
+def export_path(path: Column) -> Column:
+    """As written to reports: only the prefixes in backslashes, of shares in capitals, which the system itself gives."""
+    return F.when(path.startswith("\\\\?\\UNC\\"), _share(path)).when(path.startswith("\\\\?\\"), _local(path)).otherwise(path)
+
+
+def _share(path: Column) -> Column:
+    return F.concat(F.lit("\\\\"), path.substr(F.lit(9), F.length(path)))
+
+
+def _local(path: Column) -> Column:
+    return path.substr(F.lit(5), F.length(path))
 
 
 def is_heading(text: Column) -> Column:

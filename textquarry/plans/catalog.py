@@ -263,10 +263,16 @@ def folder_completion(spark, sf):
     return paths.complete_children(p, host or "/")
 
 
-@_query("display_paths", r"SELECT page_id, '\\server\' || page_id AS shown FROM pages")
+_PREFIXES = ["\\\\?\\UNC\\", "\\\\?\\unc\\", "//?/UNC/", "//?/Unc/", "\\\\?\\C:\\", "//?/D:/", "\\/?\\", ""]
+
+
+@_query("display_paths", rf"""WITH {_URLS}, r AS (SELECT page_id, CASE page_id % 8 {" ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PREFIXES))} END || path AS raw FROM p)
+SELECT page_id, regexp_replace(regexp_replace(raw, '^(?:\\\\\?\\[uU][nN][cC]\\|//\?/[uU][nN][cC]/)', '\\\\'), '^(?:\\\\\?\\|//\?/)', '') AS shown,
+  CASE WHEN raw LIKE '\\?\UNC\%' THEN '\\' || substr(raw, 9) WHEN raw LIKE '\\?\%' THEN substr(raw, 5) ELSE raw END AS exported FROM r""")
 def display_paths(spark, sf):
-    raw = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("\\\\?\\UNC\\server\\")).otherwise(F.lit("\\\\?\\\\\\server\\")), F.col("page_id"))
-    return _table(spark, sf, "pages").select("page_id", cells.display_path(raw).alias("shown"))
+    """Paths of pages behind verbatim prefixes of drives and shares, in both slash directions, mixed, and plain."""
+    raw = F.concat(F.element_at(F.array(*map(F.lit, _PREFIXES)), (F.col("page_id") % 8 + 1).cast("int")), _url_path(F.col("url")))
+    return _table(spark, sf, "pages").select("page_id", cells.display_path(raw).alias("shown"), cells.export_path(raw).alias("exported"))
 
 
 @_query("recent_entries", "SELECT props AS value, max(ts) AS last_used FROM events WHERE trim(props) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

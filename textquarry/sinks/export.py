@@ -35,14 +35,14 @@ def export_rows(matches: DataFrame, language: str = "en", sanitize: bool = True)
     text = cells.csv_field if sanitize else (lambda c: c)
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return matches.select(
-        "id", "file_name", cells.display_path(F.col("full_path")).alias("full_path"), "sheet_name", "cell_address", text(blank("shape_name")).alias("shape_name"),
+        "id", "file_name", cells.export_path(F.col("full_path")).alias("full_path"), "sheet_name", "cell_address", text(blank("shape_name")).alias("shape_name"),
         labels.label_of(F.col("match_type"), F.lit(language)).alias("match_type"), text(F.col("full_content")).alias("content"), text(blank("formula")).alias("formula"))
 
 
 def json_records(matches: DataFrame) -> DataFrame:
     """(id, record): one JSON object per match; null formula and shape_name are left out."""
     return matches.select("id", F.to_json(F.struct(
-        "id", "file_name", cells.display_path(F.col("full_path")).alias("full_path"), "sheet_name", "cell_address", "row_index", "col_index",
+        "id", "file_name", cells.export_path(F.col("full_path")).alias("full_path"), "sheet_name", "cell_address", "row_index", "col_index",
         "match_type", "full_content", "snippet", "formula", "shape_name")).alias("record"))
 
 
