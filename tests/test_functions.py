@@ -1,4 +1,5 @@
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -234,3 +235,61 @@ def test_positions_where_lower_casing_changes_a_length(spark):
         assert got == {k: span(t, word) for k, t in enumerate(texts) if word.lower() in t.lower()}, word
     shown = project(hits(u, SearchRequest("needle"))).where("row_index = 0").first()["snippet"]
     assert shown == "İİ " + matching.MARK_OPEN + "needle" + matching.MARK_CLOSE
+
+
+def _spans(spark, texts, word):
+    u = spark.createDataFrame([("/f", "f", "Word", 0, False, "word", k, 0, t, None, None, ["Word"]) for k, t in enumerate(texts)], units.UNITS)
+    return {r["row_index"]: (r["hit_pos"], r["hit_len"]) for r in hits(u, SearchRequest(word)).collect()}
+
+
+def _span(text, word):
+    """By characters: the place in ``text`` of each lower-cased character."""
+    at = text.lower().find(word.lower())
+    sources = [k for k, c in enumerate(text) for _ in c.lower()][at: at + len(word.lower())]
+    return sources[0] + 1, sources[-1] - sources[0] + 1
+
+
+def test_positions_among_dots(spark):
+    pick = random.Random(4)
+    texts = ["".join(pick.choices("İi̇Inß🙂. ", k=pick.randint(1, 25))) for _ in range(300)]
+    for word in ("n", "i̇", "̇", "İn", "̇N", "🙂İ", ". "):
+        assert _spans(spark, texts, word) == {k: _span(t, word) for k, t in enumerate(texts) if word.lower() in t.lower()}, word
+
+
+def test_positions_in_a_locale_that_changes_other_letters(spark):
+    """In Lithuanian Ì becomes three characters: lengths of all characters are summed up to the hit."""
+    locale = spark._jvm.java.util.Locale
+    usual = locale.getDefault()
+    try:
+        locale.setDefault(locale.forLanguageTag("lt"))
+        assert spark.range(1).select(F.length(F.lower(F.concat(F.lit("Ì"), F.substring(F.col("id").cast("string"), 2, 1))))).first()[0] == 3
+        assert _spans(spark, ["ÌÌ needle", "İÌ needle Ì", "plain needle"], "Needle") == {0: (4, 6), 1: (4, 6), 2: (7, 6)}
+    finally:
+        locale.setDefault(usual)
+
+
+def test_one_letter_grows_when_it_is_lower_cased(spark):
+    letters = spark.createDataFrame([(chr(k),) for k in range(0x110000) if not 0xD800 <= k < 0xE000], "c string")
+    assert [r[0] for r in letters.where(F.length(F.lower("c")) != 1).collect()] == ["İ"]
+
+
+def test_white_space_is_as_in_expressions(spark):
+    letters = spark.createDataFrame([(chr(k),) for k in range(0x110000) if not 0xD800 <= k < 0xE000], "c string")
+    assert sorted(r[0] for r in letters.where(F.col("c").rlike(r"(?U)^\s$") | (F.col("c") == "\n")).collect()) == sorted(units.WHITE_SPACE)
+    blanks = units.WHITE_SPACE.translate({ord(c): None for c in "\r\n\f\x0b\x85"})
+    text = f"{blanks}a{blanks}b\x0b{blanks}\r\x07\f{blanks}\n\x07c\x07d\x0be\x01\x85"
+    assert one(spark, units.paragraphs(F.col("x")), text, "plain", "", None) == [[f"a{blanks}b", "c\td e"], ["plain"], [], None]
+
+
+def test_work_of_a_hit_is_up_to_its_end(spark):
+    """What lies behind a hit is not taken apart; runs of blanks inside a paragraph are passed once."""
+    def seconds(frame):
+        start = time.time()
+        assert frame.where("hit_len = 6").count() == 16
+        return time.time() - start
+
+    ids = spark.range(16)
+    behind = units.paragraph_units(ids, F.lit("/f"), F.lit("f"), F.concat(F.lit("İ needle"), F.repeat(F.lit("İx"), F.lit(1_000_000) + F.col("id").cast("int"))))
+    assert seconds(hits(behind, SearchRequest("Needle")).where("hit_pos = 3")) < 20
+    inner = units.paragraph_units(ids, F.lit("/f"), F.lit("f"), F.concat(F.lit("needle"), F.repeat(F.lit(" "), F.lit(200_000) + F.col("id").cast("int")), F.lit(".")))
+    assert seconds(hits(inner, SearchRequest("needle"))) < 20

@@ -45,17 +45,28 @@ def literal_position(text: Column, keyword: str, match_case: bool = False) -> Co
 def original_span(text: Column, position: Column, length: Column) -> Column:
     """struct(hit_pos, hit_len) in ``text`` of a span of the lower-cased text: the characters that it came from, in whole.
 
-    Only a text whose length changes is taken apart: running sums of its characters' lower-cased lengths say where each of them went.
+    No character gets shorter, so the text is read to the span's end only. ``İ`` alone becomes two characters, and the dots that it
+    leaves are counted; where lengths show that a locale changes others, running sums of all characters' lower-cased lengths say where each of them went.
     """
-    sizes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.length(F.lower(c)))
+    position = position.cast("int")
+    last = (position + length - 1).cast("int")
+    head = F.substring(text, F.lit(1), last)
+    dot, none = F.lit("\u0307"), F.lit("")
+    wide = F.replace(F.replace(head, dot, F.lit(".")), F.lit("İ"), F.lit("i\u0307"))  # as long as the lower-cased head, with no other dots
+
+    def source(at: Column) -> Column:
+        upto = F.substring(wide, F.lit(1), at)
+        return at - F.length(upto) + F.length(F.replace(upto, dot, none))
+
+    first = source(position)
+    counted = F.struct(first.alias("hit_pos"), (source(last) - first + 1).alias("hit_len"))
+    sizes = F.transform(F.regexp_extract_all(head, F.lit("(?s)."), F.lit(0)), lambda c: F.length(F.lower(c)))
     zero = F.lit(0)
     start = F.struct(zero.alias("end"), zero.alias("before"), zero.alias("upto"))
-    last = (position + length - 1).cast("int")
-    told = F.aggregate(sizes, start, lambda a, n: F.struct(
+    summed = F.aggregate(sizes, start, lambda a, n: F.struct(
         (a["end"] + n).alias("end"), (a["before"] + (a["end"] + n < position).cast("int")).alias("before"), (a["upto"] + (a["end"] < last).cast("int")).alias("upto")),
         lambda a: F.struct((a["before"] + 1).alias("hit_pos"), (a["upto"] - a["before"]).alias("hit_len")))
-    same = F.struct(position.cast("int").alias("hit_pos"), length.cast("int").alias("hit_len"))
-    return F.when(F.length(F.lower(text)) == F.length(text), same).otherwise(told)
+    return F.when(F.length(F.lower(head)) == F.length(wide), counted).otherwise(summed)
 
 
 def regex_position(text: Column, pattern: str, match_case: bool = False) -> Column:

@@ -28,12 +28,19 @@ def _units(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*[base[f.name].cast(f.dataType).alias(f.name) for f in UNITS.fields])
 
 
+#: what (?U)\s stands for
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def paragraphs(text: Column) -> Column:
     """Non-blank paragraphs of a binary word-processor text: CR, LF and FF end one, cell marks become tabs, line breaks in a
     paragraph spaces, other controls go; outer white space off."""
-    clean = F.translate(text, "\x07\x0b", "\t ")
+    # translating looks every character up, so only texts that hold a mark are translated; an expression for the outer white space would
+    # try each inner run of blanks from all its places
+    marked = F.contains(text, F.lit("\x07")) | F.contains(text, F.lit("\x0b"))
+    clean = F.when(marked, F.translate(text, "\x07\x0b", "\t ")).otherwise(text)
     clean = F.regexp_replace(clean, r"[\x00-\x08\x0E-\x1F\x7F-\x9F]", "")
-    parts = F.transform(F.split(clean, r"[\r\n\f]"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(clean, r"[\r\n\f]"), lambda p: F.btrim(p, F.lit(WHITE_SPACE)))
     return F.filter(parts, lambda p: p != "")
 
 
